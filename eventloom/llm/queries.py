@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, language_id, media, mixing, sentencepiece_codec, sharding, url_filters, warc
+from . import ann, chat, jaccard_join, language_id, media, mixing, sentencepiece_codec, sharding, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +109,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.component_ids(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -169,6 +173,6 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op2_sentencepiece, op3_sharding, op4_warc, op5_mixing, op7_nearest_neighbours, op8_chat_format, op9_language_id, op10_media)
+    for f in (op1_url_filters, op2_sentencepiece, op3_sharding, op4_warc, op5_mixing, op6_jaccard_join, op7_nearest_neighbours, op8_chat_format, op9_language_id, op10_media)
 }
 ORACLES = {"op1_url_filters": OP1_SQL, "op4_warc": OP4_SQL, "op8_chat_format": OP8_SQL}
