@@ -36,7 +36,7 @@ SHARE, MOST = 1.5, 2.0
 #: Parts in which the documents of one (source, length) are ranked.
 SPLITS = 64
 #: Cells of a knapsack table: the remaining budget is fitted below this many words.
-TABLE = 8192
+TABLE = 1 << 16
 
 
 def word_count(text: Column) -> Column:
