@@ -1,7 +1,10 @@
-"""All queries outside the training-data subpackage, by name."""
+"""All queries outside the training-data subpackage, by name, and SQL that gives the same rows."""
 
 from __future__ import annotations
 
-FLAGSHIP = "asof_both"
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import cohort_queries, event_queries, metric_queries, model_queries
+
+FLAGSHIP = "agg3_rates"
+MODULES = (event_queries, cohort_queries, metric_queries, model_queries)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}

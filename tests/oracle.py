@@ -27,7 +27,7 @@ def _plain(x):
     if isinstance(x, list):
         return [_plain(y) for y in x]
     if isinstance(x, float):
-        return round(x, 9) + 0.0
+        return int(x) if x.is_integer() and abs(x) < 2**53 else round(x, 9)  # pandas makes doubles of whole numbers with nulls
     return x
 
 
