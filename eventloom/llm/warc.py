@@ -44,13 +44,18 @@ READ_BYTES = 1 << 20
 
 
 def plan(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """(page_id, url, html, refers_to): refers_to is null for responses."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    digest, size = F.sha1(F.col("html").cast("binary")), F.octet_length("html")
-    keyed = rows.withColumn("digest", F.when(size >= revisit_bytes, digest))
-    first = keyed.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    out = keyed.join(first, "digest", "left")
-    return out.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
+    """(page_id, url, html, digest, note, refers_to): the pages, and a note for each revisit with what it refers to.
+
+    Notes find their pages in the writer, where both come by page_id: so a page's
+    html is moved once, and what decides on revisits are ids and digests alone.
+    """
+    html = F.coalesce("html", F.lit(""))
+    digest = F.when(F.octet_length(html) >= revisit_bytes, F.unhex(F.sha1(html.cast("binary"))))
+    rows = pages.select("page_id", "url", html.alias("html"), digest.alias("digest"), F.lit(False).alias("note"), F.lit(None).cast("long").alias("refers_to"))
+    known = pages.select("page_id", digest.alias("digest")).where("digest is not null")
+    first = known.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    notes = known.join(first, "digest").where("first_id is not null and not page_id <=> first_id").distinct()
+    return rows.unionByName(notes.select("page_id", "digest", F.lit(True).alias("note"), F.col("first_id").alias("refers_to")), allowMissingColumns=True)
 
 
 def _uri(page_id: int | None) -> str:
@@ -127,25 +132,30 @@ def write(planned: DataFrame, folder: str | None = None, shard_bytes: int = SHAR
     low, high = (low or 0), (high or 0)
     bin_of = F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / F.lit(float(high - low + 1)) * BINS).cast("int"), F.lit(-1))
     binned = planned.withColumn("bin", bin_of)
-    sums = binned.groupBy("bin").agg(F.sum(F.octet_length("html") + 500).alias("b"))  # BINS + 1 rows at most
+    sums = binned.where("not note").groupBy("bin").agg(F.sum(F.octet_length("html") + 500).alias("b"))  # BINS + 1 rows at most
     before = F.sum("b").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("b")
     cuts = sums.select("bin", F.floor(before / shard_bytes).cast("int").alias("shard"))
     shards = int((total or 0) // shard_bytes) + 2
-    dealt = binned.join(F.broadcast(cuts), "bin").drop("bin").repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "url", "html")
+    dealt = binned.join(F.broadcast(cuts), "bin").drop("bin").repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", F.desc("note"), "url", "html")
     fs, local = pafs.FileSystem.from_uri(folder)
     fs.create_dir(local, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = _Roller(folder, roll_bytes)
+        noted, to = None, None  # the page and digest of the last note, and what it refers to
         for batch in batches:
             for row in batch.to_pylist():
-                roller.add(row["shard"], record(row["page_id"], row["url"], row["html"].encode("utf-8", "surrogatepass"), row["refers_to"]))
+                page = (row["page_id"], row["digest"])
+                if row["note"]:
+                    noted, to = page, row["refers_to"]
+                else:
+                    roller.add(row["shard"], record(row["page_id"], row["url"], row["html"].encode("utf-8", "surrogatepass"), to if page == noted else None))
         roller.close()
         if roller.done:
             names, records, sizes = zip(*roller.done, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(records), pa.array(sizes)], ["file", "records", "bytes"])
 
-    columns = dealt.select("shard", "page_id", "url", "html", "refers_to")
+    columns = dealt.select("shard", "page_id", "url", "html", "digest", "note", "refers_to")
     columns.mapInArrow(run, "file string, records long, bytes long").write.parquet(f"{folder}/manifest")
     return folder
 
