@@ -72,15 +72,20 @@ class Index:
 
 def scan(ids: np.ndarray, x: np.ndarray, raw: np.ndarray, qids: np.ndarray, q: np.ndarray, qraw: np.ndarray, k: int, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, id, score) of the k best candidates of each query in one block of a list."""
-    dim = x.shape[1]
+    dim, lead = x.shape[1], min(COLUMNS, x.shape[1])
+    q_norm, q_lead = (q * q).sum(axis=1), (q[:, :lead] ** 2).sum(axis=1)
     best = np.full((len(q), k), np.inf)  # whole distances so far
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     step = max(64, min(512, 2_000_000 // max(1, len(q))))
     for at in range(0, len(x), step):
         part, own = x[at : at + step], ids[at : at + step]
-        row, col = np.nonzero(qids[:, None] != own[None, :])
         bound = best[:, -1]
-        far, d = np.zeros(len(row)), 0
+        fresh = bool(len(bound)) and np.isinf(bound).all()  # nothing to test against yet: whole distances at once
+        d, norms, some = (dim, q_norm, part) if fresh else (lead, q_lead, part[:, :lead])
+        dense = norms[:, None] + (some * some).sum(axis=1)[None, :] - 2 * (q[:, :d] @ some.T)  # the first columns of all pairs
+        limit = bound if d == dim else bound * (1 + epsilon / np.sqrt(d)) ** 2
+        row, col = np.nonzero((qids[:, None] != own[None, :]) & (dense * (dim / d) <= limit[:, None] + 1e-9))
+        far = dense[row, col]
         while d < dim and len(row):
             to = min(d + COLUMNS, dim)
             diff = q[row, d:to] - part[col, d:to]
