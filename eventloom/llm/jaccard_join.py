@@ -14,11 +14,14 @@
    filter, the position filter, and a bound on the overlap by bucket counts.
    Long lists are cut into blocks, and a pair that shares several long lists
    is taken at the first one. Pairs that pass are packed by their first group.
-4. Candidates form clusters (components of the pairs). A task gets the sets of
-   whole clusters, or of two blocks of a large one, expands groups into members
-   and verifies pairs on the full sets. A pair already joined by verified
+4. Candidates form clusters (components of the pairs). A task gets whole
+   clusters, or two blocks of a large one. Long sets share tokens by chance, and
+   few buckets bound them badly; their pairs first pass a bound on bucket counts
+   that are as many as an eighth of the set (a filter, one byte a bucket).
+5. What is left is dealt once more by cluster with the full sets: groups are
+   expanded into members and pairs verified. A pair already joined by verified
    links is skipped; what a task gives back is a spanning forest.
-5. Components of the forest are the result.
+6. Components of the forest are the result.
 
 Nothing that grows with the documents reaches the driver: HEAVY tokens with
 counts at most, and the words of a bit filter of FILTER_BITS bits that tells
@@ -50,8 +53,10 @@ from .scratch import written
 HEAVY, LEAST = 1 << 20, 8
 #: Buckets of the overlap bound; entries of a list's block; list size from which a pair is taken at its first list only.
 BUCKETS, LIST_BLOCK, LONG = 64, 1000, 24
-#: Tokens that a verifying task gets of each of two blocks, about.
-TASK_TOKENS = 4_000_000
+#: Tokens that a verifying task gets of each of two blocks, about; bytes of bucket counts that a filtering task gets so.
+TASK_TOKENS, TASK_BYTES = 4_000_000, 16_000_000
+#: Sets of more tokens than this have fine buckets as well, about FINE tokens in each.
+FINE_FROM, FINE = 1024, 8
 FILTER_BITS = 1 << 23
 CHUNK_CHARS, PAIRS_AT_ONCE = 4_000_000, 1_000_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -163,8 +168,14 @@ def _heavy(texts: DataFrame, words: int, percent: int) -> tuple[np.ndarray, np.n
     return tokens[order], top["n"].to_numpy(np.int64)[order]
 
 
+def _counts(s: np.ndarray, buckets: int) -> bytes:
+    """How many tokens of a set each bucket (a range of hashes) holds, a byte each; nothing if a byte is too small."""
+    b = np.bincount((s >> U(65 - buckets.bit_length())).astype(np.int64), minlength=buckets)
+    return b.astype(np.uint8).tobytes() if b.max() < 256 else b""
+
+
 def _described(docs: DataFrame, words: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, h, n, uid, key, prefix, buckets) of each document: n is the set's size, key stands for the prefix."""
+    """(id, h, n, uid, key, prefix, buckets, fine) of each document: n is the set's size, key stands for the prefix."""
     share = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,24 +184,24 @@ def _described(docs: DataFrame, words: int, percent: int, heavy: tuple[np.ndarra
             texts = batch.column(2).to_pylist()
             for at in _slices(texts):
                 part = batch.slice(at.start, at.stop - at.start)
-                sizes, uids, keys, prefixes, buckets = [], [], [], [], []
+                sizes, uids, keys, prefixes, buckets, fine = [], [], [], [], [], []
                 for s in shingle_sets(texts[at], words):
                     sizes.append(len(s))
                     if not len(s):
-                        uids.append(None), keys.append(None), prefixes.append(None), buckets.append(None)
+                        uids.append(None), keys.append(None), prefixes.append(None), buckets.append(None), fine.append(None)
                         continue
                     p = ordered_prefix(s, percent, tokens, counts)
                     uids.append(xxhash.xxh3_128_digest(s.tobytes()))
                     keys.append(xxhash.xxh3_128_digest(p.tobytes()))
                     prefixes.append(p.view(np.int64))
-                    b = np.bincount((s >> U(58)).astype(np.int64), minlength=BUCKETS)
-                    buckets.append(b.astype(np.uint8).tobytes() if b.max() < 256 else b"")
+                    buckets.append(_counts(s, BUCKETS))
+                    fine.append(_counts(s, 1 << (len(s) // FINE).bit_length() - 1) if len(s) > FINE_FROM else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(uids, pa.binary()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(buckets, pa.binary())],
-                    ["id", "h", "n", "uid", "key", "prefix", "buckets"],
+                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(uids, pa.binary()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(buckets, pa.binary()), pa.array(fine, pa.binary())],
+                    ["id", "h", "n", "uid", "key", "prefix", "buckets", "fine"],
                 )
 
-    return docs.mapInArrow(run, "id long, h long, n long, uid binary, key binary, prefix array<long>, buckets binary")
+    return docs.mapInArrow(run, "id long, h long, n long, uid binary, key binary, prefix array<long>, buckets binary, fine binary")
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
@@ -308,6 +319,66 @@ def _filtered_sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "uid binary, tokens binary")
 
 
+def _dealt(members: DataFrame, pairs: DataFrame, label: DataFrame, per_task: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """Members and pairs of each cluster, for the task, or the tasks of two blocks, that see the cluster's pairs.
+
+    ``members`` has label, node (by which a large cluster is cut), weight and
+    more. Clusters below ``per_task`` share tasks; a large one is cut into blocks.
+    """
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    weight = members.groupBy("label").agg(F.sum("weight").alias("weight")).withColumn("cuts", F.greatest(F.lit(1), F.ceil(F.col("weight") / per_task)).cast("int"))
+    weight = written(weight, "jaccard-weights")
+    total = weight.agg(F.sum("weight")).first()[0] or 0
+    tasks = max(1, -(-total // per_task), min(parts, -(-total // least)))
+    task = F.when(F.col("cuts") <= 1, F.pmod(F.xxhash64("label"), F.lit(tasks))).otherwise(F.xxhash64("label"))
+    weight = weight.select("label", task.alias("task"), "cuts")
+    placed = members.drop("weight").join(weight, "label").withColumn("side", F.pmod("node", F.col("cuts")).cast("int")).drop("label")
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
+    placed = placed.withColumn("bi", F.least("side", "other")).withColumn("bj", F.greatest("side", "other")).drop("other")
+    work = pairs.where(F.size("partners") > 0).join(label, F.col("a") == F.col("gid")).join(weight, "label")
+    block_pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda i: F.transform(F.sequence(i, F.col("cuts") - 1), lambda j: F.struct(i.alias("bi"), j.alias("bj")))))
+    work = work.select("task", F.explode(block_pairs).alias("x"), "a", "partners")
+    return placed, work.select(F.col("task").alias("p_task"), F.col("x.bi").alias("p_bi"), F.col("x.bj").alias("p_bj"), (F.col("x.bi") != F.col("x.bj")).alias("crossed"), "a", "partners")
+
+
+def _near_by_buckets(x: bytes, nx: int, y: bytes, ny: int, percent: int) -> bool:
+    """False if bucket counts show that two sets overlap too little; True also where they are unknown."""
+    if not x or not y:
+        return True
+    if len(x) > len(y):
+        x, y = y, x
+    a = np.frombuffer(x, np.uint8).astype(np.int64)
+    b = np.frombuffer(y, np.uint8).reshape(len(x), -1).sum(axis=1, dtype=np.int64)
+    return (100 + percent) * int(np.minimum(a, b).sum()) >= percent * (nx + ny)
+
+
+def _sifted(groups: DataFrame, pairs: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """(a, partners): the pairs of groups that fine buckets don't rule out."""
+    size = F.coalesce(F.octet_length("fine"), F.lit(0)) + 16
+    members = label.join(groups.select("gid", "n", "fine"), "gid").select("label", F.col("gid").alias("node"), size.alias("weight"), "n", "fine")
+    sets, work = _dealt(members, pairs, label, TASK_BYTES, 1_000_000)
+
+    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, list[int]]] = []
+        if len(a) and len(b):
+            known = {g: (f or b"", n, s) for g, f, n, s in zip(a["node"].tolist(), a["fine"], a["n"].tolist(), a["side"].tolist(), strict=True)}
+            crossed = bool(b["crossed"].iloc[0])
+            for g, partners in zip(b["a"].tolist(), b["partners"], strict=True):
+                if g not in known:
+                    continue
+                f, n, side = known[g]
+                kept = []
+                for q in np.unique(partners).tolist():
+                    if q in known and not (crossed and known[q][2] == side) and (g == q or _near_by_buckets(f, n, *known[q][:2], percent)):
+                        kept.append(q)
+                if kept:
+                    out.append((g, kept))
+        return pd.DataFrame(out, columns=["a", "partners"])
+
+    on = ["task", "bi", "bj"]
+    return sets.groupBy(on).cogroup(work.groupBy([f"p_{c}" for c in on])).applyInPandas(one, "a long, partners array<long>")
+
+
 def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """(a, b): a spanning forest of the links between members, by task."""
 
@@ -342,8 +413,7 @@ def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     on = ["task", "bi", "bj"]
-    other = pairs.toDF(*(f"p_{c}" for c in on), *pairs.columns[3:])
-    return sets.groupBy(on).cogroup(other.groupBy(other.columns[:3])).applyInPandas(one, "a long, b long")
+    return sets.groupBy(on).cogroup(pairs.groupBy([f"p_{c}" for c in on])).applyInPandas(one, "a long, b long")
 
 
 def linked(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -353,10 +423,11 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
     heavy = _heavy(src.select("text"), words, percent)
     rows = written(_described(src, words, percent, heavy), "jaccard-sets")
     known = rows.where("n > 0")
-    sets = known.groupBy("uid").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("key").alias("key"), F.first("prefix").alias("prefix"), F.first("buckets").alias("buckets"))
-    sets = sets.withColumn("node", F.xxhash64("uid"))
-    groups = sets.groupBy("key", "n").agg(F.min("node").alias("gid"), F.count("*").alias("members"), F.first("prefix").alias("prefix"), F.first("buckets").alias("buckets"))
-    groups = written(groups.withColumn("buckets", F.when(F.col("members") == 1, F.col("buckets"))), "jaccard-groups")
+    own = ("n", "key", "prefix", "buckets", "fine")
+    sets = known.groupBy("uid").agg(F.min("h").alias("h"), *(F.first(c).alias(c) for c in own)).withColumn("node", F.xxhash64("uid"))
+    groups = sets.groupBy("key", "n").agg(F.min("node").alias("gid"), F.count("*").alias("members"), *(F.first(c).alias(c) for c in own[2:]))
+    alone = lambda c: F.when(F.col("members") == 1, F.col(c))  # noqa: E731  the members of a group differ in their buckets
+    groups = written(groups.withColumns({c: alone(c) for c in ("buckets", "fine")}), "jaccard-groups")
     # the index: lists of prefix tokens, without those of one entry
     posted = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     entries = posted.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1")
@@ -372,29 +443,18 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = lists.repartition(parts, "token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "n", "gid")
     pairs = _enumerated(lists, percent)
-    alone = groups.where("members > 1").select(F.col("gid").alias("a"), F.array("gid").alias("partners"), F.col("gid").alias("star"))
-    pairs = written(pairs.unionByName(alone), "jaccard-pairs")
+    several = groups.where("members > 1").select(F.col("gid").alias("a"), F.array("gid").alias("partners"), F.col("gid").alias("star"))
+    pairs = written(pairs.unionByName(several), "jaccard-pairs")
     # clusters of candidates: the tasks' forests have an edge for each group and task at most
     label = components(pairs.select("a", F.col("star").alias("b")))
-    label = written(label.union(alone.select("a", "a").join(label, F.col("a") == F.col("node"), "left_anti")).toDF("gid", "label"), "jaccard-labels")
+    label = written(label.union(several.select("a", "a").join(label, F.col("a") == F.col("node"), "left_anti")).toDF("gid", "label"), "jaccard-labels")
+    pairs = written(_sifted(groups, pairs, label, percent), "jaccard-sifted")
+    left = pairs.select(F.explode(F.array_append("partners", F.col("a"))).alias("gid")).distinct()
     members = sets.select("uid", "h", "n", "node", "key").join(groups.select("key", F.col("n").alias("gn"), "gid"), ["key"]).where("n = gn").drop("gn", "key")
-    members = written(members.join(label, "gid"), "jaccard-members")
-    weight = members.groupBy("label").agg(F.sum("n").alias("tokens"))
-    weight = weight.withColumn("cuts", F.ceil(F.col("tokens") / TASK_TOKENS).cast("int"))
-    total = weight.agg(F.sum("tokens")).first()[0] or 0
-    tasks = max(1, -(-total // TASK_TOKENS), min(parts, -(-total // 100_000)))
-    # small clusters share tasks; a large one has its own, and is cut into blocks
-    task = F.when(F.col("cuts") <= 1, F.pmod(F.xxhash64("label"), F.lit(tasks))).otherwise(F.xxhash64("label"))
-    weight = written(weight.select("label", task.alias("task"), "cuts"), "jaccard-tasks")
-    placed = members.join(weight, "label").withColumn("side", F.pmod("node", F.col("cuts")).cast("int"))
-    tokens = _filtered_sets(src, words, members.select("h"))
-    full = tokens.dropDuplicates(["uid"]).join(placed.select("uid", "gid", "node", "task", "cuts", "side"), "uid")
-    full = full.select("task", "gid", "node", "side", "tokens", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
-    full = full.select("task", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "gid", "node", "side", "tokens")
-    work = pairs.where(F.size("partners") > 0).join(label, F.col("a") == F.col("gid")).join(weight, "label")
-    block_pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda i: F.transform(F.sequence(i, F.col("cuts") - 1), lambda j: F.struct(i.alias("bi"), j.alias("bj")))))
-    work = work.select("task", F.explode(block_pairs).alias("x"), "a", "partners").select("task", "x.bi", "x.bj", (F.col("x.bi") != F.col("x.bj")).alias("crossed"), "a", "partners")
-    links = _verified(full, work, percent)
+    members = written(members.join(label.join(left, "gid", "left_semi"), "gid").withColumn("weight", F.col("n")).drop("n"), "jaccard-members")
+    tokens = _filtered_sets(src, words, members.select("h")).dropDuplicates(["uid"])
+    placed, work = _dealt(members.drop("h"), pairs, label, TASK_TOKENS, 100_000)
+    links = _verified(tokens.join(placed, "uid"), work, percent)
     roots = components(links).withColumnsRenamed({"node": "linked", "root": "linked_root"})
     named = rows.select("id", "n", "h", F.when(F.col("n") > 0, F.xxhash64("uid")).alias("node"))
     return named.join(roots, F.col("node") == F.col("linked"), "left").select("id", "n", "h", "node", F.coalesce("linked_root", "node").alias("root"))

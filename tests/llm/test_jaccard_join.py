@@ -82,7 +82,7 @@ def test_small_limits_give_the_same(spark, monkeypatch):
     docs = planted(50, 9)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want = brute(docs, 4, 85)
-    for name, n in (("LIST_BLOCK", 3), ("LONG", 2), ("TASK_TOKENS", 300), ("HEAVY", 20), ("LEAST", 2), ("PAIRS_AT_ONCE", 10)):
+    for name, n in (("LIST_BLOCK", 3), ("LONG", 2), ("TASK_TOKENS", 300), ("TASK_BYTES", 200), ("FINE_FROM", 20), ("HEAVY", 20), ("LEAST", 2), ("PAIRS_AT_ONCE", 10)):
         monkeypatch.setattr(J, name, n)
     assert got(df, 4, 85) == want
 
