@@ -353,7 +353,7 @@ def _near_by_buckets(x: bytes, nx: int, y: bytes, ny: int, percent: int) -> bool
 
 
 def _sifted(groups: DataFrame, pairs: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """(a, partners): the pairs of groups that fine buckets don't rule out."""
+    """(a, partners): the pairs of groups that fine buckets don't rule out; each group with a pair is an ``a`` once at least."""
     size = F.coalesce(F.octet_length("fine"), F.lit(0)) + 16
     members = label.join(groups.select("gid", "n", "fine"), "gid").select("label", F.col("gid").alias("node"), size.alias("weight"), "n", "fine")
     sets, work = _dealt(members, pairs, label, TASK_BYTES, 1_000_000)
@@ -373,6 +373,8 @@ def _sifted(groups: DataFrame, pairs: DataFrame, label: DataFrame, percent: int)
                         kept.append(q)
                 if kept:
                     out.append((g, kept))
+            own = {g for g, _ in out}
+            out += [(q, []) for q in {q for _, kept in out for q in kept} - own]  # a row for every node that has a pair
         return pd.DataFrame(out, columns=["a", "partners"])
 
     on = ["task", "bi", "bj"]
@@ -449,7 +451,7 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
     label = components(pairs.select("a", F.col("star").alias("b")))
     label = written(label.union(several.select("a", "a").join(label, F.col("a") == F.col("node"), "left_anti")).toDF("gid", "label"), "jaccard-labels")
     pairs = written(_sifted(groups, pairs, label, percent), "jaccard-sifted")
-    left = pairs.select(F.explode(F.array_append("partners", F.col("a"))).alias("gid")).distinct()
+    left = pairs.select(F.col("a").alias("gid")).distinct()
     members = sets.select("uid", "h", "n", "node", "key").join(groups.select("key", F.col("n").alias("gn"), "gid"), ["key"]).where("n = gn").drop("gn", "key")
     members = written(members.join(label.join(left, "gid", "left_semi"), "gid").withColumn("weight", F.col("n")).drop("n"), "jaccard-members")
     tokens = _filtered_sets(src, words, members.select("h")).dropDuplicates(["uid"])
