@@ -68,7 +68,7 @@ class _Words(dict):
     """A word's 64-bit hash, kept for the words met last."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         self[w] = h = xxhash.xxh3_64_intdigest(w)
         return h

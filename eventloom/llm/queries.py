@@ -74,10 +74,9 @@ FROM captures c LEFT JOIN best b USING (row_id)
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, model = _table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()
-    ids = sentencepiece_codec.encode(docs, model, keep_text=False)
-    ids = ids.withColumns({"n_tokens": (F.octet_length("ids") / 4).cast("long"), "ids_sha256": F.sha2("ids", 256)})
-    back = sentencepiece_codec.decode(ids, model, keep_ids=False)
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    out = sentencepiece_codec.round_trip(docs, model)
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), sha("ids").alias("ids_sha256"), sha("decoded").alias("decoded_sha256"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

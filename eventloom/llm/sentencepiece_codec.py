@@ -32,9 +32,9 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Words kept between chunks, and symbols that they may hold, before the store starts anew.
-STORE_WORDS, STORE_SYMBOLS = 400_000, 6_000_000
+STORE_WORDS, STORE_SYMBOLS = 250_000, 4_000_000
 #: Characters of text that are worked on at once.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -285,12 +285,8 @@ def _put(batch: pa.RecordBatch, names: list[str], name: str, values: pa.Array) -
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), values], [*names, name])
 
 
-def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
-    """Adds ``ids``, binary: the piece ids as little-endian unsigned 32-bit integers.
-
-    That packed form is what token shards hold; :func:`decode` reads it back.
-    """
-    schema = _with(df.schema, ids, T.BinaryType(), None if keep_text else text)
+def _encoder(schema: T.StructType, model: str, text: str, ids: str, keep_text: bool):
+    schema = _with(schema, ids, T.BinaryType(), None if keep_text else text)
     names = [f.name for f in schema][:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,12 +297,11 @@ def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids", keep
                 out = c.encode(texts[s])
                 yield _put(batch.slice(s.start, s.stop - s.start), names, ids, pa.array([x.tobytes() for x in out], pa.binary()))
 
-    return df.mapInArrow(run, schema)
+    return schema, run
 
 
-def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded", keep_ids: bool = True) -> DataFrame:
-    """Adds ``text``, a string: what the library's decode(ids) gives. Null ids count as none."""
-    schema = _with(df.schema, text, T.StringType(), None if keep_ids else ids)
+def _decoder(schema: T.StructType, model: str, ids: str, text: str, keep_ids: bool):
+    schema = _with(schema, text, T.StringType(), None if keep_ids else ids)
     names = [f.name for f in schema][:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,4 +310,26 @@ def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded", k
             out = [c.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in batch.column(ids)]
             yield _put(batch, names, text, pa.array(out, pa.string()))
 
+    return schema, run
+
+
+def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
+    """Adds ``ids``, binary: the piece ids as little-endian unsigned 32-bit integers.
+
+    That packed form is what token shards hold; :func:`decode` reads it back.
+    """
+    schema, run = _encoder(df.schema, model, text, ids, keep_text)
     return df.mapInArrow(run, schema)
+
+
+def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded", keep_ids: bool = True) -> DataFrame:
+    """Adds ``text``, a string: what the library's decode(ids) gives. Null ids count as none."""
+    schema, run = _decoder(df.schema, model, ids, text, keep_ids)
+    return df.mapInArrow(run, schema)
+
+
+def round_trip(df: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", keep_text: bool = False) -> DataFrame:
+    """:func:`encode` and :func:`decode` of its ids, one after the other in the same Python worker, so that it holds the model once."""
+    schema, first = _encoder(df.schema, model, text, ids, keep_text)
+    schema, second = _decoder(schema, model, ids, decoded, True)
+    return df.mapInArrow(lambda batches: second(first(batches)), schema)
