@@ -39,11 +39,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of them and of what they decode to."""
-    model = tokenizer_path()
-    ids = sentencepiece_codec.encode(docs.select("doc_id", "lang", "source", "text"), model, keep_text=False)
-    ids = ids.withColumns({"n_tokens": (F.octet_length("ids") / 4).cast("long"), "ids_sha256": F.sha2("ids", 256)})
-    back = sentencepiece_codec.decode(ids, model)
-    return back.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    out = sentencepiece_codec.round_trip(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return out.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", sha("ids").alias("ids_sha256"), sha("decoded").alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
