@@ -27,14 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Words kept between chunks, and symbols that they may hold, before the store starts anew.
 STORE_WORDS, STORE_SYMBOLS = 250_000, 4_000_000
-#: Characters of text that are worked on at once.
-CHUNK_CHARS = 1_000_000
+#: Bytes of text that are worked on at once; one longer text is worked on alone.
+CHUNK_BYTES = 250_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -266,15 +267,15 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def _chunks(texts: list[str]) -> Iterator[slice]:
+def _chunks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch: they share its memory, and only one at a time becomes Python strings."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     at = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= CHUNK_CHARS:
-            yield slice(at, k + 1)
+    for k, n in enumerate(sizes):
+        size += n
+        if size >= CHUNK_BYTES or k == len(sizes) - 1:
+            yield batch.slice(at, k + 1 - at)
             at, size = k + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
 
 
 def _with(schema: T.StructType, name: str, kind: T.DataType, drop: str | None) -> T.StructType:
@@ -292,10 +293,9 @@ def _encoder(schema: T.StructType, model: str, text: str, ids: str, keep_text: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            for s in _chunks(texts):
-                out = c.encode(texts[s])
-                yield _put(batch.slice(s.start, s.stop - s.start), names, ids, pa.array([x.tobytes() for x in out], pa.binary()))
+            for part in _chunks(batch, text):
+                out = c.encode([t or "" for t in part.column(text).to_pylist()])
+                yield _put(part, names, ids, pa.array([x.tobytes() for x in out], pa.binary()))
 
     return schema, run
 
