@@ -2,15 +2,19 @@
 
 Vectors get one more dimension that makes all norms equal, so that the largest
 inner product is the smallest distance, and are rotated at random. Each belongs
-to the list of its nearest centre. A query scans the lists nearest to it; within
-a list, partial distances over column blocks of the rotated vectors are scaled
+to the list of its nearest centre. A query scans the PROBE lists nearest to it
+first; then every other list that may hold a vector closer than its 20th best
+so far: all but those whose centre is farther than that by more than the list's
+radius. That bound is exact, so no list is left out for its place; vectors with
+no clusters make a query open nearly all lists. Within a list, partial distances over column blocks of the rotated vectors are scaled
 up to estimates of whole ones, and a candidate is dropped as soon as a
 hypothesis test at EPSILON says that it is beyond the query's 20th best so far.
 What is left is scored in double precision on the original vectors.
 
 Fitting uses a bounded sample (SAMPLE rows, those with the smallest hash of
-their id); every row is indexed. Lists are cut into blocks of BLOCK rows, and
-the queries of a list into blocks too, so that a hot list is many tasks.
+their id); every row is indexed. Small lists share a cell, which a query is sent
+to once; a list above BLOCK rows is a cell of its own and is cut into blocks, and
+the queries of a cell into blocks too, so that a hot list is many tasks.
 
 Values: vectors that are null, empty, zero, of another length than most of the
 sample's, or hold null or non-finite components, take no part. Equal scores go
@@ -31,9 +35,10 @@ from pyspark.sql import functions as F
 from .scratch import written
 
 SAMPLE, ROUNDS = 20_000, 12
-#: Lists grow with the square root of the rows, up to LISTS; a query probes PROBE of them, and one in SHARE at least.
-LISTS, PROBE, SHARE = 4096, 24, 3
-BLOCK, QUERY_BLOCK = 20_000, 20_000
+#: Lists grow with the square root of the rows, up to LISTS; a query probes PROBE of them before bounds rule lists out.
+LISTS, PROBE = 4096, 24
+#: Rows of a cell at most; cells that a small table is cut into, about.
+BLOCK, QUERY_BLOCK, CELLS = 20_000, 20_000, 48
 COLUMNS, EPSILON = 16, 2.1
 
 
@@ -70,21 +75,27 @@ class Index:
         return np.argsort(d, axis=1, kind="stable")[:, :n]
 
 
-def scan(ids: np.ndarray, x: np.ndarray, raw: np.ndarray, qids: np.ndarray, q: np.ndarray, qraw: np.ndarray, k: int, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score) of the k best candidates of each query in one block of a list."""
-    dim, lead = x.shape[1], min(COLUMNS, x.shape[1])
+def scan(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, best: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, distance) of one list, those within each query's best; best, its smallest distances so far, is brought up to date."""
+    k, dim, lead = best.shape[1], x.shape[1], min(COLUMNS, x.shape[1])
     q_norm, q_lead = (q * q).sum(axis=1), (q[:, :lead] ** 2).sum(axis=1)
-    best = np.full((len(q), k), np.inf)  # whole distances so far
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     step = max(64, min(512, 2_000_000 // max(1, len(q))))
     for at in range(0, len(x), step):
         part, own = x[at : at + step], ids[at : at + step]
-        bound = best[:, -1]
+        bound = best[:, -1].copy()
+        limit = lambda d: bound if d == dim else bound * (1 + epsilon / np.sqrt(d)) ** 2  # noqa: B023, E731
         fresh = bool(len(bound)) and np.isinf(bound).all()  # nothing to test against yet: whole distances at once
         d, norms, some = (dim, q_norm, part) if fresh else (lead, q_lead, part[:, :lead])
         dense = norms[:, None] + (some * some).sum(axis=1)[None, :] - 2 * (q[:, :d] @ some.T)  # the first columns of all pairs
-        limit = bound if d == dim else bound * (1 + epsilon / np.sqrt(d)) ** 2
-        row, col = np.nonzero((qids[:, None] != own[None, :]) & (dense * (dim / d) <= limit[:, None] + 1e-9))
+        live = (qids[:, None] != own[None, :]) & (dense * (dim / d) <= limit(d)[:, None] + 1e-9)
+        while d < dim and 8 * np.count_nonzero(live) > live.size:  # many are left: the next columns of all pairs too
+            to = min(d + COLUMNS, dim)
+            a, b = q[:, d:to], part[:, d:to]
+            dense += (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
+            d = to
+            live &= dense * (dim / d) <= limit(d)[:, None] + 1e-9
+        row, col = np.nonzero(live)
         far = dense[row, col]
         while d < dim and len(row):
             to = min(d + COLUMNS, dim)
@@ -92,31 +103,59 @@ def scan(ids: np.ndarray, x: np.ndarray, raw: np.ndarray, qids: np.ndarray, q: n
             far += np.einsum("ij,ij->i", diff, diff)
             d = to
             if d < dim:  # abandoned: the estimate is over the bound by more than chance allows
-                live = far * (dim / d) <= bound[row] * (1 + epsilon / np.sqrt(d)) ** 2
-                row, col, far = row[live], col[live], far[live]
-        live = far <= bound[row] + 1e-9
-        row, col, far = row[live], col[live], far[live]
+                keep = far * (dim / d) <= limit(d)[row]
+                row, col, far = row[keep], col[keep], far[keep]
+        keep = far <= bound[row] + 1e-9
+        row, col, far = row[keep], col[keep], far[keep]
         found.append((row, col + at, far))
         if len(row):  # the k smallest distances of each query
             order = np.lexsort((far, row))
             r, f = row[order], far[order]
-            first = np.r_[0, np.flatnonzero(np.diff(r)) + 1]
-            place = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)]))
+            place = _place(r)
             r, f, place = r[place < k], f[place < k], place[place < k]
             new = np.full_like(best, np.inf)
             new[r, place] = f
-            best = np.sort(np.c_[best, new], axis=1)[:, :k]
-    row, col, far = (np.concatenate(a) for a in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
+            best[:] = np.sort(np.c_[best, new], axis=1)[:, :k]
+    return tuple(np.concatenate(a) for a in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def _place(row: np.ndarray) -> np.ndarray:
+    """Each entry's place among those of its row, which lie together."""
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, int)
+    return np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+
+
+def scan_cell(own: np.ndarray, ids: np.ndarray, x: np.ndarray, raw: np.ndarray, opened: np.ndarray, qids: np.ndarray, q: np.ndarray, qraw: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of the k best candidates of each query in a cell: own is each row's list (by place in the cell), opened tells which lists a query scans."""
+    best = np.repeat(bound[:, None], k, axis=1)
+    found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    for j in np.unique(own):
+        at, ask = np.flatnonzero(own == j), np.flatnonzero(opened[:, j])
+        if len(ask):
+            near = best[ask]
+            row, col, far = scan(ids[at], x[at], qids[ask], q[ask], near)
+            best[ask] = near
+            found.append((ask[row], at[col], far))
+    row, col, far = (np.concatenate(a) for a in zip(*found, strict=True))
     live = far <= best[row, -1] + 1e-9
     row, col = row[live], col[live]
     score = np.fromiter((float(a @ b) for a, b in zip(qraw[row], raw[col], strict=True)), np.float64, len(row))
     order = np.lexsort((ids[col], -score, row))
     row, col, score = row[order], col[order], score[order]
-    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, int)
-    top = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)])) < k
+    top = _place(row) < k
     return qids[row[top]], ids[col[top]], score[top]
 
 
+def cells_of(held: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, place in it) of each list: lists share a cell up to so many rows."""
+    cell, place, at, rows, n = np.zeros(len(held), int), np.zeros(len(held), int), 0, 0, 0
+    for j, h in enumerate(held.tolist()):
+        if n and rows + h > most:
+            at, rows, n = at + 1, 0, 0
+        cell[j], place[j], rows, n = at, n, rows + h, n + 1
+    return cell, place
+
+
 def search(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vec: str = "embedding", seed: int = 1) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found, by largest inner product."""
     rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), is_query.alias("q")).where(usable(F.col("v")) & F.col("id").isNotNull())
@@ -139,14 +178,20 @@ def search(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id",
                 p = b.slice(at, 4096)
                 x = np.stack(p.column(1).to_numpy(zero_copy_only=False))
                 i = share.value
-                own = i.nearest(i.rotated(x), i.centres, 1)[:, 0]
-                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), p.column(2), pa.array(own.astype(np.int32))], ["id", "v", "q", "list"])
+                x = i.rotated(x)
+                own = i.nearest(x, i.centres, 1)[:, 0]
+                off = np.sqrt(((x - i.centres[own]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), p.column(2), pa.array(own.astype(np.int32)), pa.array(off)], ["id", "v", "q", "list", "off"])
 
-    indexed = written(rows.mapInArrow(assign, "id long, v array<double>, q boolean, list int"), "ann-index")
-    count = {r["list"]: r.n for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # LISTS rows at most
-    held = np.array([count.get(j, 0) for j in range(lists)])
-    cuts = np.maximum(1, -(-held // BLOCK))
-    probe = min(lists, max(PROBE, -(-lists // SHARE)))
+    indexed = written(rows.mapInArrow(assign, "id long, v array<double>, q boolean, list int, off double"), "ann-index")
+    held, radius = np.zeros(lists, np.int64), np.zeros(lists)
+    for r in indexed.groupBy("list").agg(F.count("*").alias("n"), F.max("off").alias("off")).collect():  # LISTS rows at most
+        held[r["list"]], radius[r["list"]] = r.n, r.off
+    cell, place = cells_of(held, min(BLOCK, -(-total // CELLS)))
+    n_cells = int(cell[-1]) + 1
+    members = [np.flatnonzero(cell == c) for c in range(n_cells)]
+    cuts = np.array([max(1, -(-int(held[m].sum()) // BLOCK)) for m in members])
+    probe = min(lists, PROBE)
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,26 +205,64 @@ def search(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id",
                 lists_of = pa.array([r[: min(m, lists)].tolist() for r, m in zip(near, n, strict=True)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), lists_of], ["id", "v", "lists"])
 
-    asked = indexed.where("q").groupBy("id").agg(F.min("v").alias("v")).mapInArrow(probes, "id long, v array<double>, lists array<int>")
-    asked = asked.select("id", "v", F.explode("lists").alias("list"))
-    n_asked = asked.groupBy("list").agg(F.count("*").alias("n")).collect() if total > QUERY_BLOCK else []
-    q_cuts = np.ones(lists, int)
-    for r in n_asked:
-        q_cuts[r["list"]] = max(1, -(-r.n // QUERY_BLOCK))
-    at = lambda a: F.element_at(F.array(*(F.lit(int(n)) for n in a)), F.col("list") + 1)
-    blocks = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    split = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
-    left = indexed.select("id", "v", "list", split(at(cuts), seed + 1).alias("block"), blocks(at(q_cuts)).alias("q_block"))
-    right = asked.select("id", "v", "list", blocks(at(cuts)).alias("block"), split(at(q_cuts), seed + 2).alias("q_block"))
+    asked = written(indexed.where("q").groupBy("id").agg(F.min("v").alias("v")).mapInArrow(probes, "id long, v array<double>, lists array<int>"), "ann-queries")
+    n_asked = asked.count()
+
+    def dealt(queries: DataFrame, rest: bool) -> DataFrame:
+        """(id, v, bound, cell, opened) of (id, v, lists, kth): each cell where a query scans lists, as bits: those named or, for the rest, all others that the bound lets in."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            i = share.value
+            c2 = (i.centres * i.centres).sum(axis=1)
+            for b in batches:
+                for at in range(0, b.num_rows, 1024):
+                    p = b.slice(at, 1024)
+                    named = np.zeros((p.num_rows, lists), bool)
+                    for r, own in enumerate(p.column(2).to_pylist()):
+                        named[r, own] = True
+                    bound = np.full(p.num_rows, np.inf)
+                    if rest:
+                        q = i.rotated(np.stack(p.column(1).to_numpy(zero_copy_only=False)), query=True)
+                        kth, q2 = p.column(3).to_numpy(zero_copy_only=False).astype(np.float64), (q * q).sum(axis=1)  # NaN: fewer than k found
+                        bound = np.where(np.isnan(kth), np.inf, q2 + i.norm2 - 2 * kth + 1e-9 * (q2 + i.norm2))
+                        gap = np.sqrt(np.maximum(0, q2[:, None] + c2[None, :] - 2 * q @ i.centres.T)) - radius
+                        named = ~named & (np.maximum(0, gap - 1e-6 * np.sqrt(i.norm2 + q2)[:, None]) ** 2 <= bound[:, None])
+                    named &= held > 0
+                    for c, m in enumerate(members):
+                        if len(to := np.flatnonzero(named[:, m].any(axis=1))):
+                            bits = [x.tobytes() for x in np.packbits(named[to][:, m], axis=1)]
+                            yield pa.RecordBatch.from_arrays([p.column(0).take(pa.array(to)), p.column(1).take(pa.array(to)), pa.array(bound[to]), pa.array(np.full(len(to), c, np.int32)), pa.array(bits, pa.binary())], ["id", "v", "bound", "cell", "opened"])
+
+        return queries.mapInArrow(run, "id long, v array<double>, bound double, cell int, opened binary")
 
     def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         i, raw, qraw = share.value, np.stack(a["v"]), np.stack(b["v"])
-        got = scan(a["id"].to_numpy(), i.rotated(raw), raw, b["id"].to_numpy(), i.rotated(qraw, query=True), qraw, k)
+        opened = np.unpackbits(np.stack([np.frombuffer(x, np.uint8) for x in b["opened"]]), axis=1).astype(bool)
+        got = scan_cell(place[a["list"].to_numpy()], a["id"].to_numpy(), i.rotated(raw), raw, opened, b["id"].to_numpy(), i.rotated(qraw, query=True), qraw, b["bound"].to_numpy(), k)
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), got, strict=True)))
 
-    on = ["list", "block", "q_block"]
-    best = left.groupBy(on).cogroup(right.groupBy(on)).applyInPandas(one, "query_id long, vec_id long, score double")
+    at = lambda a, c="cell": F.element_at(F.array(*(F.lit(int(n)) for n in a)), F.col(c) + 1)
+    blocks = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    split = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
+    on = ["cell", "block", "q_block"]
+
+    def found(queries: DataFrame, rest: bool) -> DataFrame:
+        sent, q_cuts = dealt(queries, rest), np.ones(n_cells, int)
+        if n_asked > QUERY_BLOCK:
+            for r in sent.groupBy("cell").agg(F.count("*").alias("n")).collect():
+                q_cuts[r.cell] = max(1, -(-r.n // QUERY_BLOCK))
+        left = indexed.select("id", "v", "list", at(cell, "list").alias("cell")).select("id", "v", "list", "cell", split(at(cuts), seed + 1).alias("block"), blocks(at(q_cuts)).alias("q_block"))
+        right = sent.select("id", "v", "bound", "cell", "opened", blocks(at(cuts)).alias("block"), split(at(q_cuts), seed + 2).alias("q_block"))
+        return left.groupBy(on).cogroup(right.groupBy(on)).applyInPandas(one, "query_id long, vec_id long, score double")
+
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    top = lambda df: df.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = top(found(asked.withColumn("kth", F.lit(None).cast("double")), False))
+    if probe == lists:
+        return best
+    best = written(best, "ann-first")
+    kth = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    more = found(asked.join(kth, "id", "left").select("id", "v", "lists", "kth"), True)
+    return top(best.drop("rank").unionByName(more))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from eventloom.llm import ann
 from eventloom.llm.queries import op7_nearest_neighbours
 from pyspark.sql import functions as F
@@ -69,3 +70,18 @@ def test_blocks_of_hot_lists(spark, monkeypatch):
     rows = [(k, v.tolist()) for k, v in enumerate(x)]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
     assert recall(got, brute(rows)) >= 0.9
+
+
+@pytest.mark.parametrize("rows", [20_000, 80_000])
+def test_recall_without_clusters(spark, rows):
+    x = np.random.default_rng(5).standard_normal((rows, 64))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    asked = np.arange(0, rows, rows // 100)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(8)
+    got = ann.search(df, F.col("vec_id") % (rows // 100) == 0).toPandas().sort_values(["query_id", "rank"])
+    assert got.groupby("query_id").size().eq(20).all() and got["query_id"].nunique() == len(asked)
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    want = np.sort(score, axis=1)[:, -20]
+    hit = got["score"].to_numpy().reshape(-1, 20) >= want[:, None] - 1e-12
+    assert hit.mean() >= 0.97
