@@ -43,7 +43,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -418,10 +418,11 @@ def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return sets.groupBy(on).cogroup(pairs.groupBy([f"p_{c}" for c in on])).applyInPandas(one, "a long, b long")
 
 
-def linked(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(id, n, node, root): a row a document; documents with one root are joined by links, node tells different sets apart."""
+def linked(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", key: Column | None = None) -> DataFrame:
+    """(id, n, h, node, root): a row a document; documents with one root are joined by links, node tells different sets apart; h is the key, a hash."""
     spark = docs.sparkSession
-    src = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(doc_id), F.octet_length(text)).alias("h"), F.col(text).alias("text"))
+    key = F.xxhash64(F.col(doc_id), F.octet_length(text)) if key is None else key
+    src = docs.select(F.col(doc_id).cast("long").alias("id"), key.alias("h"), F.col(text).alias("text"))
     heavy = _heavy(src.select("text"), words, percent)
     rows = written(_described(src, words, percent, heavy), "jaccard-sets")
     known = rows.where("n > 0")
@@ -471,12 +472,19 @@ def component_ids(docs: DataFrame, words: int = 5, percent: int = 80, text: str
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents without near copies: of each component the row with the smallest id stays; all columns are kept.
+    """The documents without near copies: of each component one row stays; all columns are kept.
 
-    Documents without words link with nothing, so that all of them stay.
+    Rows count, not ids: it is the row with the smallest id (a null id comes last),
+    then with the smallest hash of id and text; rows of a null or repeated id with
+    texts that aren't linked all stay. Rows with the same id and text are one,
+    told apart from others by 64 bits. Documents without words link with nothing,
+    so that all of them stay.
     """
-    found = component_ids(docs, words, percent, text, doc_id).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(found.withColumnRenamed("doc_id", "gone__"), F.col(doc_id) == F.col("gone__"), "left_anti")
-    lead = Window.partitionBy(doc_id).orderBy(F.xxhash64(F.col(text)), text)
+    key = F.xxhash64(F.col(doc_id), F.col(text))
+    known = written(linked(docs, words, percent, text, doc_id, key).select("id", "h", "root"), "jaccard-roots").where("root is not null")
+    least = known.groupBy(F.col("root").alias("r")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("stays"))
+    gone = known.join(least, F.col("root") == F.col("r")).where("h <> stays.h").select(F.col("h").alias("gone__")).distinct()
+    kept = docs.withColumn("key__", key).join(gone, F.col("key__") == F.col("gone__"), "left_anti")
     no_words = ~F.coalesce(F.regexp_like(F.col(text), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    return kept.withColumn("lead__", F.row_number().over(lead)).where((F.col("lead__") == 1) | no_words).drop("lead__").select(*docs.columns)
+    lead = F.row_number().over(Window.partitionBy("key__").orderBy("key__"))
+    return kept.withColumn("lead__", lead).where((F.col("lead__") == 1) | no_words).select(*docs.columns)

@@ -104,6 +104,15 @@ def test_deduplicated(spark):
     assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(want)
 
 
+def test_deduplicated_by_row(spark):
+    text = lambda c, n=60: " ".join(f"{c}{k}" for k in range(n))
+    near = text("a", 59) + " other"
+    rows = [(1, text("a")), (None, near), (None, text("b")), (None, text("b")), (None, text("c")), (2, text("d")), (2, text("e")), (3, text("f")), (3, near), (4, text("e") + " more"), (None, None), (None, "")]
+    kept = J.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    want = [(1, text("a")), (None, text("b")), (None, text("c")), (2, text("d")), (2, text("e")), (3, text("f")), (None, None), (None, "")]
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
+
+
 def test_query(spark, data):
     docs = [(d.doc_id, d.text) for d in spark.read.parquet(f"{data}/sf0.001/documents.parquet").collect()]
     rows = op6_jaccard_join(spark, f"{data}/sf0.001").collect()
