@@ -61,9 +61,9 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     t = t.withColumn("total", F.sum("source_size").over(every) * F.lit(float(share)))
     t = t.withColumn("capped", F.sum("cap").over(up) - F.col("cap")).withColumn("before", F.sum("weight").over(up) - F.col("weight"))
     t = t.withColumn("level", (F.col("total") - F.col("capped")) / (F.sum("weight").over(every) - F.col("before")))
-    # the first source whose cap isn't reached at the level that holds there fixes the level
-    level = F.min(F.when(F.col("ratio") > F.col("level"), F.struct("ratio", "level"))).over(every)["level"]
-    return t.withColumn("at", level).withColumn("target", F.least("cap", F.coalesce(F.col("at") * F.col("weight"), F.col("cap")))).select("source", "source_size", "target")
+    # the first source whose cap isn't reached at the level that holds there fixes the level; of equal ratios the first has the largest
+    level = F.min(F.when(F.col("ratio") > F.col("level"), F.struct("ratio", (-F.col("level")).alias("minus")))).over(every)["minus"]
+    return t.withColumn("at", -level).withColumn("target", F.least("cap", F.coalesce(F.col("at") * F.col("weight"), F.col("cap")))).select("source", "source_size", "target")
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:

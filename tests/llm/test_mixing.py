@@ -78,3 +78,14 @@ def test_budget_is_met_as_well_as_any_choice():
         assert max(r for r in reach if r <= budget) - got <= (0 if len(lengths) == 1 else max(lengths))
         table = M._knapsack(lengths, counts, min(budget, total))
         assert int((table * lengths).sum()) == max(r for r in reach if r <= min(budget, total))
+
+
+def test_equal_ratios(spark):
+    sizes = dict(zip("abcdef", (10, 100, 200, 10, 100, 200), strict=True))
+    got = {r.source: r.target for r in M.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    assert all(abs(got[s] - t) < 1e-9 for s, t in {"a": 20, "b": 200, "c": 245, "d": 20, "e": 200, "f": 245}.items()), got
+    rows = [(k, s, "w") for s, n in sizes.items() for k in range(n)]
+    check(M.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect(), rows)
+    whole = {"a": 50, "b": 20, "c": 10}  # sizes in the ratio of the weights
+    got = {r.source: r.target for r in M.targets(spark.createDataFrame(list(whole.items()), "source string, source_size long")).collect()}
+    assert all(abs(got[s] - 1.5 * n) < 1e-9 for s, n in whole.items()), got
