@@ -57,44 +57,53 @@ def neighbour_purity(near: DataFrame, labels: DataFrame) -> DataFrame:
     return j.groupBy(F.col("own").alias("label")).agg(F.count("*").alias("n"), F.avg((F.col("own") == F.col("other")).cast("double")).alias("purity"))
 
 
+#: Rows of a block of :func:`nearest`, about; query rows whose distances are held at once.
+BLOCK, AT_ONCE = 20_000, 128
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, distance): exact k nearest of a bounded query table; each task keeps k rows a query.
+    """(query_id, id, distance, rank): exact k nearest, for tables of any size.
 
-    The corpus is read once and meets the queries in blocks, so the work is
-    queries times rows and nothing of the corpus is shuffled but the k best.
+    Both sides are cut into blocks by a hash of the id, and each pair of blocks is
+    a group that keeps k rows a query; equal distances go by smaller id. The work is
+    queries times rows, and a row is shuffled once for each block of the other side.
     """
     import numpy as np
     import pandas as pd
 
-    asked = queries.select("id", "v").orderBy("id").limit(MOST_QUERIES + 1).toPandas()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries")
-    q = (asked["id"].to_numpy(), np.stack(asked["v"]) if len(asked) else np.zeros((0, 1)))
-    share = queries.sparkSession.sparkContext.broadcast(q)
-
-    def run(frames):
-        ids, x = share.value
-        for f in frames:
-            if not len(f) or not len(ids):
-                continue
-            y, own = np.stack(f["v"]), f["id"].to_numpy()
-            d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T))
-            d[ids[:, None] == own[None, :]] = np.inf
-            top = np.argsort(d, axis=1, kind="stable")[:, :k]
-            exact = np.sqrt(((x[:, None, :] - y[top]) ** 2).sum(axis=2))
-            exact[np.take_along_axis(d, top, 1) == np.inf] = np.inf
-            out = pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "id": own[top].ravel(), "distance": exact.ravel()})
-            yield out[out["distance"] < np.inf]
-
-    found = corpus.select("id", "v").mapInPandas(run, "query_id long, id long, distance double")
+    n_q, n_c = (max(1, -(-df.count() // BLOCK)) for df in (queries, corpus))
+
+    def one(a, b):
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "distance": np.zeros(0)})]
+        if len(a) and len(b):
+            ids, own, y = a["q_id"].to_numpy(), b["c_id"].to_numpy(), np.stack(b["c_v"]).astype(np.float64)
+            y2 = (y * y).sum(axis=1)
+            for at in range(0, len(a), AT_ONCE):
+                i, x = ids[at : at + AT_ONCE], np.stack(a["q_v"].iloc[at : at + AT_ONCE]).astype(np.float64)
+                x2 = (x * x).sum(axis=1)
+                d = np.maximum(0, x2[:, None] + y2[None, :] - 2 * x @ y.T)
+                d[i[:, None] == own[None, :]] = np.inf
+                kth = np.partition(d, min(k, len(own)) - 1, axis=1)[:, min(k, len(own)) - 1]
+                slack = 4e-9 * (1 + np.sqrt(kth)) + 1e-12 * (x2 + y2.max())  # what rounds to the k-th distance counts too
+                row, col = np.nonzero((d <= (kth + slack)[:, None]) & (d < np.inf))
+                exact = np.concatenate([np.zeros(0), *(np.sqrt(((x[row[j : j + 50_000]] - y[col[j : j + 50_000]]) ** 2).sum(axis=1)) for j in range(0, len(row), 50_000))])
+                order = np.lexsort((own[col], np.round(exact, 9), row))
+                row, col, exact = row[order], col[order], exact[order]
+                first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, int)
+                top = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)])) < k
+                out.append(pd.DataFrame({"query_id": i[row[top]], "id": own[col[top]], "distance": exact[top]}))
+        return pd.concat(out)
+
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(F.col("id").alias("q_id"), F.col("v").alias("q_v"), block(n_q).alias("q_block"), every(n_c).alias("block"))
+    right = corpus.select(F.col("id").alias("c_id"), F.col("v").alias("c_v"), every(n_q).alias("q_block"), block(n_c).alias("block"))
+    on = ["q_block", "block"]
+    found = left.groupBy(on).cogroup(right.groupBy(on)).applyInPandas(one, "query_id long, id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-#: Rows that :func:`nearest` takes as queries, at most: they are broadcast.
-MOST_QUERIES = 20_000
-
-
 def memberships(df: DataFrame, centres: DataFrame, m: float = 2.0) -> DataFrame:
     """(id, u): fuzzy c-means memberships to a few centres, in order of the centres' names."""
     c = centres.agg(F.transform(F.array_sort(F.collect_list(F.struct(*centres.columns))), lambda s: s["centre"]).alias("cs"))

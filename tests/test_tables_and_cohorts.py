@@ -139,3 +139,16 @@ def test_vectors(spark):
     assert math.isclose(sum(v[0] for v in z.values()), 0, abs_tol=1e-12) and math.isclose(sum(v[1] ** 2 for v in z.values()), 3)
     whole = df.where("id <> 2")
     assert geometry.nearest(whole, whole, 1).count() == 2
+
+
+def test_nearest_by_blocks(spark, monkeypatch):
+    n = 20_500  # one line, more queries than one block
+    df = spark.range(n).selectExpr("id", "array(CAST(id AS DOUBLE), 0D) AS v")
+    got = {r.query_id: sorted(r.ids) for r in geometry.nearest(df, df, 2).groupBy("query_id").agg(F.collect_list("id").alias("ids")).collect()}
+    assert got == {k: [1, 2] if k == 0 else [n - 3, n - 2] if k == n - 1 else [k - 1, k + 1] for k in range(n)}
+    monkeypatch.setattr(geometry, "BLOCK", 50)
+    rows = [(k, [float(k * 7 % 11), float(k * 5 % 13)]) for k in range(200)]  # many at equal distances
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = sorted((r.query_id, r["rank"], r.id) for r in geometry.nearest(df.where("id % 2 = 0"), df, 7).collect())
+    want = [(q, k + 1, i) for q, v in rows if q % 2 == 0 for k, (_, i) in enumerate(sorted((round(math.dist(v, w), 9), i) for i, w in rows if i != q)[:7])]
+    assert got == want
