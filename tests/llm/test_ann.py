@@ -85,3 +85,36 @@ def test_recall_without_clusters(spark, rows):
     want = np.sort(score, axis=1)[:, -20]
     hit = got["score"].to_numpy().reshape(-1, 20) >= want[:, None] - 1e-12
     assert hit.mean() >= 0.97
+
+
+@pytest.mark.parametrize("long", [1e9, 1e30, 1e200, 1e307])
+def test_recall_beside_one_long_vector(spark, long):
+    x = np.random.default_rng(6).standard_normal((3000, 32))
+    x[7] = 0
+    x[7, 0] = long
+    rows = list(enumerate(x.tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 20 == 0).collect()
+    assert recall(got, brute(rows)) >= 0.97
+
+
+def test_norms_of_all_sizes(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((4000, 16)) * 10.0 ** rng.uniform(-12, 12, (4000, 1))
+    x[:50] *= 1e-290
+    rows = list(enumerate(x.tolist()))
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert recall(got, brute(rows)) >= 0.97
+
+
+def test_scores_beyond_doubles(spark):
+    rows = [(k, [1e200 * (k + 1), 1.0]) for k in range(30)] + [(40, [-1e200, 2.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(1, 21)) and all(r.score == np.inf for r in got)
+
+
+def test_few_lists_are_opened_where_clusters_are(spark):
+    rng = np.random.default_rng(8)
+    middle = rng.standard_normal((200, 32))
+    x = middle[rng.integers(0, 200, 20_000)] + 0.1 * rng.standard_normal((20_000, 32))
+    assert ann.Index(x, 70, 20).probed < 30
