@@ -2,16 +2,17 @@
 
 A source's target is a number of words. Documents are counted by exact length
 (source, length); what the target leaves after whole passes over the source is
-the budget. Each length first gives the same share of its documents; then whole
-documents, longest first, bring what is left under one DP table's size; there a
-bounded-knapsack table over the lengths still free hits the remaining budget
-exactly, or as near below as any choice of them can. Which documents of a
-length are taken is by a seeded hash of the id, so reruns agree.
+the budget. Each length first gives the same share of its documents, so that the
+mix has the source's lengths; a bounded-knapsack table over all documents still
+free then fits what the share leaves. Where it can't be met exactly the share is
+cut back and the table grows, up to the whole budget: the sum is the largest
+that any choice of documents reaches (within TABLE_BITS). Which documents of a
+length are taken is by a seeded hash of id and text, so reruns agree.
 
 Scale. The planning step sees lengths, not documents: at most as many rows as a
 source has distinct lengths. Documents of one (source, length) are ranked in
-SPLITS parts by hash, with the parts' counts as offsets, so that no task needs
-all documents of a hot source or length.
+parts by hash (SPLITS, or more of PART_ROWS documents), with the parts' counts as
+offsets, so that no task needs all documents of a hot source or length.
 
 Values: a null text, or one without words, has size 0 and is taken at 0 words;
 null sources are one source, after all others; a source of no words has target
@@ -21,6 +22,7 @@ columns replace columns of the same name.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -33,10 +35,16 @@ from .scratch import free_name, written
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
-#: Parts in which the documents of one (source, length) are ranked.
-SPLITS = 64
-#: Cells of a knapsack table: the remaining budget is fitted below this many words.
+#: Parts in which the documents of one (source, length) are ranked at least, and documents for each part where there are more.
+SPLITS, PART_ROWS = 64, 4_000_000
+#: Words of the budget that the first knapsack table fits.
 TABLE = 1 << 16
+#: Documents of a short length that the table may always choose or leave.
+EACH = 8
+#: Bits of all tables held at once (256 MB). A budget that no smaller table meets gets one of its full size up to here, for
+#: instance 10 million words in 2,500 steps of the table, or 200 million in 30. Beyond that the sum is the best of the largest
+#: window allowed; with more documents than that the window nearly always meets the budget.
+TABLE_BITS = 1 << 31
 
 
 def word_count(text: Column) -> Column:
@@ -67,66 +75,113 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that their words come nearest to the budget from below."""
+    """How many documents of each length to take so that their words come nearest to the budget from below.
+
+    A share of each length goes first, the same for all, and leaves a window of the
+    budget to a bounded-knapsack table over all documents still free. The window
+    doubles until the table meets the budget, or is the whole budget, so
+    that no better choice exists. Only where the table would need more than
+    TABLE_BITS does the nearest sum so far stand (see :data:`TABLE_BITS`).
+    """
     order = np.argsort(-lengths)
     size, free = lengths[order].astype(np.int64), counts[order].astype(np.int64)
     total = int((size * free).sum())
-    take = np.zeros(len(size), np.int64)
-    if total == 0 or budget <= 0:
-        return take
+    best = np.zeros(len(size), np.int64)
     if budget >= total:
-        take = free.copy()
-        budget = 0
-    else:
-        # an even share of each length, in whole numbers, less what one table fits best
-        take = np.array([int(c) * budget // total for c in free], np.int64)
-        left = budget - int((size * take).sum())
-        free = free - take
-        for k in range(len(size)):  # longest first, down to what a table holds
-            if left <= TABLE // 2:
-                break
-            n = min(int(free[k]), max(0, left - TABLE // 2) // int(size[k]) if size[k] else 0)
-            take[k], free[k], left = take[k] + n, free[k] - n, left - n * int(size[k])
-        for k in range(len(size)):
-            if left < TABLE:
+        best = free.copy()
+    elif total and budget > 0:
+        step = int(np.gcd.reduce(size[(size > 0) & (free > 0)]))  # all sums are multiples of it
+        small, goal = size // step, budget // step
+        window = min(TABLE, goal)
+        while True:
+            take = _shared(small, free - _reserve(small, free, window), goal - window)
+            left = goal - int((small * take).sum())
+            take = take + _knapsack(small, free - take, left)
+            if int((small * take).sum()) > int((small * best).sum()):
+                best = take
+            if window == goal or int((small * best).sum()) == goal or table_bits(small, free, min(2 * window, goal)) > TABLE_BITS:
                 break
-            n = min(int(free[k]), left // int(size[k]) if size[k] else 0)
-            take[k], free[k], left = take[k] + n, free[k] - n, left - n * int(size[k])
-        take += _knapsack(size, free, min(left, TABLE - 1))
+            window = min(2 * window, goal)
     out = np.empty(len(size), np.int64)
-    out[order] = take
+    out[order] = best
+    return out
+
+
+def _reserve(size: np.ndarray, free: np.ndarray, words: int) -> np.ndarray:
+    """The shortest documents, up to EACH of a length, of so many words: they stay free for the table."""
+    some = np.minimum(free, EACH)
+    upto = np.cumsum((size * some)[::-1])[::-1]  # lengths come in falling order
+    return np.where(upto <= words, some, 0)
+
+
+def _shared(size: np.ndarray, free: np.ndarray, words: int) -> np.ndarray:
+    """About the same share of each length, ``words`` or less by at most the longest document in sum."""
+    take, total, ideal, held = np.zeros(len(size), np.int64), int((size * free).sum()), 0, 0
+    if words > 0:
+        for k, (s, n) in enumerate(zip(size.tolist(), free.tolist(), strict=True)):
+            ideal += s * n * words  # in parts of total
+            if s:
+                take[k] = max(0, min(n, (ideal // total - held) // s))
+                held += int(take[k]) * s
+    return take
+
+
+def _parts(size: np.ndarray, free: np.ndarray, budget: int) -> list[tuple[int, int]]:
+    """(length's place, documents at once): counts in powers of two, as far as the budget can use them."""
+    out = []
+    for k, (s, n) in enumerate(zip(size.tolist(), free.tolist(), strict=True)):
+        n, part = min(n, budget // s if s else 0), 1
+        while n > 0:
+            out.append((k, min(part, n)))
+            n, part = n - part, part * 2
     return out
 
 
+def table_bits(size: np.ndarray, free: np.ndarray, budget: int) -> int:
+    """Bits of the tables that :func:`_knapsack` keeps at once."""
+    return 2 * (budget + int(size.max())) * (math.isqrt(len(_parts(size, free, budget))) + 1)
+
+
 def _knapsack(size: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded knapsack over lengths: the largest reachable sum up to the budget, as counts by length."""
+    """Bounded knapsack over lengths: the largest reachable sum up to the budget, as counts by length.
+
+    A table is the bits of one whole number. Every so many steps one is kept; the
+    tables between two of them are made again on the way back.
+    """
     take = np.zeros(len(size), np.int64)
-    reach, mask, steps = 1, (1 << budget + 1) - 1, []
-    for k in range(len(size)):
-        n, part = min(int(free[k]), budget // int(size[k]) if size[k] else 0), 1
-        while n > 0 and not reach >> budget & 1:  # counts in powers of two
-            m = min(part, n)
-            new = (reach | reach << m * int(size[k])) & mask
-            if new != reach:
-                steps.append((k, m, reach))
-                reach = new
-            n, part = n - m, part * 2
+    parts, mask = _parts(size, free, budget), (1 << budget + 1) - 1
+    grown = lambda reach, k, m: (reach | reach << m * int(size[k])) & mask
+    every = math.isqrt(len(parts)) + 1
+    reach, kept, done = 1, [], 0
+    for k, m in parts:
+        if reach >> budget & 1:
+            break
+        if done % every == 0:
+            kept.append(reach)
+        reach, done = grown(reach, k, m), done + 1
     at = reach.bit_length() - 1
-    for k, m, before in reversed(steps):
-        if not before >> at & 1:
-            take[k] += m
-            at -= m * int(size[k])
+    for block in range(len(kept) - 1, -1, -1):
+        own = parts[block * every : min(done, (block + 1) * every)]
+        tables = [kept.pop()]
+        for k, m in own[:-1]:
+            tables.append(grown(tables[-1], k, m))
+        for (k, m), before in zip(reversed(own), reversed(tables), strict=True):
+            if not before >> at & 1:
+                take[k] += m
+                at -= m * int(size[k])
     return take
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 1, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """Adds size, source_size, target, copies, and taken (words the mix takes of the document: copies * size)."""
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
-    key, part, rank = (free_name(docs, x) for x in ("mix_key", "mix_part", "mix_rank"))
+    key, part, draw, rank = (free_name(docs, x) for x in ("mix_key", "mix_part", "mix_draw", "mix_rank"))
+    splits = max(SPLITS, -(-docs.count() // PART_ROWS))
     base = docs.withColumns({
         "size": word_count(F.col(text)),
         key: F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")),  # "" stands for null
-        part: F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed + 1)), F.lit(SPLITS)).cast("int"),
+        part: F.pmod(F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed + 1)), F.lit(splits)).cast("int"),
+        draw: F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed)),
     })
     counts = written(base.groupBy(F.col(key).alias("key"), "size", F.col(part).alias("part")).agg(F.count("*").alias("n")), "mix-counts")
     hist = counts.groupBy("key", "size").agg(F.sum("n").alias("n"))
@@ -148,7 +203,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     before = counts.withColumn("before", F.sum("n").over(upto) - F.col("n"))
     quota = before.join(planned, ["key", "size"]).join(goal, "key")
     quota = quota.select("key", "size", "part", F.greatest(F.lit(0), F.least("n", F.col("take") - F.col("before"))).alias("quota"), "source_size", "target", "passes")
-    order = Window.partitionBy(key, "size", part).orderBy(F.xxhash64(F.col(doc_id), F.lit(seed)), F.col(doc_id))
+    order = Window.partitionBy(key, "size", part).orderBy(draw, F.col(doc_id))
     a, b = base.withColumn(rank, F.row_number().over(order)).alias("a"), quota.alias("b")
     on = (F.col(f"a.{key}") == F.col("b.key")) & (F.col("a.size") == F.col("b.size")) & (F.col(f"a.{part}") == F.col("b.part"))
     copies = (F.col("b.passes") + F.when(F.col(f"a.{rank}") <= F.col("b.quota"), 1).otherwise(0)).cast("long")
