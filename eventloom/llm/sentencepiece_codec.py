@@ -2,16 +2,22 @@
 
 A text becomes words: SentencePiece's normalised form has a space mark before
 each word, and no piece of a BPE model crosses from a letter into a mark, so
-words can be merged apart from each other. The distinct words of a chunk lie
-in one flat array of symbol ids. A round finds each word's best pair with one
-segmented minimum, merges it in all words at once, and drops words that have no
-pair left; rounds end when none remains.
+words can be merged apart from each other. A word is cut once more between any
+two characters that stand side by side in no piece, as no merge crosses there.
+The distinct words of a chunk lie in one flat array of symbol ids. A round finds
+each part's best pair with one segmented minimum, merges it in all parts at
+once, and drops parts that have no pair left; rounds end when none remains.
 
 Exactness. The library takes the best-scored pair, the leftmost of equals, one
-at a time. Several copies of a word's best pair may be merged in one round only
-if that cannot make a pair that comes before the copies still to be merged.
-The model's table tells for which pieces this is sure; for all others just the
-leftmost copy is merged in a round.
+at a time. Several copies of a part's best pair may be merged in one round only
+if that cannot make a pair that comes before the copies still to be merged. The
+model's table tells for which pieces this is sure; for all others just the
+leftmost copy is merged in a round. That takes many rounds in a long part (a run
+of one letter, text without spaces), so that there every pair is merged for
+which the text around shows that no merge can come before: none of the pieces
+that could take a symbol of the pair, or the merged pair itself, has a better
+score (:meth:`Codec._settled`). Rounds then grow with how far merges depend on
+each other and not with a part's length.
 
 Values: a null text counts as empty; an empty text gives the begin and end ids
 alone. Whole texts are read, of any length; repeated rows give equal rows; an
@@ -36,7 +42,13 @@ SPACE = "▁"
 STORE_WORDS, STORE_SYMBOLS = 250_000, 4_000_000
 #: Bytes of text that are worked on at once; one longer text is worked on alone.
 CHUNK_BYTES = 250_000
+#: Symbols from which a part of a word counts as long.
+LONG = 32
 NONE = np.iinfo(np.int32).max
+U = np.uint64
+#: Base of the polynomial hash of pieces, and what undoes a step of it.
+BASE = 0x9E3779B97F4A7C15
+BACK = pow(BASE, -1, 1 << 64)
 
 
 def _one_mark_per_byte(e: UnicodeError) -> tuple[str, int]:
@@ -89,13 +101,46 @@ class Codec:
         self.maybe[self._slot(self.keys)] = True
         self.unsure = np.zeros(n, bool)
         self.unsure[list(unsure)] = True
-        self.table = [b"" if sp.is_control(i) else " ⁇ ".encode() if i == unk else bytes([int(p[1:-1], 16)]) if sp.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.space_led = [p.startswith(SPACE) and i in rank for i, p in enumerate(pieces)]
-        self.control = [sp.is_control(i) for i in range(n)]
+        # which characters stand side by side in a piece
+        self.compact = np.full(n + 1, -1, np.int32)  # the last stands for characters without a piece
+        self.compact[list(self.chars.values())] = np.arange(len(self.chars))
+        self.joined = np.zeros((len(self.chars), len(self.chars)), bool)
+        for p in ids:
+            if len(p) > 1:
+                c = self.compact[[self.chars.get(x, n) for x in p]]
+                self.joined[c[:-1][(c[:-1] >= 0) & (c[1:] >= 0)], c[1:][(c[:-1] >= 0) & (c[1:] >= 0)]] = True
+        # ranks of pieces by a hash of their characters
+        self.longest = max(map(len, ids))
+        hashes = []
+        for p in ids:
+            h = 0
+            for k, ch in enumerate(p):
+                h += ord(ch) * pow(BASE, k, 1 << 64)
+            hashes.append(h & (1 << 64) - 1)
+        self.hashes, of = np.unique(np.array(hashes, U), return_index=True)
+        self.hash_ranks = np.array([rank[i] for i in ids.values()], np.int32)[of]
+        self.seen = np.zeros(1 << self.bits, bool)
+        self.seen[self._slot(self.hashes)] = True
+        raw = [b"" if sp.is_control(i) else " ⁇ ".encode() if i == unk else bytes([int(p[1:-1], 16)]) if sp.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw_size = np.fromiter(map(len, raw), np.int64, n)
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
+        self.space_led = np.array([p.startswith(SPACE) and i in rank for i, p in enumerate(pieces)])
+        self.control = np.array([sp.is_control(i) for i in range(n)])
         self.n = n
         alone = "" if "\n" in self.chars else "\n"
         self.words = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|{alone}+" if alone else ""))
         self._forget()
+        # characters whose runs are pieces of one rank: such a run is merged from its left end, block by block
+        self.tied: dict[int, tuple[int, int, int]] = {}
+        of_rank = {ch: {rank[ids[ch * k]] for k in range(2, self.longest + 1) if ch * k in ids} for ch in self.chars if ch * 3 in ids}
+        for ch, own in of_rank.items():
+            most = max(k for k in range(2, self.longest + 1) if ch * k in ids)
+            if len(own) == 1 and not self.joined[:, self.compact[self.chars[ch]]][np.arange(len(self.chars)) != self.compact[self.chars[ch]]].any():
+                alone = [self.merge_rounds([ch * k])[0].tolist() for k in range(1, 2 * most + 1)]
+                if all(alone[most + k - 1] == [ids[ch * most], *(alone[k - 1] if k else [])] for k in range(most + 1)):
+                    self.tied[self.chars[ch]] = (own.pop(), most, ids[ch * most])
+        self._forget()
 
     def _forget(self) -> None:
         self.store: dict[str, int] = {}
@@ -119,15 +164,131 @@ class Codec:
         out[at[hit]], made[at[hit]] = self.ranks[k[hit]], self.made[k[hit]]
         return out, made
 
+    def _hashed(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of the polynomial hash, and what brings a span's part of it to the text's begin."""
+        n = len(points)
+        power, back = np.full(n + 1, BASE, U), np.full(n + 1, BACK, U)
+        power[0] = back[0] = 1
+        power, back = np.cumprod(power), np.cumprod(back)
+        return np.r_[np.zeros(1, U), np.cumsum(points.astype(U) * power[:n])], back
+
+    def _piece_rank(self, sums: np.ndarray, back: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The rank of the piece that each span of the text spells; NONE where it is none. (A hash that misleads only makes a merge wait.)"""
+        out = np.full(len(begin), NONE, np.int32)
+        h = (sums[end] - sums[begin]) * back[begin]
+        at = np.flatnonzero(self.seen[self._slot(h)])
+        if len(at):
+            k = np.searchsorted(self.hashes, h[at])
+            k[k == len(self.hashes)] = 0
+            hit = self.hashes[k] == h[at]
+            out[at[hit]] = self.hash_ranks[k[hit]]
+        return out
+
+    def _settled(self, rank: np.ndarray, made: np.ndarray, owner: np.ndarray, begin: np.ndarray, end: np.ndarray, where: np.ndarray, sums: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """Pairs among ``where`` that are sure to be merged as they are, and may be at once.
+
+        A pair of rank r stays until its turn if no piece of better rank could take one
+        of its symbols with symbols beside it, and merging it early gives way to nothing
+        else if no piece of rank up to r could take the merged pair. Such pieces begin and
+        end where symbols do. Of equal pairs that overlap in a run, every other one is
+        merged, beginning at the left, as far as all before it are.
+        """
+        r = rank[where]
+        before = np.r_[np.int32(NONE), rank][where]
+        after = np.r_[rank, np.int32(NONE)][where + 1]
+        where = where[(r != NONE) & (before >= r) & (after >= r)]
+        if not len(where):
+            return where
+        width = end[where] - begin[where]
+        lead = np.r_[True, (where[1:] != where[:-1] + 1) | (made[where[1:]] != made[where[:-1]]) | (width[1:] != width[:-1])]
+        at = np.arange(len(where))
+        start = np.maximum.accumulate(np.where(lead, at, 0))
+        run_open = lead[start] & (np.r_[np.int32(NONE), rank][where[start]] > rank[where[start]])
+        even = run_open & ((at - start) % 2 == 0)
+        live = at[even]  # places in `where`
+        # within a run all symbols are alike: one pair stands for those that have nothing else around them
+        deep = 4 * self.longest
+        stop = np.minimum.accumulate(np.where(np.r_[lead[1:], True], at + 1, len(where))[::-1])[::-1]  # where the run ends
+        inner = live[(live - start[live] > deep) & (stop[live] - live > deep)]
+        checked = np.setdiff1d(live, inner, assume_unique=True) if len(inner) else live
+        own, r, last = owner[where], rank[where], len(rank) - 1
+        a, mid, b = begin[where], end[where], end[where + 1]
+        todo_left, todo_right = checked, checked
+        bad = np.zeros(len(where), bool)
+        for k in range(1, self.longest):
+            if len(todo_left):
+                to = where[todo_left] - k
+                ok = (to >= 0) & (owner[np.maximum(to, 0)] == own[todo_left])
+                to, todo_left = to[ok], todo_left[ok]
+                s = begin[to]
+                ok = mid[todo_left] - s <= self.longest
+                s, todo_left = s[ok], todo_left[ok]
+                if len(s):
+                    limit = r[todo_left]
+                    got = self._piece_rank(sums, back, s, mid[todo_left])
+                    stop = (got < limit) if k == 1 else (got <= limit)
+                    stop |= self._piece_rank(sums, back, s, b[todo_left]) <= limit
+                    bad[todo_left[stop]] = True
+            if len(todo_right):
+                to = where[todo_right] + 1 + k
+                ok = (to <= last) & (owner[np.minimum(to, last)] == own[todo_right]) & ~bad[todo_right]
+                to, todo_right = to[ok], todo_right[ok]
+                e = end[to]
+                ok = e - mid[todo_right] <= self.longest
+                e, todo_right = e[ok], todo_right[ok]
+                if len(e):
+                    limit = r[todo_right]
+                    stop = self._piece_rank(sums, back, mid[todo_right], e) < limit
+                    stop |= self._piece_rank(sums, back, a[todo_right], e) <= limit
+                    bad[todo_right[stop]] = True
+            todo_left = todo_left[~bad[todo_left]]
+            if not len(todo_left) and not len(todo_right):
+                break
+        bad[inner] = bad[start[inner] + deep]
+        # in a run, as far as all before are merged
+        wrong = np.cumsum(bad & even)
+        return where[live[wrong[live] == (wrong - (bad & even))[start[live]]]]
+
+    def _blocks(self, symbols: np.ndarray, owner: np.ndarray, best: np.ndarray, count: np.ndarray, wide: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Merges the blocks of long runs of tied pieces (but for the last two, which what follows may touch), and returns the symbols that are gone."""
+        gone = [np.zeros(0, np.int64)]
+        first = np.cumsum(count) - count
+        for c, (r, most, whole) in self.tied.items():
+            for k in np.flatnonzero((best == r) & wide[owner[first]] & (symbols[first] == c) & (count > 3 * most)).tolist():
+                own = symbols[first[k] : first[k] + count[k]]
+                other = own != c
+                n = int(other.argmax()) if other.any() else len(own)
+                if (q := n // most - 2) > 0:
+                    at = first[k] + most * np.arange(q)
+                    symbols[at] = whole
+                    end[at] = end[at + most - 1]
+                    inner = np.ones(q * most, bool)
+                    inner[::most] = False
+                    gone.append(first[k] + np.flatnonzero(inner))
+        return np.concatenate(gone)
+
     def merge_rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in one array, and how many each word has."""
-        text = "".join(words)
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         symbols = self.symbol_of[points]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
+        if not len(symbols):
+            return np.zeros(0, np.int32), sizes
+        c = self.compact[np.where(symbols >= 0, symbols, self.n)]
+        cut = np.ones(len(symbols), bool)
+        cut[1:] = (c[:-1] < 0) | (c[1:] < 0) | ~self.joined[c[:-1], c[1:]]
+        starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+        cut[starts] = True
+        owner = np.cumsum(cut) - 1  # the part of a word that a symbol is in
+        part_of_word = owner[starts]
+        wide = np.bincount(owner) > LONG
+        spread = bool(wide.any())
+        if spread:
+            begin = np.arange(len(symbols))
+            end = begin + 1
+            sums, back = self._hashed(points)
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        names = np.arange(len(words))
-        owner = np.repeat(names, sizes)
+        blocks = spread and bool(self.tied)
 
         def pair_ranks(sym: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             r, m = np.full(len(sym), NONE, np.int32), np.zeros(len(sym), np.int32)
@@ -145,23 +306,44 @@ class Codec:
             if not live.all():  # compaction
                 over = np.repeat(~live, count)
                 done.append((owner[first[~live]], count[~live], symbols[over]))
-                symbols, owner, rank, made = symbols[~over], owner[~over], rank[~over], made[~over]
+                keep = ~over
+                symbols, owner, rank, made = symbols[keep], owner[keep], rank[keep], made[keep]
+                if spread:
+                    begin, end = begin[keep], end[keep]
                 best, count = best[live], count[live]
                 if not len(symbols):
                     break
+            if blocks and len(gone := self._blocks(symbols, owner, best, count, wide, end)):
+                keep = np.ones(len(symbols), bool)
+                keep[gone] = False
+                symbols, owner, begin, end = symbols[keep], owner[keep], begin[keep], end[keep]
+                rank, made = pair_ranks(symbols, owner)
+                continue
             at = np.flatnonzero(rank == np.repeat(best, count))
-            lead = np.r_[True, owner[at[1:]] != owner[at[:-1]]]  # the leftmost of its word
+            lead = np.r_[True, owner[at[1:]] != owner[at[:-1]]]  # the leftmost of its part
             run = np.r_[True, (at[1:] != at[:-1] + 1) | lead[1:]]
-            begin = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+            start = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
             sure = ~self.unsure[made[at]]
-            # a word's copies may have been made of different halves, but they make one piece, so that `sure` is the same
-            at = at[lead | (sure & ((np.arange(len(at)) - begin) % 2 == 0))]
+            # a part's copies may have been made of different halves, but they make one piece, so that `sure` is the same
+            more = sure & ((np.arange(len(at)) - start) % 2 == 0)
+            if spread:
+                more &= ~wide[owner[at]]
+                at = at[lead | more]
+                long = np.flatnonzero(wide[owner] & (rank != NONE))
+                if len(long):
+                    at = np.union1d(at, self._settled(rank, made, owner, begin, end, long, sums, back))
+            else:
+                at = at[lead | more]
             symbols[at] = made[at]
+            if spread:
+                end[at] = end[at + 1]
             keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
             moved = np.cumsum(keep) - 1
             new = moved[at]
             symbols, owner, rank, made = symbols[keep], owner[keep], rank[keep], made[keep]
+            if spread:
+                begin, end = begin[keep], end[keep]
             mark = np.zeros(len(symbols), bool)
             mark[new] = True
             mark[new[new > 0] - 1] = True
@@ -170,16 +352,12 @@ class Codec:
             rank[touched] = NONE
             inner = inner[owner[inner] == owner[inner + 1]]
             rank[inner], made[inner] = self._rank(symbols[inner], symbols[inner + 1])
-        if not done:
-            return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
         name = np.concatenate([d[0] for d in done])
         count = np.concatenate([d[1] for d in done])
         body = np.concatenate([d[2] for d in done])
-        sizes = np.zeros(len(words), np.int64)
-        sizes[name] = count
         order = np.argsort(name, kind="stable")
-        begin = (np.cumsum(count) - count)[order]
-        body = body[_spans(begin, count[order])]
+        body = body[_spans((np.cumsum(count) - count)[order], count[order])]
+        sizes[sizes > 0] = np.add.reduceat(count[order], part_of_word)
         if (body < 0).any():
             body, sizes = self._bytes(body, sizes)
         return body, sizes
@@ -187,13 +365,16 @@ class Codec:
     def _bytes(self, body: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece become their bytes."""
         at = np.flatnonzero(body < 0)
-        raw = [chr(-1 - int(c)).encode("utf-8", "replace") for c in body[at]]
+        kinds, which = np.unique(body[at], return_inverse=True)
+        raw = [chr(-1 - int(c)).encode("utf-8", "replace") for c in kinds]
+        wide = np.fromiter(map(len, raw), np.int64, len(raw))
         width = np.ones(len(body), np.int64)
-        width[at] = [len(x) for x in raw]
+        width[at] = wide[which]
         ends = np.cumsum(sizes)
         total = np.r_[0, np.cumsum(width)]
         out = np.repeat(body, width)
-        out[_spans(total[at], width[at])] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        out[_spans(total[at], width[at])] = self.byte_ids[flat[_spans((np.cumsum(wide) - wide)[which], width[at])]]
         return out, total[ends] - total[ends - sizes]
 
     def _learn(self, words: list[str]) -> None:
@@ -233,23 +414,33 @@ class Codec:
             at = end
         return out
 
+    def decode_all(self, texts: list[np.ndarray]) -> list[str]:
+        """The text of each array of ids, as the library's decode(ids) gives it."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ids = np.concatenate(texts).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
+        width = self.raw_size[ids]
+        raw = self.raw[_spans(self.raw_start[ids], width)].tobytes()
+        control = self.control[ids]
+        upto, plain = np.r_[0, np.cumsum(width)], np.flatnonzero(~control)
+        out, at = [], 0
+        bounds = np.searchsorted(plain, np.r_[0, np.cumsum(sizes)]).tolist()
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            if low == high:
+                out.append("")
+                continue
+            first, last = plain[low], plain[high - 1]
+            skip = int(self.space_led[ids[first]])  # the dummy prefix goes
+            if last - first + 1 == high - low:
+                out.append(raw[upto[first] + skip : upto[last + 1]].decode("utf-8", "eventloom-bytewise"))
+            else:  # bytes on two sides of a control piece are no one character
+                own = plain[low:high]
+                ends = np.r_[np.flatnonzero(own[1:] != own[:-1] + 1), len(own) - 1]
+                begins = np.r_[0, ends[:-1] + 1]
+                out.append("".join(raw[upto[own[x]] + (skip if x == 0 else 0) : upto[own[y] + 1]].decode("utf-8", "eventloom-bytewise") for x, y in zip(begins, ends, strict=True)))
+        return out
+
     def decode(self, ids: np.ndarray) -> str:
-        """The text of ids, as the library's decode(ids) gives it."""
-        runs: list[list[int]] = [[]]
-        for i in ids.tolist():  # bytes on two sides of a control piece are no one character
-            if self.control[i]:
-                runs.append([])
-            else:
-                runs[-1].append(i)
-        parts, begun = [], False
-        for run in runs:
-            if run:
-                raw = [self.table[i] for i in run]
-                if not begun and self.space_led[run[0]]:  # the dummy prefix goes
-                    raw[0] = raw[0][1:]
-                begun = True
-                parts.append(b"".join(raw).decode("utf-8", "eventloom-bytewise"))
-        return "".join(parts)
+        return self.decode_all([ids])[0]
 
 
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -307,8 +498,9 @@ def _decoder(schema: T.StructType, model: str, ids: str, text: str, keep_ids: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for batch in batches:
-            out = [c.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in batch.column(ids)]
-            yield _put(batch, names, text, pa.array(out, pa.string()))
+            for part in _chunks(batch, ids):
+                out = c.decode_all([np.frombuffer(x.as_py() or b"", "<u4") for x in part.column(ids)])
+                yield _put(part, names, text, pa.array(out, pa.string()))
 
     return schema, run
 

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import base64
 import random
+import time
 
 import numpy as np
 import pytest
@@ -52,6 +54,44 @@ def test_long_text_and_store_reset(sp, monkeypatch):
     check(sp, ["".join(r.choices("abcdefgh ", k=500)) for _ in range(5)])
 
 
+def long_words(n):
+    r = random.Random(3)
+    return {
+        "spaces": " " * n, "tabs": "\t" * n, "letter": "a" * n, "marks": "=" * n, "two": "ab" * (n // 2), "base64": base64.b64encode(r.randbytes(n * 3 // 4)).decode(),
+        "letters": "".join(r.choices("etaoinshrdlu", k=n)), "genome": "".join(r.choices("acgt", k=n)), "odd": "x" + " " * n + "the end", "runs": "".join(c * r.randint(1, 90) for c in r.choices("ae =-.▁o", k=n // 45)),
+    }
+
+
+def test_long_words(sp):
+    check(sp, [*long_words(20_000).values()])
+
+
+def test_time_grows_with_the_length_only(sp):
+    c = S.codec(tokenizer_path())
+    for name, t in long_words(1_000_000).items():
+        began = time.perf_counter()
+        want_ids = sp.encode(t, add_bos=True, add_eos=True)
+        middle = time.perf_counter()
+        ids = c.encode([t])[0]
+        took = time.perf_counter() - middle
+        assert ids.tolist() == want_ids and c.decode(ids) == sp.decode(want_ids), name
+        assert took < 8 * (middle - began) + 8, (name, took)  # some 2 times and a second, where nothing else runs
+
+
+def test_random_long_words(sp):
+    r = random.Random(5)
+    pools = ["ab", "aab", "etaoin", "the of", "acgt", "▁ ", "=-", "0123456789abcdef", "inging", "xX", "é日a", "qu"]
+    check(sp, ["".join(r.choices(p, k=r.randint(33, 600))) for p in pools for _ in range(60)])
+    check(sp, ["".join(ch * r.randint(1, 60) for ch in r.choices(p, k=12)) for p in pools for _ in range(30)])
+
+
+def test_control_pieces_within_ids(sp):
+    c = S.codec(tokenizer_path())
+    r = random.Random(6)
+    cases = [[r.choice([0, 1, 2, 198, 199, 200, 229, 230, 259, 300, 1000, 29871]) for _ in range(r.randint(0, 12))] for _ in range(300)]
+    assert c.decode_all([np.array(x, "<u4") for x in cases]) == [sp.decode(x) for x in cases]
+
+
 def test_table(spark, sp):
     rows = [(1, "Hello world", 5), (2, None, 6), (3, "", 7), (None, "x" * 3000, 8), (1, "Hello world", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
