@@ -14,13 +14,20 @@ Everything is DataFrame expressions. A draw inverts the distribution function
 with a running sum over the values within REACH standard deviations of the mode.
 
 Scale. Blocks and cells bound what one task sorts; both grow with the rows
-(``rows_per_cell``). The matrix has blocks * cells numbers and is joined to the
-rows by block, in which they are dealt already.
+(``rows_per_cell``). The matrix has blocks * cells numbers; the upper half of its
+tree is drawn in one task, the subtrees below it (as many as the upper half has
+leaves) in a task each. It is joined to the rows by block, in which they are
+dealt already.
+
+Rows are told apart by id, text and their place in the table (partition and row),
+so that repeated rows are shuffled like any others and none of them make a block
+hot. A table read from storage gives each row the same place when a lost task
+runs again; any other table is to be written first (``settle=True`` does so).
 
 Values: a null text counts as no bytes (size 8, CRC 0); rows that repeat are
 separate rows, each with its own slot; null ids are allowed; an empty table
-gives an empty one. Other columns go through; added columns replace columns of
-the same name.
+gives an empty one. Other columns go through, whatever their names; added columns
+replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -30,6 +37,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 SHARDS = 24
 BLOCK_BITS, CELLS = 6, 4
 #: Rows that a block or a cell holds at most, about, before there are more of them.
@@ -92,7 +101,9 @@ def matrix(block_counts: DataFrame, cells: Column, bits: int, seed: int) -> Data
     one = block_counts.agg(F.map_from_entries(F.collect_list(F.struct("block", "n"))).alias("m"))
     every = F.transform(F.sequence(F.lit(0), F.lit((1 << bits) - 1)), lambda b: F.coalesce(F.element_at(F.col("m"), b), F.lit(0)).cast("long"))
     level = one.select(F.lit(1).alias("node"), cells.alias("caps"), every.alias("ns"))
-    for _ in range(bits):  # a node is a run of blocks; its halves are its children
+    for depth in range(bits):  # a node is a run of blocks; its halves are its children
+        if depth == (bits + 1) // 2:
+            level = level.repartition(1 << depth, "node")
         half = (F.size("ns") / 2).cast("int")
         left_ns = F.slice("ns", F.lit(1), half)
         left = _halved(F.col("node"), F.col("caps"), F.aggregate(left_ns, F.lit(0).cast("long"), lambda a, c: a + c), seed)
@@ -110,20 +121,23 @@ def _share(total: Column, parts: int, k: Column) -> Column:
     return F.floor(total / parts) + F.when(k < total % parts, 1).otherwise(0)
 
 
-def shuffle(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shards: int = SHARDS, seed: int = 1, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
+def shuffle(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shards: int = SHARDS, seed: int = 1, rows_per_cell: int = ROWS_PER_CELL, settle: bool = False) -> DataFrame:
     """Adds size, text_crc32, shard and slot (the row's place in its shard, gapless from 0)."""
-    raw = F.coalesce(F.col(text), F.lit(""))
-    kept = [c for c in df.columns if c not in ("size", "text_crc32", "shard", "slot")]
+    own = [f"own{k}" for k in range(len(df.columns))]  # no name in here clashes with the table's
+    kept = [(name, c) for name, c in zip(own, df.columns, strict=True) if c.lower() not in ("size", "text_crc32", "shard", "slot")]
+    raw = F.coalesce(F.col(own[df.columns.index(text)]), F.lit(""))
+    df = written(df, "shuffle-input") if settle else df
     n = df.count()
     bits, cells = BLOCK_BITS, CELLS
     while n > rows_per_cell << bits:
         bits += 1
     while n > rows_per_cell * shards * cells:
         cells += 1
-    base = df.select(*kept, (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"))
-    identity = [F.col(doc_id), F.col("text_crc32"), F.col("size")]
-    base = base.withColumn("sh_block", F.pmod(F.xxhash64(F.lit(seed), *identity), F.lit(1 << bits)).cast("int"))
-    block_counts = base.groupBy(F.col("sh_block").alias("block")).agg(F.count("*").alias("n"))
+    base = df.toDF(*own).withColumn("place", F.monotonically_increasing_id())
+    base = base.select(*(name for name, _ in kept), F.col(own[df.columns.index(doc_id)]).alias("id"), (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), "place")
+    identity = [F.col("id"), F.col("text_crc32"), F.col("size"), F.col("place")]
+    base = base.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), *identity), F.lit(1 << bits)).cast("int"))
+    block_counts = base.groupBy("block").agg(F.count("*").alias("n"))
     # cell c of shard s comes at s * cells + c
     shard_of = lambda i: (i / cells).cast("int")
     sizes = F.transform(F.sequence(F.lit(0), F.lit(shards * cells - 1)), lambda i: _share(_share(F.lit(n), shards, shard_of(i)), cells, i % cells).cast("long"))
@@ -132,14 +146,14 @@ def shuffle(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shards: i
     plus = lambda a: F.aggregate(a, F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
     groups = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: plus(F.slice("counts", s * cells + 1, cells)))
     m = m.withColumn("inner", groups).withColumn("outer", plus(F.transform("inner", lambda x: F.element_at(x, -1)))).drop("counts")
-    first = Window.partitionBy("sh_block").orderBy(F.xxhash64(F.lit(seed + 1), *identity), *identity)
-    dealt = base.withColumn("sh_rank", F.row_number().over(first) - 1).join(m.withColumnRenamed("block", "sh_block"), "sh_block")
+    first = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 1), *identity), "place")
+    dealt = base.withColumn("rank", F.row_number().over(first) - 1).join(m, "block")
     below = lambda ends, r: F.size(F.filter(ends, lambda e: e <= r)) - 1
-    dealt = dealt.withColumn("shard", below(F.col("outer"), F.col("sh_rank")))
-    within = F.col("sh_rank") - F.element_at("outer", F.col("shard") + 1)
-    dealt = dealt.withColumn("sh_cell", below(F.element_at("inner", F.col("shard") + 1), within)).drop("inner", "outer", "sh_rank", "sh_block")
-    second = Window.partitionBy("shard", "sh_cell").orderBy(F.xxhash64(F.lit(seed + 2), *identity), *identity)
+    dealt = dealt.withColumn("shard", below(F.col("outer"), F.col("rank")))
+    within = F.col("rank") - F.element_at("outer", F.col("shard") + 1)
+    dealt = dealt.withColumn("cell", below(F.element_at("inner", F.col("shard") + 1), within)).drop("inner", "outer", "rank", "block")
+    second = Window.partitionBy("shard", "cell").orderBy(F.xxhash64(F.lit(seed + 2), *identity), "place")
     of_shard = _share(F.lit(n), shards, F.col("shard"))
-    start = F.col("sh_cell") * F.floor(of_shard / cells) + F.least(F.col("sh_cell"), of_shard % cells)
+    start = F.col("cell") * F.floor(of_shard / cells) + F.least(F.col("cell"), of_shard % cells)
     placed = dealt.withColumn("slot", (start + F.row_number().over(second) - 1).cast("long"))
-    return placed.select(*kept, "size", "text_crc32", F.col("shard").cast("int").alias("shard"), "slot")
+    return placed.select(*(F.col(name).alias(c) for name, c in kept), "size", "text_crc32", F.col("shard").cast("int").alias("shard"), "slot")

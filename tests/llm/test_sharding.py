@@ -69,3 +69,53 @@ def test_every_shard_is_as_likely(spark):
         for r in S.shuffle(df, seed=seed * 10).collect():
             seen[r.doc_id // 80, r.shard // 8] += 1
     assert all(60 < seen[a, b] < 150 for a in range(3) for b in range(3))
+
+
+def test_clashing_names(spark):
+    names = ["inner", "outer", "block", "rank", "cell", "place", "id", "own0", "own1", "counts", "node", "n", "size", "SLOT"]
+    df = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), *(F.lit(k).alias(f"x{k}") for k in range(len(names)))).toDF("doc_id", "text", *names)
+    out = S.shuffle(df)
+    assert out.columns == ["doc_id", "text", *names[:-2], "size", "text_crc32", "shard", "slot"]
+    rows = out.toDF(*[f"c{k}" for k in range(len(out.columns))]).collect()
+    assert len(rows) == 50 and all(r.c2 == 0 and r.c3 == 1 for r in rows)
+    assert len({(r[-2], r[-1]) for r in rows}) == 50
+
+
+def test_equal_rows_are_shuffled_too(spark):
+    n, shards = 10_000, 24
+    df = spark.range(2 * n).select(F.when(F.col("id") % 2 == 0, F.lit(-7)).otherwise(F.col("id")).alias("doc_id"), F.lit("same").alias("text"))
+    rows = S.shuffle(df).collect()
+    placed(rows, 2 * n)
+    equal = [r for r in rows if r.doc_id == -7]
+    assert len(equal) == n
+    by_shard, by_slot = Counter(r.shard for r in equal), Counter(r.slot * 20 // 834 for r in equal)
+    chi = sum((by_shard[s] - n / shards) ** 2 / (n / shards) for s in range(shards))
+    assert chi < 50  # 23 degrees of freedom
+    assert sum((by_slot[k] - n / 20) ** 2 / (n / 20) for k in range(20)) < 45
+    slots = {(r.shard, r.slot) for r in equal}
+    beside = sum((s, k + 1) in slots for s, k in slots)
+    assert abs(beside - n / 2) < 300  # every other row is one of them, and so are half of their neighbours
+
+
+def test_matrix_has_the_law_of_a_permutation(spark):
+    """Counts of a block's rows in a cell against those of permutations drawn one by one."""
+    import numpy as np
+
+    blocks, caps = [30, 50, 0, 40], [25, 35, 60]
+    counts = spark.createDataFrame(list(enumerate(blocks)), "block int, n long")
+    cells = F.array(*(F.lit(c).cast("long") for c in caps))
+    mine = []
+    for seed in range(16):
+        got = {r.block: r.counts for r in S.matrix(counts, cells, 2, seed).collect()}
+        table = np.array([got[b] for b in range(4)])
+        assert (table.sum(axis=1) == blocks).all() and (table.sum(axis=0) == caps).all()
+        mine.append(table)
+    rng, label = np.random.default_rng(0), np.repeat(np.arange(4), blocks)
+    other = []
+    for _ in range(4000):
+        cut = np.split(rng.permutation(label), np.cumsum(caps)[:-1])
+        other.append(np.array([np.bincount(c, minlength=4) for c in cut]).T)
+    mean, sd = np.mean(other, axis=0), np.std(other, axis=0)
+    assert (np.abs(np.mean(mine, axis=0) - mean) <= 4.5 * sd / 16**0.5 + 1e-9).all()
+    ratio = np.std(mine, axis=0)[sd > 0] / sd[sd > 0]
+    assert (ratio > 0.4).all() and (ratio < 1.8).all()
