@@ -1,13 +1,17 @@
 """A deterministic sharded WARC writer, and a reader of what it committed.
 
-Rows are dealt to shards by ranges of page_id that hold about equal bytes: a
-histogram of at most BINS id ranges, summed by Spark, gives the cuts. A task
-sorts its shards and writes one gzip member a record, beginning a new file when
-the compressed size passes ``roll_bytes``. All headers, lengths and digests are
-made anew from the payload. A file is written under a temporary name and
-renamed when complete; its name and bytes depend on the rows alone, so that a
-task that runs twice makes the same file. The manifest, written last by Spark's
-own commit, lists the files that count: the reader takes no others.
+Rows are dealt to shards by ranges of page_id that hold about equal bytes. Sizes
+by page_id are range-sorted, and running sums of bytes (within a range, plus what
+the ranges before it hold) say in which shard a page_id comes: cuts follow the
+bytes, wherever ids lie, and depend on the rows alone. Shards are of ``shard_bytes``
+or as many as MOST_SHARDS, and go to tasks one by one. A task sorts its shards and
+writes one gzip member a record, beginning a new file when the compressed size
+passes ``roll_bytes``. All headers, lengths and digests are made anew from the
+payload. A file is written under a temporary name and renamed when complete; its
+name and bytes depend on the rows alone, so that a task that runs twice makes the
+same file, and the second attempt leaves a file that is there already. An attempt
+that fails removes its temporary file. The manifest, written last by Spark's own
+commit, lists the files that count: the reader takes no others.
 
 Of records with equal payloads of at least ``revisit_bytes`` the one with the
 largest page_id is a response; the others are revisits that refer to it.
@@ -15,8 +19,9 @@ largest page_id is a response; the others are revisits that refer to it.
 Values: a null html counts as an empty payload; a null URL gives a record
 without target; a null page_id is written as such, comes first, and never is
 referred to while another has the payload; rows that repeat the largest page_id
-are all responses. An empty table gives an empty archive. Extra columns are not
-written.
+are all responses. Records of one page_id have record ids of their own (the first
+has the one that others refer to). An empty table gives an empty archive. Extra
+columns are not written.
 """
 
 from __future__ import annotations
@@ -28,42 +33,46 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import new_path
+from .scratch import dropped, new_path, written
 
 REVISIT_BYTES = 1000
-SHARD_BYTES, ROLL_BYTES, BINS = 16 << 20, 8 << 20, 4096
+SHARD_BYTES, ROLL_BYTES, MOST_SHARDS = 16 << 20, 8 << 20, 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bytes that a record has besides its payload, about.
+RECORD_BYTES = 500
 #: Bytes of a file that the reader holds at once, besides one record.
 READ_BYTES = 1 << 20
 
 
 def plan(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """(page_id, url, html, digest, note, refers_to): the pages, and a note for each revisit with what it refers to.
+    """(page_id, url, html, digest, size, note, refers_to): the pages, and a note for each revisit with what it refers to.
 
     Notes find their pages in the writer, where both come by page_id: so a page's
     html is moved once, and what decides on revisits are ids and digests alone.
     """
     html = F.coalesce("html", F.lit(""))
     digest = F.when(F.octet_length(html) >= revisit_bytes, F.unhex(F.sha1(html.cast("binary"))))
-    rows = pages.select("page_id", "url", html.alias("html"), digest.alias("digest"), F.lit(False).alias("note"), F.lit(None).cast("long").alias("refers_to"))
+    size = (F.octet_length(html) + RECORD_BYTES).cast("long")
+    rows = pages.select("page_id", "url", html.alias("html"), digest.alias("digest"), size.alias("size"), F.lit(False).alias("note"), F.lit(None).cast("long").alias("refers_to"))
     known = pages.select("page_id", digest.alias("digest")).where("digest is not null")
     first = known.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     notes = known.join(first, "digest").where("first_id is not null and not page_id <=> first_id").distinct()
     return rows.unionByName(notes.select("page_id", "digest", F.lit(True).alias("note"), F.col("first_id").alias("refers_to")), allowMissingColumns=True)
 
 
-def _uri(page_id: int | None) -> str:
-    return f"<urn:x-page:{'null' if page_id is None else page_id}>"
+def _uri(page_id: int | None, copy: int | str = 0) -> str:
+    return f"<urn:x-page:{'null' if page_id is None else page_id}{f':{copy}' if copy else ''}>"
 
 
 def _id(uri: str) -> int | None:
-    own = uri.removeprefix("<urn:x-page:").removesuffix(">")
+    own = uri.removeprefix("<urn:x-page:").removesuffix(">").partition(":")[0]
     return None if own == "null" else int(own)
 
 
@@ -71,14 +80,14 @@ def _sha1(raw: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One gzip member with one record."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, copy: int | str = 0) -> bytes:
+    """One gzip member with one record; copy counts the records of a page_id from 0."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if refers_to is not None else 'response'}",
-        f"WARC-Record-ID: {_uri(page_id)}",
+        f"WARC-Record-ID: {_uri(page_id, copy)}",
         f"WARC-Date: {DATE}",
         *([f"WARC-Target-URI: {quote(url, safe=''.join(map(chr, range(33, 127))))}"] if url is not None else []),
         *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_uri(refers_to)}"] if refers_to is not None else []),
@@ -96,18 +105,29 @@ class _Roller:
 
     def __init__(self, folder: str, roll_bytes: int):
         self.fs, self.folder = pafs.FileSystem.from_uri(folder)
-        self.roll_bytes, self.shard, self.roll, self.out = roll_bytes, None, 0, None
+        self.roll_bytes, self.shard, self.roll, self.out, self.tmp = roll_bytes, None, 0, None, None
         self.done: list[tuple[str, int, int]] = []
 
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            final = f"{self.folder}/{self.name}"
-            if self.fs.get_file_info(final).type != pafs.FileType.NotFound:  # an earlier attempt's file has the same bytes
-                self.fs.delete_file(final)
-            self.fs.move(self.tmp, final)
+            self.out, final = None, f"{self.folder}/{self.name}"
+            there = self.fs.get_file_info(final)
+            if there.type != pafs.FileType.NotFound and there.size == self.size:  # an earlier attempt's file has the same bytes
+                self.fs.delete_file(self.tmp)
+            else:
+                self.fs.move(self.tmp, final)
+            self.tmp = None
             self.done.append((self.name, self.records, self.size))
+
+    def given_up(self) -> None:
+        """Removes what a failed attempt leaves."""
+        if self.out is not None:
+            self.out.close()
             self.out = None
+        if self.tmp is not None:
+            self.fs.delete_file(self.tmp)
+            self.tmp = None
 
     def add(self, shard: int, raw: bytes) -> None:
         if shard != self.shard:
@@ -124,33 +144,65 @@ class _Roller:
         self.records, self.size = self.records + 1, self.size + len(raw)
 
 
+def shard_cuts(sizes: DataFrame, shard_bytes: int) -> np.ndarray:
+    """The first page_id of each shard but the first, from (page_id, size): MOST_SHARDS of them at most.
+
+    The running sum of bytes before a page_id doesn't depend on where Spark's own
+    ranges end, so that neither do the cuts.
+    """
+    spark = sizes.sparkSession
+    by_id = sizes.where("page_id is not null").groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.sum("size").alias("size"))
+    ranged = written(by_id.repartitionByRange("page_id").withColumn("part", F.spark_partition_id()), "warc-sizes")
+    parts = ranged.groupBy("part").agg(F.sum("size").alias("held")).orderBy("part").toPandas()  # a row a shuffle partition
+    total = int(parts["held"].sum())
+    each = max(shard_bytes, -(-total // MOST_SHARDS))
+    before = (parts["held"].cumsum() - parts["held"]).tolist()
+    offsets = spark.createDataFrame(list(zip(parts["part"].tolist(), before, strict=True)), "part int, before long")
+    upto = F.sum("size").over(Window.partitionBy("part").orderBy("page_id")) - F.col("size")
+    shard = F.floor((F.col("before") + F.col("upto")) / F.lit(each))
+    first = ranged.withColumn("upto", upto).join(F.broadcast(offsets), "part").groupBy(shard.alias("shard")).agg(F.min("page_id").alias("first"))
+    cuts = np.sort(first.toPandas()["first"].to_numpy(np.int64))[1:]
+    dropped(ranged)
+    return cuts
+
+
 def write(planned: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> str:
     """Writes the archive and returns its folder; the manifest is in ``<folder>/manifest``."""
     spark = planned.sparkSession
     folder = folder or new_path(spark, "warc")
-    low, high, total = planned.agg(F.min("page_id"), F.max("page_id"), F.sum(F.octet_length("html"))).first()
-    low, high = (low or 0), (high or 0)
-    bin_of = F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / F.lit(float(high - low + 1)) * BINS).cast("int"), F.lit(-1))
-    binned = planned.withColumn("bin", bin_of)
-    sums = binned.where("not note").groupBy("bin").agg(F.sum(F.octet_length("html") + 500).alias("b"))  # BINS + 1 rows at most
-    before = F.sum("b").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("b")
-    cuts = sums.select("bin", F.floor(before / shard_bytes).cast("int").alias("shard"))
-    shards = int((total or 0) // shard_bytes) + 2
-    dealt = binned.join(F.broadcast(cuts), "bin").drop("bin").repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", F.desc("note"), "url", "html")
+    cuts = shard_cuts(planned.where("not note").select("page_id", "size"), shard_bytes)
+    share = spark.sparkContext.broadcast(cuts)
+
+    @F.arrow_udf("int")
+    def shard_of(page_id: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(share.value, page_id.fill_null(0).to_numpy(zero_copy_only=False), side="right").astype(np.int32))
+
+    # pages without an id are dealt by what they hold, so that there may be any number of them
+    spread = F.pmod(F.when(F.col("digest").isNotNull(), F.xxhash64("digest")).otherwise(F.xxhash64("url", "html")), F.lit(len(cuts) + 1)).cast("int")
+    shard = F.when(F.col("page_id").isNull(), spread).otherwise(shard_of(F.col("page_id").cast("long")))
+    dealt = planned.withColumn("shard", shard).repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", F.desc("note"), "url", "html")
     fs, local = pafs.FileSystem.from_uri(folder)
     fs.create_dir(local, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = _Roller(folder, roll_bytes)
         noted, to = None, None  # the page and digest of the last note, and what it refers to
-        for batch in batches:
-            for row in batch.to_pylist():
-                page = (row["page_id"], row["digest"])
-                if row["note"]:
-                    noted, to = page, row["refers_to"]
-                else:
-                    roller.add(row["shard"], record(row["page_id"], row["url"], row["html"].encode("utf-8", "surrogatepass"), to if page == noted else None))
-        roller.close()
+        last, copy = None, 0  # the last record's shard and page, and how many of them came before
+        try:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    page = (row["page_id"], row["digest"])
+                    if row["note"]:
+                        noted, to = page, row["refers_to"]
+                        continue
+                    own = (row["shard"], row["page_id"])
+                    last, copy = own, copy + 1 if own == last else 0
+                    label = f"{own[0]}.{copy}" if own[1] is None else copy
+                    roller.add(own[0], record(own[1], row["url"], row["html"].encode("utf-8", "surrogatepass"), to if page == noted else None, label))
+            roller.close()
+        except BaseException:
+            roller.given_up()
+            raise
         if roller.done:
             names, records, sizes = zip(*roller.done, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(records), pa.array(sizes)], ["file", "records", "bytes"])

@@ -50,3 +50,42 @@ def test_damage_is_found(spark):
     file.write_bytes(raw[: len(raw) // 2])
     with pytest.raises(Exception, match="record|Error"):
         warc.read(spark, folder).collect()
+
+
+def test_an_outlying_id_leaves_the_files_as_they_are(spark):
+    rows = [(k, f"http://h/{k}", f"{k} " + "x" * 2000) for k in range(500)]
+    names = []
+    for more in ([], [(10**18, "u", "y" * 2000)], [(-(2**62), "u", "y" * 2000)]):
+        folder = warc.write(warc.plan(table(spark, rows + more)), shard_bytes=50_000)
+        names.append(sorted(p.name for p in Path(folder.removeprefix("file://")).glob("*.warc.gz")))
+        per_file = [r.records for r in spark.read.parquet(f"{folder}/manifest").collect()]
+        assert sum(per_file) == 500 + len(more) and max(per_file) <= 30
+        assert not list(Path(folder.removeprefix("file://")).glob(".*.tmp"))
+    assert all(abs(len(n) - len(names[0])) <= 1 for n in names) and len(names[0]) >= 20
+
+
+def test_record_ids_are_unique_and_nulls_spread(spark):
+    rows = [(5, "u", "same")] * 3 + [(None, f"u{k}", "z" * 100 + str(k)) for k in range(200)] + [(k, "v", "w" * 3000) for k in range(100, 110)]
+    folder = warc.write(warc.plan(table(spark, rows)), shard_bytes=8000)
+    ids, shards = [], set()
+    for file in Path(folder.removeprefix("file://")).glob("*.warc.gz"):
+        with file.open("rb") as stream:
+            for raw in warc.members(stream):
+                f = warc._fields(raw.partition(b"\r\n\r\n")[0])
+                ids.append(f["warc-record-id"])
+                if "null" in ids[-1]:
+                    shards.add(file.name)
+    assert len(ids) == len(set(ids)) == len(rows) and len(shards) > 1
+    assert sorted((r.page_id or -1) for r in warc.read(spark, folder).collect()) == sorted((r[0] or -1) for r in rows)
+
+
+def test_a_failed_attempt_leaves_no_file(tmp_path):
+    roller = warc._Roller(f"file://{tmp_path}", 1000)
+    roller.add(0, b"abc")
+    roller.given_up()
+    assert not list(tmp_path.iterdir())
+    for _ in range(2):  # the second attempt finds the first one's file
+        roller = warc._Roller(f"file://{tmp_path}", 1000)
+        roller.add(0, b"abc")
+        roller.close()
+        assert [p.name for p in tmp_path.iterdir()] == [roller.name] and roller.done == [(roller.name, 1, 3)]
