@@ -1,7 +1,8 @@
 """Language identification by rank-order profiles of character n-grams.
 
-The most frequent n-grams (one to three letters, words padded with a space) of
-a document, in order of frequency, are held against each language's profile:
+Words are runs of letters and of the marks that combine with them. The most
+frequent n-grams (one to three characters of a word, padded with a space) of a
+document, in order of frequency, are held against each language's profile:
 every n-gram adds the distance between its two ranks, one that the profile
 lacks adds the profile's size ("out of place"), and the nearest profile wins.
 
@@ -11,13 +12,14 @@ What reaches the driver is PROFILE rows a language.
 
 Values: ``und`` with score 0 for a text that is null or has no letter; ties go
 to the language whose code comes first; n-grams of equal count are ordered by
-their code points. Whole texts are read. Training rows with a null language or
+length, then by their code points. Whole texts are read. Training rows with a null language or
 null text teach nothing; without any profile every text is ``und``. Other
 columns go through unchanged; the added columns replace columns of the same name.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,41 +31,62 @@ from pyspark.sql import types as T
 #: n-grams in a language's profile, and taken of a document.
 PROFILE = 600
 UNDETERMINED = "und"
-CHUNK_CHARS = 1_000_000
+#: Characters and texts that are worked on at once (one longer text is worked on alone).
+CHUNK_CHARS, CHUNK_TEXTS = 1_000_000, 511
 #: Distinct (language, n-gram) pairs that a task sums before it hands them on.
 TASK_SUMS = 2_000_000
-#: Symbols take 14 bits: code points below FOLD stand for themselves, others share the symbols above.
-FOLD, SYMBOL_BITS = 0x3000, 14
-_SYMBOLS: list[np.ndarray] = []
+#: An n-gram is three symbols of 21 bits: none (0), the space (1), or a code point and 2.
+SYMBOL_BITS, SPACE_SYMBOL = 21, 1
+_SYMBOLS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def symbols() -> np.ndarray:
-    """The symbol of each code point; 0 for what is no letter."""
+def symbols() -> tuple[np.ndarray, np.ndarray]:
+    """The symbol of each code point (the space's for what belongs to no word), and which code points are letters."""
     if not _SYMBOLS:
-        points = np.arange(0x110000)
-        folded = np.where(points < FOLD, points, FOLD + points % ((1 << SYMBOL_BITS) - FOLD)).astype(np.int64)
-        letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-        _SYMBOLS.append(np.where(letter, folded, 0))
+        chars = [chr(c) for c in range(0x110000)]
+        letter = np.fromiter(map(str.isalpha, chars), bool, 0x110000)
+        mark = np.fromiter((k in ("Mn", "Mc") for k in map(unicodedata.category, chars)), bool, 0x110000)
+        _SYMBOLS.append((np.where(letter | mark, np.arange(2, 0x110002), SPACE_SYMBOL).astype(np.int64), letter))
     return _SYMBOLS[0]
 
 
-def grams(texts: list[str], labels: np.ndarray) -> np.ndarray:
-    """Each n-gram of the texts as one number: the text's label above 42 bits of symbols."""
+def gram_counts(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(label, n-gram, count), by label and n-gram; texts of one label count together.
+
+    A text that has no letter has no n-gram. The symbols of a chunk are numbered
+    without gaps, in their order, so that a label and three of them fit one number.
+    """
+    table, letter = symbols()
     lowered = [" " + t.lower() + " " for t in texts]
     sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
     points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = symbols()[points]
-    owner = np.repeat(labels.astype(np.int64) << 3 * SYMBOL_BITS, sizes)
+    some = np.add.reduceat(letter[points], np.cumsum(sizes) - sizes, dtype=np.int64) > 0 if len(texts) else np.zeros(0, bool)
+    c = table[points]
+    present = np.zeros(len(table) + 2, bool)
+    present[c] = True
+    present[:2] = True
+    known = np.flatnonzero(present)
+    bits = int(len(known)).bit_length()
+    names, label = np.unique(labels, return_inverse=True)
+    if 3 * bits + int(len(names)).bit_length() > 63:
+        raise ValueError("too many labels at once")
+    number = np.cumsum(present) - 1
+    c = number[c]
+    owner = np.repeat(label.astype(np.int64) << 3 * bits, sizes)
     keep = np.ones(len(c), bool)
-    keep[1:] = (c[1:] > 0) | (c[:-1] > 0)  # runs of other characters count as one space
-    c, owner = c[keep], owner[keep]
+    keep[1:] = (c[1:] > 1) | (c[:-1] > 1)  # runs of other characters count as one space
+    keep[np.cumsum(sizes) - sizes] = True
+    keep &= np.repeat(some, sizes)
+    c, owner, text = c[keep], owner[keep], np.repeat(np.arange(len(texts)), sizes)[keep]
     a, b = c[:-1], c[1:]
-    one = (owner | c)[c > 0]
-    same = owner[:-1] == owner[1:]
-    two = (owner[:-1] | a << SYMBOL_BITS | b | 1 << 3 * SYMBOL_BITS - 1)[same & ((a > 0) | (b > 0))]
+    one = (owner | c)[c > 1]
+    two = (owner[:-1] | a << bits | b)[(text[:-1] == text[1:]) & ((a > 1) | (b > 1))]
     a, b, d = c[:-2], c[1:-1], c[2:]
-    three = (owner[:-2] | a << 2 * SYMBOL_BITS | b << SYMBOL_BITS | d)[(owner[:-2] == owner[2:]) & (b > 0)]
-    return np.concatenate([one, two, three])
+    three = (owner[:-2] | a << 2 * bits | b << bits | d)[(text[:-2] == text[2:]) & (b > 1)]
+    keys, n = _counted(np.concatenate([one, two, three]))
+    mask = (1 << bits) - 1
+    gram = known[keys >> 2 * bits & mask] << 2 * SYMBOL_BITS | known[keys >> bits & mask] << SYMBOL_BITS | known[keys & mask]
+    return names[keys >> 3 * bits], gram, n
 
 
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +99,7 @@ def chunks(texts: list[str]) -> Iterator[slice]:
     at = size = 0
     for k, t in enumerate(texts):
         size += len(t)
-        if size >= CHUNK_CHARS:
+        if size >= CHUNK_CHARS or k - at >= CHUNK_TEXTS - 1:
             yield slice(at, k + 1)
             at, size = k + 1, 0
     if at < len(texts):
@@ -88,35 +111,33 @@ def profiles(train: DataFrame, text: str = "text", lang: str = "lang", size: int
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        fresh: list[tuple[np.ndarray, np.ndarray]] = []
+        none = np.zeros(0, np.int64)
+        held, fresh = (none, none, none), []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            k, n = np.concatenate([keys, *(x for x, _ in fresh)]), np.concatenate([counts, *(x for _, x in fresh)])
-            order = np.argsort(k)
-            k, n = k[order], n[order]
-            at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-            return k[at], np.add.reduceat(n, at) if len(at) else n
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            label, gram, n = (np.concatenate(x) for x in zip(held, *fresh, strict=True))
+            order = np.lexsort((gram, label))
+            label, gram, n = label[order], gram[order], n[order]
+            at = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (label[1:] != label[:-1])]) if len(gram) else none
+            return label[at], gram[at], np.add.reduceat(n, at) if len(at) else n
 
         def out() -> pa.RecordBatch:
             names = np.array([*known, ""], object)
-            own = [names[i] for i in (keys >> 3 * SYMBOL_BITS)]
-            return pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(keys & (1 << 3 * SYMBOL_BITS) - 1), pa.array(counts)], ["lang", "gram", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(names[held[0]], pa.string()), pa.array(held[1]), pa.array(held[2])], ["lang", "gram", "n"])
 
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for s in chunks(texts):
                 labels = np.array([known.setdefault(x, len(known)) for x in langs[s]], np.int64)
-                fresh.append(_counted(grams(texts[s], labels)))
-                if sum(len(x) for x, _ in fresh) > TASK_SUMS // 4:
-                    keys, counts = merged()
-                    fresh = []
-                    if len(keys) > TASK_SUMS:
+                fresh.append(gram_counts(texts[s], labels))
+                if sum(len(x[1]) for x in fresh) > TASK_SUMS // 4:
+                    held, fresh = merged(), []
+                    if len(held[1]) > TASK_SUMS:
                         yield out()
-                        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                        held = (none, none, none)
         if fresh:
-            keys, counts = merged()
-        if len(keys):
+            held = merged()
+        if len(held[1]):
             yield out()
 
     rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
@@ -141,10 +162,9 @@ class Nearest:
         lang, score = [UNDETERMINED] * n, np.zeros(n)
         if not self.langs:
             return lang, score
-        keys, counts = _counted(grams(texts, np.arange(n)))
+        doc, keys, counts = gram_counts(texts, np.arange(n))
         if not len(keys):
             return lang, score
-        doc = keys >> 3 * SYMBOL_BITS
         first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
         local = np.arange(len(keys)) - np.repeat(first, np.diff(np.r_[first, len(keys)]))
         if local.max() < 1 << 21 and counts.max() < 1 << 22 and n < 1 << 20:  # the order (document, falling count, n-gram) in one number
@@ -154,7 +174,7 @@ class Nearest:
             order = np.lexsort((local, -counts, doc))
         rank = local  # of the n-th in that order, as each document's rows stay in their place
         top = rank < self.size
-        own, rank, key = doc[top], rank[top], keys[order[top]] & (1 << 3 * SYMBOL_BITS) - 1
+        own, rank, key = doc[top], rank[top], keys[order[top]]
         at = np.searchsorted(self.grams, key)
         at[(at == len(self.grams)) | (self.grams[np.minimum(at, len(self.grams) - 1)] != key)] = len(self.grams)
         theirs = self.ranks[at]

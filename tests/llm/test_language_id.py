@@ -1,16 +1,20 @@
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections import Counter
 
+import numpy as np
 from eventloom.llm import language_id as L
 from eventloom.llm.queries import op9_language_id
 
 
 def brute_grams(text: str) -> Counter:
     out, word = Counter(), ""
+    if not any(ch.isalpha() for ch in text.lower()):
+        return out
     for ch in text.lower() + " ":
-        if ch.isalpha():
+        if ch.isalpha() or unicodedata.category(ch) in ("Mn", "Mc"):
             word += ch
         elif word:
             out.update(word)
@@ -22,18 +26,35 @@ def brute_grams(text: str) -> Counter:
 
 
 def spelled(gram: int) -> str:
-    mask = (1 << L.SYMBOL_BITS) - 1
-    three, two = [gram >> 2 * L.SYMBOL_BITS & mask, gram >> L.SYMBOL_BITS & mask, gram & mask], gram >> 3 * L.SYMBOL_BITS - 1 & 1
-    keep = three[1:] if two else three if three[1] else three[2:]
-    return "".join(chr(c) if c else " " for c in keep)
+    return "".join(" " if c == 1 else chr(c - 2) for c in (gram >> 42 & 0x1FFFFF, gram >> 21 & 0x1FFFFF, gram & 0x1FFFFF) if c)
+
+
+def code(g: str) -> int:
+    n = 0
+    for x in g:
+        n = n << 21 | (1 if x == " " else ord(x) + 2)
+    return n
+
+
+HAN = "".join(chr(c) for c in range(0x4E00, 0x9FFF))
 
 
 def test_grams_against_brute_force():
-    import numpy as np
+    texts = ["Hello, hello world!", "a", "", "x1y", "  été  ", "ab ab abc", "don't", "हिन्दी में", "ภาษาไทยที่", "한국어 글", "e\u0301te\u0301", "\u0301", "\U0001F600 \U00020000\U00020001", HAN, "İstanbul"]
+    label, gram, n = L.gram_counts(texts, np.arange(len(texts)))
+    for k, text in enumerate(texts):
+        got = {spelled(int(g)): int(m) for g, m in zip(gram[label == k], n[label == k], strict=True)}
+        assert got == brute_grams(text), text[:50]
+    assert (np.diff(gram[label == 0]) > 0).all()
+    label, gram, n = L.gram_counts(["ab", "c", "ab"], np.array([7, 3, 7]))
+    assert {(int(k), spelled(int(g))): int(m) for k, g, m in zip(label, gram, n, strict=True)} == {(3, g): m for g, m in brute_grams("c").items()} | {(7, g): 2 * m for g, m in brute_grams("ab").items()}
 
-    for text in ("Hello, hello world!", "a", "", "x1y", "  été  ", "ab ab abc", "don't"):
-        got = Counter(spelled(int(g)) for g in L.grams([text], np.array([0])))
-        assert got == brute_grams(text), text
+
+def test_scripts_with_many_characters(spark):
+    rows = [(1, "中文是一種語言 這是中文", "zh"), (2, "日本語の文章です これは日本語", "ja"), (3, "한국어 문장입니다 이것은 한국어", "ko"), (4, "हिन्दी एक भाषा है यह हिन्दी है", "hi"), (5, "ภาษาไทยเป็นภาษา นี่คือภาษาไทย", "th")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, "這是一種語言"), (2, "これは文章です"), (3, "이것은 문장입니다"), (4, "यह भाषा है"), (5, "นี่คือภาษา"), (6, "\u0301")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in L.predict(asked, L.profiles(df)).collect()} == {1: "zh", 2: "ja", 3: "ko", 4: "hi", 5: "th", 6: "und"}
 
 
 def test_query_held_out(spark, data):
@@ -53,16 +74,7 @@ def test_query_held_out(spark, data):
 
 
 def test_out_of_place_distance_by_hand():
-    profile = [("aa", g, k) for k, g in enumerate(sorted(brute_grams("banana").items(), key=lambda x: (-x[1], x[0])))]
-    import numpy as np
-
-    def code(g: str) -> int:
-        c = [0 if x == " " else ord(x) for x in g]
-        n = 0
-        for x in c:
-            n = n << L.SYMBOL_BITS | x
-        return n | (1 << 3 * L.SYMBOL_BITS - 1 if len(g) == 2 else 0)
-
+    profile = [("aa", g, k) for k, g in enumerate(sorted(brute_grams("banana").items(), key=lambda x: (-x[1], code(x[0]))))]
     rows = [("aa", code(g), k) for _, (g, _), k in profile]
     near = L.Nearest(rows, 50)
     lang, score = near.predict(["banana", "123", ""])
