@@ -21,12 +21,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 UNKNOWN = "application/octet-stream"
 #: Payloads are padded with PAD to a positive multiple of UNIT bytes.
 UNIT, PAD, RATE = 576, 255, 8000
+#: Bytes of blobs that become Python objects at once; one larger blob is taken alone.
+SLICE_BYTES = 8 << 20
 
 
 def wav_write(samples: bytes, rate: int = RATE) -> bytes:
@@ -181,6 +184,16 @@ def _extended(schema: T.StructType, add: list[tuple[str, T.DataType]], drop: set
     return T.StructType([f for f in schema if f.name not in out] + [T.StructField(n, t) for n, t in add])
 
 
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, of so many bytes of a column that no array made of one comes near Arrow's 2 GB."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _mapped(df: DataFrame, column: str, add: list[tuple[str, T.DataType]], one: Callable, drop: set[str]) -> DataFrame:
     """Adds columns that ``one`` computes from a column's value."""
     schema = _extended(df.schema, add, drop)
@@ -194,8 +207,7 @@ def _mapped(df: DataFrame, column: str, add: list[tuple[str, T.DataType]], one:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for part in _slices(batch, column):
                 rows = [one(x.as_py()) for x in part.column(column)]
                 new = [pa.array([r[i] for r in rows], kind(t)) for i, (_, t) in enumerate(add)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *new], [*names, *(n for n, _ in add)])
@@ -206,11 +218,12 @@ def _mapped(df: DataFrame, column: str, add: list[tuple[str, T.DataType]], one:
 def store_text(df: DataFrame, text: str = "text", media: str = "media", declared: str = "declared_type", n_bytes: str = "n_bytes", keep_text: bool = False) -> DataFrame:
     """Adds a text's bytes as an 8-bit sound, with a declared type that says nothing, and its unpadded size."""
 
-    def one(t: str | None) -> tuple:
-        raw = (t or "").encode("utf-8", "surrogatepass")
-        return wav_write(raw + bytes([PAD]) * (-len(raw) % UNIT if raw else UNIT)), UNKNOWN, len(raw)
+    return _mapped(df, text, [(media, T.BinaryType()), (declared, T.StringType()), (n_bytes, T.LongType())], _stored, set() if keep_text else {text})
 
-    return _mapped(df, text, [(media, T.BinaryType()), (declared, T.StringType()), (n_bytes, T.LongType())], one, set() if keep_text else {text})
+
+def _stored(t: str | None) -> tuple[bytes, str, int]:
+    raw = (t or "").encode("utf-8", "surrogatepass")
+    return wav_write(raw + bytes([PAD]) * (-len(raw) % UNIT if raw else UNIT)), UNKNOWN, len(raw)
 
 
 FOUND = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())]))
@@ -219,30 +232,41 @@ FOUND = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.Struc
 def sniff(df: DataFrame, media: str = "media", kind: str = "media_type", found: str = "found") -> DataFrame:
     """Adds the confirmed type, which corrects a declared one, and all confirmed objects."""
 
-    def one(b: bytes | None) -> tuple:
-        objects = find(b or b"")
-        return (objects[0][0] if objects and objects[0][1] == 0 else UNKNOWN), [{"type": t, "offset": a, "length": n} for t, a, n in objects]
+    return _mapped(df, media, [(kind, T.StringType()), (found, FOUND)], lambda b: _sniffed(find(b or b"")), set())
+
 
-    return _mapped(df, media, [(kind, T.StringType()), (found, FOUND)], one, set())
+def _sniffed(objects: list[tuple[str, int, int]]) -> tuple[str, list[dict]]:
+    return (objects[0][0] if objects and objects[0][1] == 0 else UNKNOWN), [{"type": t, "offset": a, "length": n} for t, a, n in objects]
 
 
 def read_samples(df: DataFrame, media: str = "media", payload: str = "payload", feature: str = "feature") -> DataFrame:
     """Adds the samples of a blob's first sound, carved and read back, and features of them."""
 
-    def one(b: bytes | None) -> tuple:
-        b = b or b""
-        objects = find(b)
-        for kind, at, size in objects:
-            if (raw := samples(b, kind, at, size)) is not None:
-                a = np.frombuffer(raw, np.uint8)
-                n = np.bincount(a, minlength=256)
-                p = n[n > 0] / max(len(a), 1)
-                turns = np.count_nonzero((a[1:] >= 128) != (a[:-1] >= 128))
-                mean = float(a.mean()) if len(a) else 0.0
-                return raw, f"{kind};samples={len(a)};mean={mean:.4f};entropy={float(-(p * np.log2(p)).sum()) + 0.0:.4f};crossings={turns};embedded={len(objects) - 1}"
-        return None, f"{objects[0][0] if objects else UNKNOWN};samples=0"
-
-    return _mapped(df, media, [(payload, T.BinaryType()), (feature, T.StringType())], one, set())
+    return _mapped(df, media, [(payload, T.BinaryType()), (feature, T.StringType())], lambda b: _read(b or b"", find(b or b"")), set())
+
+
+def _read(b: bytes, objects: list[tuple[str, int, int]]) -> tuple[bytes | None, str]:
+    for kind, at, size in objects:
+        if (raw := samples(b, kind, at, size)) is not None:
+            a = np.frombuffer(raw, np.uint8)
+            n = np.bincount(a, minlength=256)
+            p = n[n > 0] / max(len(a), 1)
+            turns = np.count_nonzero((a[1:] >= 128) != (a[:-1] >= 128))
+            mean = float(a.mean()) if len(a) else 0.0
+            return raw, f"{kind};samples={len(a)};mean={mean:.4f};entropy={float(-(p * np.log2(p)).sum()) + 0.0:.4f};crossings={turns};embedded={len(objects) - 1}"
+    return None, f"{objects[0][0] if objects else UNKNOWN};samples=0"
+
+
+def round_trip(df: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """:func:`store_text`, :func:`sniff` and :func:`read_samples` of what it stores, in one pass: the stored bytes are scanned once."""
+
+    def one(t: str | None) -> tuple:
+        stored = _stored(t)
+        objects = find(stored[0])
+        return *stored, *_sniffed(objects), *_read(stored[0], objects)
+
+    add = [("media", T.BinaryType()), ("declared_type", T.StringType()), ("n_bytes", T.LongType()), ("media_type", T.StringType()), ("found", FOUND), ("payload", T.BinaryType()), ("feature", T.StringType())]
+    return _mapped(df, text, add, one, set() if keep_text else {text})
 
 
 def carve(df: DataFrame, media: str = "media", found: str = "found", out: str = "carved") -> DataFrame:

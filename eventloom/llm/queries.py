@@ -160,8 +160,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    stored = media.store_text(docs)
-    read = media.read_samples(media.sniff(stored))
+    read = media.round_trip(docs)
     tail = F.expr("substring(payload, greatest(length(payload) - 31, 1), 32)")
     return read.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),

@@ -68,3 +68,21 @@ def test_query(spark, data):
     same = {}
     for r in rows:
         assert same.setdefault(docs[r.doc_id], r.feature) == r.feature
+
+
+def test_one_pass_gives_what_three_give(spark, monkeypatch):
+    texts = [None, "", "RIFF GIF89a BM", "x" * 5000, "é" * 300, png().decode("latin-1")] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one = M.round_trip(df)
+    three = M.read_samples(M.sniff(M.store_text(df)))
+    assert one.columns == three.columns
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, three.collect()))
+
+
+def test_slices_go_by_bytes():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * (3 << 20), None, "y", "z" * (9 << 20), "a" * (7 << 20), "b" * (2 << 20)])], ["text"])
+    assert [p.num_rows for p in M._slices(batch, "text")] == [3, 1, 1, 1]
+    assert list(M._slices(batch.slice(0, 0), "text")) == []
+    assert [p.num_rows for p in M._slices(batch.slice(2), "text")] == [1, 1, 1, 1]
