@@ -2,8 +2,13 @@
 
 Each round joins an edge table with its own per-node minimum, so that rounds
 grow with the logarithm of the longest path and no task needs all neighbours of
-a node. Edges never leave Spark; two numbers a round tell the driver whether
-anything changed. Tables of rounds that are over are deleted.
+a node; the minima are dealt anew before they are joined, so that Spark can split
+the join at the centre of a large star. Edges never leave Spark; two numbers a
+round tell the driver whether anything changed. Tables of rounds that are over are
+deleted.
+
+Values: ids are whole numbers; an edge with a null end or equal ends, and repeated
+edges, add nothing; no edges give an empty table. Of other columns nothing is kept.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ MOST_ROUNDS = 60
 def _hooked(edges: DataFrame, side: str, to: str) -> DataFrame:
     """(side, to, m): every edge with the smallest of its node and the node's neighbours."""
     m = edges.groupBy(F.col(side).alias("own")).agg(F.min(to).alias("least"))
-    return edges.join(m, F.col(side) == F.col("own")).withColumn("m", F.least("own", "least"))
+    return edges.join(m.repartition("own"), F.col(side) == F.col("own")).withColumn("m", F.least("own", "least"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

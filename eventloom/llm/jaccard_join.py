@@ -10,28 +10,38 @@
    size - ceil(t * size) + 1 tokens in that order. Equal sets count as one.
    Sets with the same prefix and the same size form a group; groups stand for
    their members in the index.
-3. Pairs of groups come from the lists of prefix tokens and pass the length
-   filter, the position filter, and a bound on the overlap by bucket counts.
+3. In lists above LONG entries groups are first joined by stars: a group goes to
+   its first STAR_LISTS such lists, and in each block of one it is verified against
+   one set of every class found there so far (the last REPS of them). That takes as
+   many comparisons as entries times REPS at most, and makes one class of most large
+   groups of near copies.
+4. Pairs of groups come from the lists of prefix tokens and pass the length
+   filter, the position filter, and a bound on the overlap by bucket counts; pairs
+   that stars joined already are not even looked at, as entries lie by class.
    Long lists are cut into blocks, and a pair that shares several long lists
    is taken at the first one. Pairs that pass are packed by their first group.
-4. Candidates form clusters (components of the pairs). A task gets whole
-   clusters, or two blocks of a large one. Long sets share tokens by chance, and
-   few buckets bound them badly; their pairs first pass a bound on bucket counts
-   that are as many as an eighth of the set (a filter, one byte a bucket).
-5. What is left is dealt once more by cluster with the full sets: groups are
+5. Candidates form clusters (components of the pairs). A task gets whole
+   clusters, or two blocks of a large one with the pairs between them. Long sets
+   share tokens by chance, and few buckets bound them badly; their pairs first pass a
+   bound on bucket counts that are as many as an eighth of the set (a filter, one
+   byte a bucket).
+6. What is left is dealt once more by cluster with the full sets: groups are
    expanded into members and pairs verified. A pair already joined by verified
-   links is skipped; what a task gives back is a spanning forest.
-6. Components of the forest are the result.
+   links is skipped, and a group's members are held against classes, not against
+   each other; what a task gives back is a spanning forest.
+7. Components of the forest and of the stars are the result.
 
 Nothing that grows with the documents reaches the driver: HEAVY tokens with
-counts at most, and the words of a bit filter of FILTER_BITS bits that tells
-which texts the third pass tokenises.
+counts at most, and the words of a bit filter that tells which texts later passes
+tokenise: it has 8 bits or more for each such text, up to FILTER_BITS[1]; for more
+texts than that a semi-join takes its place.
 
 Values: a null text, or one without words, has no shingle and links with
 nothing; a text of fewer words than a shingle has one shingle, all its words.
 Rows that repeat count as copies. A null doc_id takes part, but never names a
-component unless all its rows are null. Shingles are 64-bit hashes, sets are
-told apart by 128 bits.
+component unless all its rows are null. Ids are whole numbers, or texts that spell
+one; others raise. Of other columns component_ids keeps nothing, deduplicated all.
+Shingles are 64-bit hashes, sets are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -47,7 +57,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import written
+from .scratch import dropped, free_name, temporary, written
 
 #: Shingles that go to the end of the order, and the count from which a shingle may be one of them.
 HEAVY, LEAST = 1 << 20, 8
@@ -57,7 +67,10 @@ BUCKETS, LIST_BLOCK, LONG = 64, 1000, 24
 TASK_TOKENS, TASK_BYTES = 4_000_000, 16_000_000
 #: Sets of more tokens than this have fine buckets as well, about FINE tokens in each.
 FINE_FROM, FINE = 1024, 8
-FILTER_BITS = 1 << 23
+#: Bits of the filter of texts, at least and at most.
+FILTER_BITS = 1 << 23, 1 << 27
+#: Long lists that a group joins stars in; classes of a block that an entry is held against.
+STAR_LISTS, REPS = 2, 12
 CHUNK_CHARS, PAIRS_AT_ONCE = 4_000_000, 1_000_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -224,6 +237,9 @@ def _enumerated(lists: DataFrame, percent: int) -> DataFrame:
         new = np.r_[True, (token[1:] != token[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]
         first = np.flatnonzero(new)
         end = np.repeat(np.r_[first[1:], len(t)], np.diff(np.r_[first, len(t)]))
+        star = t["star"].to_numpy()
+        same = np.flatnonzero(new | np.r_[True, star[1:] != star[:-1]])  # entries of one class lie together
+        over = np.repeat(np.r_[same[1:], len(t)], np.diff(np.r_[same, len(t)]))
         gid, n, pos, side, crossed = (t[c].to_numpy() for c in ("gid", "n", "pos", "side", "crossed"))
         b = t["buckets"].to_numpy()
         known = np.fromiter((x is not None and len(x) == BUCKETS for x in b), bool, len(b))
@@ -233,13 +249,13 @@ def _enumerated(lists: DataFrame, percent: int) -> DataFrame:
         earlier = t["earlier"].to_numpy()
         long = np.fromiter(map(len, earlier), np.int64, len(t)) > 0
         out = []
-        todo = end - np.arange(len(t)) - 1
+        todo = end - over
         upto = np.cumsum(todo)
         at = 0
         while at < len(t):
             to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
             i = np.repeat(np.arange(at, to), todo[at:to])
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(todo[at:to]) - todo[at:to], todo[at:to])
+            j = over[i] + np.arange(len(i)) - np.repeat(np.cumsum(todo[at:to]) - todo[at:to], todo[at:to])
             at = to
             x, y = n[i], n[j]
             need = -(-percent * (x + y) // (100 + percent))  # of the overlap
@@ -297,11 +313,18 @@ def _enumerated(lists: DataFrame, percent: int) -> DataFrame:
 
 def _filtered_sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
     """(uid, tokens) of the documents whose ``h`` is wanted, and of a few more that the bit filter lets through."""
-    bit = F.explode(F.array(F.shiftrightunsigned("h", 41), F.shiftrightunsigned(F.shiftleft("h", 23), 41)))  # two times 23 bits
-    bits = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits"))
-    table = np.zeros(FILTER_BITS // 64, np.int64)
-    got = bits.toPandas()  # FILTER_BITS / 64 rows at most
-    table[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    n = 8 * wanted.count()
+    width = max(FILTER_BITS[0], 1 << n.bit_length()).bit_length() - 1
+    if n > FILTER_BITS[1]:
+        docs, width = docs.join(wanted.select("h").distinct(), "h", "left_semi").select("id", "h", "text"), 6
+    low = U(64 - width)
+    bit = F.explode(F.array(F.shiftrightunsigned("h", 64 - width), F.shiftrightunsigned(F.shiftleft("h", width), 64 - width)))
+    table = np.full((1 << width) // 64, -1, np.int64)
+    if n <= FILTER_BITS[1]:
+        bits = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits"))
+        table[:] = 0
+        got = bits.toPandas()  # FILTER_BITS[1] / 64 rows at most
+        table[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
     share = docs.sparkSession.sparkContext.broadcast(table.view(U))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +332,7 @@ def _filtered_sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             h = batch.column(1).to_numpy(zero_copy_only=False).view(U)
             ok = np.ones(len(h), bool)
-            for k in (h >> U(41), (h << U(23)) >> U(41)):
+            for k in (h >> low, (h << U(width)) >> low):
                 ok &= (f[(k >> U(6)).astype(np.int64)] >> (k & U(63))) & U(1) == 1
             texts = batch.column(2).filter(pa.array(ok)).to_pylist()
             for at in _slices(texts):
@@ -323,7 +346,9 @@ def _dealt(members: DataFrame, pairs: DataFrame, label: DataFrame, per_task: int
     """Members and pairs of each cluster, for the task, or the tasks of two blocks, that see the cluster's pairs.
 
     ``members`` has label, node (by which a large cluster is cut), weight and
-    more. Clusters below ``per_task`` share tasks; a large one is cut into blocks.
+    more. Clusters below ``per_task`` share tasks; a large one is cut into blocks. A
+    pair goes to the task of its two blocks; one of groups of several members
+    (``wide``) to all tasks of its cluster, as its members lie in many blocks.
     """
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     weight = members.groupBy("label").agg(F.sum("weight").alias("weight")).withColumn("cuts", F.greatest(F.lit(1), F.ceil(F.col("weight") / per_task)).cast("int"))
@@ -336,9 +361,14 @@ def _dealt(members: DataFrame, pairs: DataFrame, label: DataFrame, per_task: int
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
     placed = placed.withColumn("bi", F.least("side", "other")).withColumn("bj", F.greatest("side", "other")).drop("other")
     work = pairs.where(F.size("partners") > 0).join(label, F.col("a") == F.col("gid")).join(weight, "label")
-    block_pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda i: F.transform(F.sequence(i, F.col("cuts") - 1), lambda j: F.struct(i.alias("bi"), j.alias("bj")))))
-    work = work.select("task", F.explode(block_pairs).alias("x"), "a", "partners")
-    return placed, work.select(F.col("task").alias("p_task"), F.col("x.bi").alias("p_bi"), F.col("x.bj").alias("p_bj"), (F.col("x.bi") != F.col("x.bj")).alias("crossed"), "a", "partners")
+    every = F.sequence(F.lit(0), F.col("cuts") - 1)
+    some = F.struct(F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.col("partners").alias("partners"))
+    block_pairs = F.flatten(F.transform(every, lambda i: F.transform(F.sequence(i, F.col("cuts") - 1), lambda j: F.struct(i.alias("bi"), j.alias("bj"), F.col("partners").alias("partners")))))
+    own = F.pmod("a", F.col("cuts")).cast("int")
+    by_side = F.transform(every, lambda s: F.struct(F.least(own, s).alias("bi"), F.greatest(own, s).alias("bj"), F.filter("partners", lambda q: F.pmod(q, F.col("cuts")) == s).alias("partners")))
+    to = F.when(F.col("cuts") <= 1, F.array(some)).when(F.col("wide"), block_pairs).otherwise(F.filter(by_side, lambda x: F.size(x["partners"]) > 0))
+    work = work.select("task", "a", "wide", F.explode(to).alias("x"))
+    return placed, work.select(F.col("task").alias("p_task"), F.col("x.bi").alias("p_bi"), F.col("x.bj").alias("p_bj"), (F.col("x.bi") != F.col("x.bj")).alias("crossed"), "wide", "a", F.col("x.partners").alias("partners"))
 
 
 def _near_by_buckets(x: bytes, nx: int, y: bytes, ny: int, percent: int) -> bool:
@@ -353,15 +383,19 @@ def _near_by_buckets(x: bytes, nx: int, y: bytes, ny: int, percent: int) -> bool
 
 
 def _sifted(groups: DataFrame, pairs: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """(a, partners): the pairs of groups that fine buckets don't rule out; each group with a pair is an ``a`` once at least."""
+    """(a, partners, wide): the pairs of groups that fine buckets don't rule out; each group with a pair is an ``a`` once at least.
+
+    wide tells pairs in which a group has several members.
+    """
     size = F.coalesce(F.octet_length("fine"), F.lit(0)) + 16
-    members = label.join(groups.select("gid", "n", "fine"), "gid").select("label", F.col("gid").alias("node"), size.alias("weight"), "n", "fine")
-    sets, work = _dealt(members, pairs, label, TASK_BYTES, 1_000_000)
+    members = label.join(groups.select("gid", "n", "fine", "members"), "gid").select("label", F.col("gid").alias("node"), size.alias("weight"), "n", "fine", "members")
+    sets, work = _dealt(members, pairs.withColumn("wide", F.lit(False)), label, TASK_BYTES, 1_000_000)
 
     def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, list[int]]] = []
+        out: list[tuple[int, list[int], bool]] = []
         if len(a) and len(b):
             known = {g: (f or b"", n, s) for g, f, n, s in zip(a["node"].tolist(), a["fine"], a["n"].tolist(), a["side"].tolist(), strict=True)}
+            several = set(a["node"][a["members"] > 1].tolist())
             crossed = bool(b["crossed"].iloc[0])
             for g, partners in zip(b["a"].tolist(), b["partners"], strict=True):
                 if g not in known:
@@ -371,14 +405,24 @@ def _sifted(groups: DataFrame, pairs: DataFrame, label: DataFrame, percent: int)
                 for q in np.unique(partners).tolist():
                     if q in known and not (crossed and known[q][2] == side) and (g == q or _near_by_buckets(f, n, *known[q][:2], percent)):
                         kept.append(q)
-                if kept:
-                    out.append((g, kept))
-            own = {g for g, _ in out}
-            out += [(q, []) for q in {q for _, kept in out for q in kept} - own]  # a row for every node that has a pair
-        return pd.DataFrame(out, columns=["a", "partners"])
+                many = kept if g in several else [q for q in kept if q in several]
+                few = [] if g in several else [q for q in kept if q not in several]
+                out += [(g, own, wide) for own, wide in ((few, False), (many, True)) if own]
+            own = {g for g, _, _ in out}
+            out += [(q, [], False) for q in {q for _, kept, _ in out for q in kept} - own]  # a row for every node that has a pair
+        return pd.DataFrame(out, columns=["a", "partners", "wide"])
 
     on = ["task", "bi", "bj"]
-    return sets.groupBy(on).cogroup(work.groupBy([f"p_{c}" for c in on])).applyInPandas(one, "a long, partners array<long>")
+    return sets.groupBy(on).cogroup(work.groupBy([f"p_{c}" for c in on])).applyInPandas(one, "a long, partners array<long>, wide boolean")
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    common = int(np.count_nonzero(y[at] == x))
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -394,57 +438,104 @@ def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 members.setdefault(g, []).append(k)
             crossed = bool(b["crossed"].iloc[0])
             parent: dict[int, int] = {}
+
+            def join(i: int, theirs: dict[int, list[int]]) -> bool:
+                """Links i with the classes in which it has a link; theirs is members by class."""
+                new = False
+                for own in theirs.values():
+                    ri = _root(parent, i)
+                    if ri == _root(parent, own[0]):
+                        continue
+                    for j in own:
+                        if not (crossed and side[i] == side[j]) and _alike(tokens[i], tokens[j], percent):
+                            parent[_root(parent, own[0])] = ri
+                            out.append((node[i], node[j]))
+                            new = True
+                            break
+                return new
+
+            def classes(own: list[int]) -> dict[int, list[int]]:
+                by: dict[int, list[int]] = {}
+                for j in own:
+                    by.setdefault(_root(parent, j), []).append(j)
+                return by
+
             for g, partners in zip(b["a"].tolist(), b["partners"], strict=True):
                 for q in np.unique(partners).tolist():
+                    theirs = classes(members.get(q, []))
                     for i in members.get(g, ()):
-                        for j in members.get(q, ()):
-                            if g == q and i >= j or crossed and side[i] == side[j]:
-                                continue
-                            ri, rj = _root(parent, i), _root(parent, j)
-                            if ri == rj:
-                                continue
-                            x, y = tokens[i], tokens[j]
-                            if len(x) > len(y):
-                                x, y = y, x
-                            at = np.searchsorted(y, x)
-                            at[at == len(y)] = 0
-                            common = int(np.count_nonzero(y[at] == x))
-                            if 100 * common >= percent * (len(x) + len(y) - common):
-                                parent[rj] = ri
-                                out.append((node[i], node[j]))
+                        if join(i, theirs):
+                            theirs = classes(members[q])
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     on = ["task", "bi", "bj"]
     return sets.groupBy(on).cogroup(pairs.groupBy([f"p_{c}" for c in on])).applyInPandas(one, "a long, b long")
 
 
+def _stars(src: DataFrame, sets: DataFrame, by_group: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """(a, b): links between groups' own sets, found in blocks of long lists; None if there are no long lists."""
+    e = F.explode(F.slice(F.filter("own", lambda e: e["size"] > LONG), 1, STAR_LISTS)).alias("e")
+    joined = written(by_group.select("gid", "n", e).select("gid", "n", "e.token"), "jaccard-stars")
+    lists = joined.groupBy("token").agg(F.count("*").alias("size"), F.sum("n").alias("tokens")).where("size > 1")
+    cuts = F.greatest(F.ceil(F.col("size") / LIST_BLOCK), F.ceil(F.col("tokens") / TASK_TOKENS)).cast("int")
+    joined = joined.join(lists.select("token", cuts.alias("cuts")), "token")
+    placed = written(joined.select("gid", "token", F.pmod(F.xxhash64("gid", "token"), F.col("cuts")).alias("block")), "jaccard-stars")
+    wanted = sets.join(placed.select(F.col("gid").alias("node")).distinct(), "node", "left_semi").select("h")
+    if not placed.head(1):
+        return None
+    tokens = _filtered_sets(src, words, wanted).dropDuplicates(["uid"]).select(F.xxhash64("uid").alias("gid"), "tokens")
+
+    def one(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("gid")
+        out: list[tuple[int, int]] = []
+        reps: list[tuple[int, np.ndarray]] = []
+        for g, x in zip(t["gid"].tolist(), (np.frombuffer(x, U) for x in t["tokens"]), strict=True):
+            hit = next((k for k in range(len(reps) - 1, max(-1, len(reps) - 1 - REPS), -1) if _alike(x, reps[k][1], percent)), None)
+            if hit is None:
+                reps.append((g, x))
+            else:
+                out.append((reps[hit][0], g))
+                reps.append(reps.pop(hit))  # classes met last come first
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return written(tokens.join(placed, "gid").groupBy("token", "block").applyInPandas(one, "a long, b long").distinct(), "jaccard-star-links")
+
+
 def linked(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", key: Column | None = None) -> DataFrame:
     """(id, n, h, node, root): a row a document; documents with one root are joined by links, node tells different sets apart; h is the key, a hash."""
     spark = docs.sparkSession
     key = F.xxhash64(F.col(doc_id), F.octet_length(text)) if key is None else key
     src = docs.select(F.col(doc_id).cast("long").alias("id"), key.alias("h"), F.col(text).alias("text"))
     heavy = _heavy(src.select("text"), words, percent)
-    rows = written(_described(src, words, percent, heavy), "jaccard-sets")
-    known = rows.where("n > 0")
+    full = written(_described(src, words, percent, heavy), "jaccard-sets")
     own = ("n", "key", "prefix", "buckets", "fine")
-    sets = known.groupBy("uid").agg(F.min("h").alias("h"), *(F.first(c).alias(c) for c in own)).withColumn("node", F.xxhash64("uid"))
-    groups = sets.groupBy("key", "n").agg(F.min("node").alias("gid"), F.count("*").alias("members"), *(F.first(c).alias(c) for c in own[2:]))
+    first = full.where("n > 0").groupBy("uid").agg(F.min("h").alias("h"), *(F.first(c).alias(c) for c in own)).withColumn("node", F.xxhash64("uid"))
+    groups = first.groupBy("key", "n").agg(F.min("node").alias("gid"), F.count("*").alias("members"), *(F.first(c).alias(c) for c in own[2:]))
     alone = lambda c: F.when(F.col("members") == 1, F.col(c))  # noqa: E731  the members of a group differ in their buckets
     groups = written(groups.withColumns({c: alone(c) for c in ("buckets", "fine")}), "jaccard-groups")
+    rows = written(full.select("id", "n", "h", "uid", "key"), "jaccard-rows")
+    dropped(full)
+    sets = rows.where("n > 0").groupBy("uid").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("key").alias("key")).withColumn("node", F.xxhash64("uid"))
     # the index: lists of prefix tokens, without those of one entry
     posted = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     entries = posted.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1")
-    by_group = entries.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "size"))).alias("own")).join(groups.select("gid", "n", "buckets"), "gid")
+    by_group = entries.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "size"))).alias("own")).join(groups.select("gid", "n", "members", "buckets"), "gid")
+    by_group = written(by_group, "jaccard-lists")
+    stars = _stars(src, sets, by_group, words, percent)
+    star = F.col("gid")
+    if stars is not None:  # a group of several members is in no class: its other members may lack the links of its own set
+        by_group = by_group.join(components(stars).withColumnsRenamed({"node": "gid", "root": "star_root"}), "gid", "left")
+        star = F.when(F.col("members") == 1, F.coalesce("star_root", "gid")).otherwise(F.col("gid"))
     long = F.transform(F.filter("own", lambda e: e["size"] > LONG), lambda e: e["token"])
-    spread = by_group.withColumn("long", long).select("gid", "n", "buckets", "long", F.explode("own").alias("e"))
+    spread = by_group.withColumn("long", long).select("gid", "n", star.alias("star"), "buckets", "long", F.explode("own").alias("e"))
     before = F.expr("slice(long, 1, greatest(array_position(long, e.token) - 1, 0))")
     cuts = F.ceil(F.col("e.size") / LIST_BLOCK).cast("int")
     block = F.pmod(F.col("gid"), cuts).cast("int")
-    spread = spread.select("gid", "n", "buckets", "e.token", "e.pos", F.when(F.col("e.size") > LONG, before).otherwise(F.array().cast("array<bigint>")).alias("earlier"), block.alias("side"), F.explode(F.sequence(F.lit(0), cuts - 1)).alias("other"))
+    spread = spread.select("gid", "n", "star", "buckets", "e.token", "e.pos", F.when(F.col("e.size") > LONG, before).otherwise(F.array().cast("array<bigint>")).alias("earlier"), block.alias("side"), F.explode(F.sequence(F.lit(0), cuts - 1)).alias("other"))
     low, high = F.least("side", "other"), F.greatest("side", "other")
-    lists = spread.select("token", low.alias("bi"), high.alias("bj"), (low != high).cast("int").alias("crossed"), "gid", "n", "pos", "side", "buckets", "earlier")
+    lists = spread.select("token", low.alias("bi"), high.alias("bj"), (low != high).cast("int").alias("crossed"), "gid", "n", "star", "pos", "side", "buckets", "earlier")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = lists.repartition(parts, "token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "n", "gid")
+    lists = lists.repartition(parts, "token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "star", "gid")
     pairs = _enumerated(lists, percent)
     several = groups.where("members > 1").select(F.col("gid").alias("a"), F.array("gid").alias("partners"), F.col("gid").alias("star"))
     pairs = written(pairs.unionByName(several), "jaccard-pairs")
@@ -458,15 +549,17 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
     tokens = _filtered_sets(src, words, members.select("h")).dropDuplicates(["uid"])
     placed, work = _dealt(members.drop("h"), pairs, label, TASK_TOKENS, 100_000)
     links = _verified(tokens.join(placed, "uid"), work, percent)
-    roots = components(links).withColumnsRenamed({"node": "linked", "root": "linked_root"})
+    roots = components(links if stars is None else links.unionByName(stars)).withColumnsRenamed({"node": "linked", "root": "linked_root"})
     named = rows.select("id", "n", "h", F.when(F.col("n") > 0, F.xxhash64("uid")).alias("node"))
     return named.join(roots, F.col("node") == F.col("linked"), "left").select("id", "n", "h", "node", F.coalesce("linked_root", "node").alias("root"))
 
 
 def component_ids(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest doc_id that links lead to; a row for each row of the documents."""
-    rows = written(linked(docs, words, percent, text, doc_id), "jaccard-roots")
-    least = rows.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("id").alias("least"))
+    with temporary():
+        rows = written(linked(docs, words, percent, text, doc_id), "jaccard-roots", keep=True)
+    # dealt anew, so that Spark can split the join at the root of a large component
+    least = rows.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("id").alias("least")).repartition("r")
     out = rows.join(least, F.col("root") == F.col("r"), "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
@@ -481,10 +574,14 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, text: str =
     so that all of them stay.
     """
     key = F.xxhash64(F.col(doc_id), F.col(text))
-    known = written(linked(docs, words, percent, text, doc_id, key).select("id", "h", "root"), "jaccard-roots").where("root is not null")
-    least = known.groupBy(F.col("root").alias("r")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("stays"))
-    gone = known.join(least, F.col("root") == F.col("r")).where("h <> stays.h").select(F.col("h").alias("gone__")).distinct()
-    kept = docs.withColumn("key__", key).join(gone, F.col("key__") == F.col("gone__"), "left_anti")
-    no_words = ~F.coalesce(F.regexp_like(F.col(text), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    lead = F.row_number().over(Window.partitionBy("key__").orderBy("key__"))
-    return kept.withColumn("lead__", lead).where((F.col("lead__") == 1) | no_words).select(*docs.columns)
+    with temporary():
+        known = written(linked(docs, words, percent, text, doc_id, key).select("id", "h", "root").where("root is not null"), "jaccard-roots")
+        least = known.groupBy(F.col("root").alias("r")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("stays")).repartition("r")
+        gone = known.join(least, F.col("root") == F.col("r")).where("h <> stays.h").select(F.col("h").alias("gone")).distinct()
+        gone = written(gone, "jaccard-gone", keep=True)
+    own, lead, taken = (free_name(docs, c) for c in ("key__", "lead__", "gone"))
+    words = F.coalesce(F.regexp_like(F.col(text), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    kept = docs.where(words).withColumn(own, key).join(gone.withColumnRenamed("gone", taken), F.col(own) == F.col(taken), "left_anti")
+    number = F.row_number().over(Window.partitionBy(own).orderBy(own))
+    kept = kept.withColumn(lead, number).where(F.col(lead) == 1).select(*docs.columns)
+    return kept.unionByName(docs.where(~words))

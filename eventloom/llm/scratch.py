@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: Tables that the open :func:`temporary` blocks are to delete.
+_OPEN: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,16 +35,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/eventloom-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends here."""
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends here.
+
+    Within :func:`temporary` the table goes at the block's end, unless it is to be kept.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._eventloom_path = path  # type: ignore[attr-defined]
+    if _OPEN and not keep:
+        _OPEN[-1].append(back)
     return back
 
 
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Deletes what :func:`written` makes within the block: what the block returns must be written and kept."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for df in _OPEN.pop():
+            dropped(df)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table made by :func:`written` once nothing reads it any more."""
     spark, path = df.sparkSession, getattr(df, "_eventloom_path", None)

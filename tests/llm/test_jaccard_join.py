@@ -117,3 +117,40 @@ def test_query(spark, data):
     docs = [(d.doc_id, d.text) for d in spark.read.parquet(f"{data}/sf0.001/documents.parquet").collect()]
     rows = op6_jaccard_join(spark, f"{data}/sf0.001").collect()
     assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in rows) == brute(docs, 4, 85)
+
+
+def test_candidates_of_a_large_group_of_near_copies(spark, monkeypatch):
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(120)]
+    docs = [(k, " ".join(near(r, base, r.choice([0, 1, 1, 2])))) for k in range(700)] + [(1000 + k, " ".join(near(r, base, 40))) for k in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(J, "LIST_BLOCK", 150)
+    monkeypatch.setattr(J, "TASK_TOKENS", 20_000)
+    seen, sifted = [], J._sifted
+
+    def counted(groups, pairs, label, percent):
+        seen.append(pairs.selectExpr("sum(size(partners))").first()[0])
+        return sifted(groups, pairs, label, percent)
+
+    monkeypatch.setattr(J, "_sifted", counted)
+    assert got(df, 4, 85) == brute(docs, 4, 85)
+    assert seen[0] < 40 * len(docs)  # all pairs would be some 245,000
+
+
+def test_more_wanted_texts_than_the_filter_has_bits_for(spark, monkeypatch):
+    docs = planted(40, 11)
+    monkeypatch.setattr(J, "FILTER_BITS", (64, 128))
+    assert got(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85) == brute(docs, 4, 85)
+    monkeypatch.setattr(J, "FILTER_BITS", (64, 1 << 20))
+    assert got(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85) == brute(docs, 4, 85)
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    import os
+
+    from eventloom.llm.scratch import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    J.component_ids(spark.createDataFrame(planted(10, 12), "doc_id long, text string")).count()
+    assert [n.split("-")[2] for n in set(os.listdir(folder)) - before] == ["roots"]
