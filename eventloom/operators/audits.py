@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from .ranks import quantiles, with_quantiles
 
 
 def described(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     """n, mean, population sd, min, quartiles and max."""
-    q = lambda p: F.percentile(F.col(x), F.lit(p))
-    return df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.min(x).alias("least"), q(0.25).alias("p25"), q(0.5).alias("median"), q(0.75).alias("p75"), F.max(x).alias("most"))
+    g = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.min(x).alias("least"), F.max(x).alias("most"))
+    return with_quantiles(g, df, by, x, {"p25": 0.25, "median": 0.5, "p75": 0.75}).select(*by, "n", "mean", "sd", "least", "p25", "median", "p75", "most")
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str]) -> DataFrame:
@@ -65,7 +66,7 @@ def nuisance(df: DataFrame, component: str, columns: Sequence[str]) -> DataFrame
     """How far the components' means and medians of each column lie apart, in standard deviations of all rows."""
     long = unpivoted(df, [component], columns)
     whole = long.groupBy("name").agg(F.stddev_pop("x").alias("sd"))
-    by = long.groupBy("name", component).agg(F.avg("x").alias("mean"), F.percentile("x", F.lit(0.5)).alias("median"))
+    by = with_quantiles(long.groupBy("name", component).agg(F.avg("x").alias("mean")), long, ["name", component], "x", {"median": 0.5})
     g = by.groupBy("name").agg(F.min("mean").alias("mean_least"), F.max("mean").alias("mean_most"), F.min("median").alias("median_least"), F.max("median").alias("median_most"))
     return g.join(whole, "name").withColumn("range_sd", ratio(F.col("mean_most") - F.col("mean_least"), F.when(F.col("sd") > 0, F.col("sd"))))
 
@@ -77,20 +78,25 @@ def two_groups(df: DataFrame, group: Column, columns: Sequence[str]) -> DataFram
     out = []
     for g, side in ((True, "a"), (False, "b")):
         x = part(g)
-        out += [F.avg(x).alias(f"mean_{side}"), F.percentile(x, F.lit(0.5)).alias(f"median_{side}"), F.percentile(x, F.lit(0.05)).alias(f"p05_{side}"), F.percentile(x, F.lit(0.95)).alias(f"p95_{side}"), F.var_pop(x).alias(f"v_{side}"), ratio(F.count_if((F.col("g__") == F.lit(g)) & F.col("x").isNull()), F.count_if(F.col("g__") == F.lit(g))).alias(f"missing_{side}")]
+        out += [F.avg(x).alias(f"mean_{side}"), F.var_pop(x).alias(f"v_{side}"), ratio(F.count_if((F.col("g__") == F.lit(g)) & F.col("x").isNull()), F.count_if(F.col("g__") == F.lit(g))).alias(f"missing_{side}")]
     pooled = F.sqrt((F.col("v_a") + F.col("v_b")) / 2)
-    return long.groupBy("name").agg(*out).withColumn("smd", ratio(F.col("mean_a") - F.col("mean_b"), F.when(pooled > 0, pooled))).drop("v_a", "v_b")
+    of = quantiles(long.where("g__ is not null"), ["name", "g__"], "x", {"median": 0.5, "p05": 0.05, "p95": 0.95})
+    side = lambda g, c: F.max(F.when(F.col("g__") == F.lit(g), F.col(c)))
+    of = of.groupBy(F.col("name").alias("name_q")).agg(*(side(g, c).alias(f"{c}_{s}") for g, s in ((True, "a"), (False, "b")) for c in ("median", "p05", "p95")))
+    found = long.groupBy("name").agg(*out).join(of, F.col("name") == F.col("name_q"), "left").drop("name_q")
+    return found.withColumn("smd", ratio(F.col("mean_a") - F.col("mean_b"), F.when(pooled > 0, pooled))).drop("v_a", "v_b")
 
 
 def group_sizes(df: DataFrame, group: str) -> DataFrame:
     """Smallest, median, mean and largest group, and the share of single rows."""
     g = df.groupBy(group).agg(F.count("*").alias("n"))
-    return g.agg(F.count("*").alias("groups"), F.min("n").alias("least"), F.percentile("n", F.lit(0.5)).alias("median"), F.avg("n").alias("mean"), F.max("n").alias("most"), F.avg((F.col("n") == 1).cast("double")).alias("singletons"))
+    return with_quantiles(g.agg(F.count("*").alias("groups"), F.min("n").alias("least"), F.avg("n").alias("mean"), F.max("n").alias("most"), F.avg((F.col("n") == 1).cast("double")).alias("singletons")), g, [], "n", {"median": 0.5})
 
 
 def support(df: DataFrame, cell: Sequence[str], group: str, x: str, positive: Column) -> DataFrame:
     """By cell: rows, groups, min, median and max of x, positives and their rate."""
-    return df.groupBy(*cell).agg(F.count("*").alias("n"), F.countDistinct(group).alias("groups"), F.min(x).alias("least"), F.percentile(x, F.lit(0.5)).alias("median"), F.max(x).alias("most"), F.count_if(positive).alias("positives")).withColumn("rate", ratio(F.col("positives"), F.col("n")))
+    g = df.groupBy(*cell).agg(F.count("*").alias("n"), F.countDistinct(group).alias("groups"), F.min(x).alias("least"), F.max(x).alias("most"), F.count_if(positive).alias("positives"))
+    return with_quantiles(g, df, cell, x, {"median": 0.5}).withColumn("rate", ratio(F.col("positives"), F.col("n")))
 
 
 def column_support(df: DataFrame, columns: Sequence[str]) -> DataFrame:

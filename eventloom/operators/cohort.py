@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio, seeded
+from .ranks import ranked
 
 
 def sampled_per_group(df: DataFrame, by: Sequence[str], n: Column | int, key: str, seed: int = 1) -> DataFrame:
     """At most ``n`` rows of each group; ``n`` may be a column of the group's quota."""
     n = F.lit(n) if isinstance(n, int) else n
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(seeded(seed, F.col(key)), key))
-    return df.withColumn("rank__", rank).where(F.col("rank__") <= n).drop("rank__")
+    return ranked(df, by, key, seed).where(F.col("rank__") <= n).drop("rank__", "size__")
 
 
 def quota_sample(pool: DataFrame, wanted: DataFrame, by: Sequence[str], key: str, seed: int = 1) -> DataFrame:
@@ -28,8 +28,7 @@ def quota_sample(pool: DataFrame, wanted: DataFrame, by: Sequence[str], key: str
 
 def fraction_sample(df: DataFrame, by: Sequence[str], fraction: float, key: str, seed: int = 1) -> DataFrame:
     """max(2, round(fraction * n)) rows of each group, halves to even."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    return sampled_per_group(df.withColumn("n__", F.greatest(F.lit(2), F.rint(n * fraction).cast("int"))), by, F.col("n__"), key, seed).drop("n__")
+    return ranked(df, by, key, seed).where(F.col("rank__") <= F.greatest(F.lit(2), F.rint(F.col("size__") * fraction))).drop("rank__", "size__")
 
 
 def group_folds(df: DataFrame, group: str, k: int = 5, seed: int = 1) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import entropy, ratio
+from .ranks import with_quantiles
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -27,7 +28,8 @@ def unit(v: Column) -> Column:
 def standardised(df: DataFrame, v: str = "v") -> DataFrame:
     """Each dimension less its mean, over its population sd (1 where that is 0); missing values take the median first."""
     long = df.select(F.posexplode(v).alias("d", "x"))
-    stats = long.groupBy("d").agg(F.percentile("x", F.lit(0.5)).alias("median"), F.count("x").alias("k"), F.count("*").alias("n"), F.avg("x").alias("m"), F.avg(F.col("x") * F.col("x")).alias("q"))
+    stats = long.groupBy("d").agg(F.count("x").alias("k"), F.count("*").alias("n"), F.avg("x").alias("m"), F.avg(F.col("x") * F.col("x")).alias("q"))
+    stats = with_quantiles(stats, long, ["d"], "x", {"median": 0.5})
     fill = (F.col("n") - F.col("k")) / F.col("n")
     mean = F.col("m") * F.col("k") / F.col("n") + fill * F.col("median")
     square = F.col("q") * F.col("k") / F.col("n") + fill * F.col("median") * F.col("median")
@@ -116,7 +118,8 @@ def memberships(df: DataFrame, centres: DataFrame, m: float = 2.0) -> DataFrame:
 def membership_summary(u: DataFrame) -> DataFrame:
     """One row: mean and median of the largest membership, mean entropy, partition coefficient, whether all are even."""
     top = F.array_max("u")
-    g = u.agg(F.count("*").alias("n"), F.avg(top).alias("mean_top"), F.percentile(top, F.lit(0.5)).alias("median_top"), F.avg(entropy(F.col("u"))).alias("entropy"), F.avg(dot(F.col("u"), F.col("u"))).alias("coefficient"), F.max(top - 1.0 / F.size("u")).alias("over"))
+    g = u.agg(F.count("*").alias("n"), F.avg(top).alias("mean_top"), F.avg(entropy(F.col("u"))).alias("entropy"), F.avg(dot(F.col("u"), F.col("u"))).alias("coefficient"), F.max(top - 1.0 / F.size("u")).alias("over"))
+    g = with_quantiles(g, u.select(top.alias("top")), [], "top", {"median_top": 0.5})
     return g.withColumn("even", F.col("over") < 1e-3).drop("over")
 
 

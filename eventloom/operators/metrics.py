@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import binned, brier, log_loss, ratio
+from .ranks import ranked, running, with_quantiles
 
 EDGES = (0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8, 1.0)
 
@@ -31,9 +32,9 @@ def losses(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def by_score(df: DataFrame, by: Sequence[str], p: str) -> DataFrame:
     """Positives and negatives at each score, with the numbers above it: the table that AUC and AP come from."""
-    g = df.groupBy(*by, F.col(p).alias("p")).agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg"))
-    w = Window.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return g.withColumn("pos_to", F.sum("pos").over(w)).withColumn("neg_to", F.sum("neg").over(w))
+    g = df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("p")).agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg"))
+    t = running(g.withColumn("n", F.col("pos") + F.col("neg")), by, "p", "pos", descending=True).withColumnRenamed("upto__", "pos_to").drop("from__", "all__")
+    return running(t, by, "p", "neg", descending=True).withColumnRenamed("upto__", "neg_to").drop("from__", "all__", "n")
 
 
 def ranking(df: DataFrame, by: Sequence[str], p: str) -> DataFrame:
@@ -131,17 +132,14 @@ def chosen(scores: DataFrame, by: Sequence[str], order: Sequence[float]) -> Data
 def null_summary(draws: DataFrame, observed: DataFrame, by: Sequence[str], x: str = "x") -> DataFrame:
     """Mean, sample sd and 95 % range of a null, and the p-value (1 + draws at or above) / (n + 1) of what was observed."""
     j = draws.join(observed.withColumnRenamed(x, "seen__"), list(by))
-    q = lambda p: F.percentile(F.col(x), F.lit(p))
-    return j.groupBy(*by).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), q(0.025).alias("low"), q(0.975).alias("high"), ((1 + F.count_if(F.col(x) >= F.col("seen__"))) / (F.count("*") + 1)).alias("p_value"))
+    g = j.groupBy(*by).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), ((1 + F.count_if(F.col(x) >= F.col("seen__"))) / (F.count("*") + 1)).alias("p_value"))
+    return with_quantiles(g, j, by, x, {"low": 0.025, "high": 0.975})
 
 
 def shuffled_within(df: DataFrame, group: str, key: str, columns: Sequence[str], seed: int = 1) -> DataFrame:
     """The columns' rows dealt anew within each group."""
-    from ..functions.scalars import seeded
-
-    at = lambda *order: F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    a = df.drop(*columns).withColumn("at__", at(key))
-    b = df.select(F.col(group).alias("g__"), *columns, at(seeded(seed, F.col(key)), key).alias("to__"))
+    a = running(df.drop(*columns).withColumn("one__", F.lit(1)), [group], key, "one__").withColumnRenamed("upto__", "at__")
+    b = ranked(df, [group], key, seed, "to__").select(F.col(group).alias("g__"), *columns, "to__")
     return a.join(b, (F.col(group) == F.col("g__")) & (F.col("at__") == F.col("to__"))).select(*df.columns)
 
 

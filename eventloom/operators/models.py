@@ -1,71 +1,150 @@
-"""Models: exact median imputation, population scaling, one-hot, logistic regression at C, grouped cross-validation, PCA, k-means."""
+"""Models: exact median imputation, population scaling, one-hot, splines, logistic regression at C, boosted trees, grouped cross-validation, PCA, k-means, mixtures."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import log_loss
+from ..functions.scalars import log_loss, ratio
+from .ranks import quantiles
 
 FORBIDDEN = ("y", "fold", "clip", "call_id", "target")
 
 
 class Design:
-    """Medians, means and scales of numeric columns and the levels of others, learned from training rows."""
+    """Medians, means and scales of numeric columns and the levels of others, learned from training rows.
+
+    A category may have any number of levels: they are sparse positions of the vector,
+    and a level that training lacks has none.
+    """
 
     def __init__(self, train: DataFrame, numeric: Sequence[str], categories: Sequence[str]):
         if bad := [c for c in (*numeric, *categories) if c in FORBIDDEN]:
             raise ValueError(f"not to be used as inputs: {bad}")
-        med = train.agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in numeric)).first() if numeric else {}
-        self.median = {c: med[c] for c in numeric if med[c] is not None}  # columns without any value go
+        long = train.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in numeric))).alias("u")).select("u.*") if numeric else None
+        med = {r["name"]: r["median"] for r in quantiles(long, ["name"], "x", {"median": 0.5}).collect()} if numeric else {}
+        self.median = {c: med[c] for c in numeric if c in med}  # columns without any value go
         filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(m))) for c, m in self.median.items()}
         stats = train.agg(*(f(x).alias(f"{n}_{c}") for c, x in filled.items() for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first() if filled else None
         self.scale = {c: (stats[f"m_{c}"] or 0.0, stats[f"s_{c}"] or 1.0) for c in filled}
-        self.levels = {c: [r[0] for r in train.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(MOST_LEVELS).collect()] for c in categories}
-
-    def vector(self) -> Column:
-        """The features as one vector; levels that training lacks are all zeros."""
+        self.categories = [*categories]
+        self.indexer = self.encoder = None
+        if categories:
+            texts = train.select(*(F.col(c).cast("string").alias(f"{c}__s") for c in categories))
+            self.indexer = StringIndexer(inputCols=[f"{c}__s" for c in categories], outputCols=[f"{c}__at" for c in categories], handleInvalid="keep", stringOrderType="alphabetAsc").fit(texts)
+            # the last index stands for levels that training lacks, and dropLast makes it all zeros
+            self.encoder = OneHotEncoder(inputCols=[f"{c}__at" for c in categories], outputCols=[f"{c}__hot" for c in categories], dropLast=True).fit(self.indexer.transform(texts))
+
+    def state(self) -> dict:
+        """What was learned, as plain values."""
+        return {"median": self.median, "scale": self.scale, "levels": dict(zip(self.categories, map(list, self.indexer.labelsArray), strict=True)) if self.indexer else {}}
+
+    def applied(self, df: DataFrame, features: str = "features") -> DataFrame:
+        """Adds the features as one vector."""
         parts = [(F.coalesce(F.col(c).cast("double"), F.lit(float(m))) - self.scale[c][0]) / self.scale[c][1] for c, m in self.median.items()]
-        parts += [F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0)) for c, levels in self.levels.items() for v in levels]
-        return array_to_vector(F.array(*parts))
-
-
-#: Levels of a category that get a column.
-MOST_LEVELS = 200
+        out = df.withColumn("numbers__", array_to_vector(F.array(*parts) if parts else F.array().cast("array<double>")))
+        inputs = ["numbers__"]
+        if self.indexer:
+            own = [f"{c}__s" for c in self.categories]
+            out = out.withColumns({s: F.col(c).cast("string") for s, c in zip(own, self.categories, strict=True)})
+            at = self.indexer.transform(out)
+            hot = [f"{c}__hot" for c in self.categories]
+            out = self.encoder.transform(at)
+            inputs += hot
+        return VectorAssembler(inputCols=inputs, outputCol=features).transform(out).select(*df.columns, features)
 
 
 def logistic(train: DataFrame, design: Design, c: float = 1.0, iterations: int = 200):
     """L2 logistic regression with inverse strength C, the intercept free."""
-    t = train.select(design.vector().alias("features"), F.col("y").cast("double").alias("label"))
+    t = design.applied(train).select("features", F.col("y").cast("double").alias("label"))
     n = t.count()
     return LogisticRegression(regParam=1.0 / (c * max(1, n)), elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=1e-6).fit(t)
 
 
+def boosted(train: DataFrame, design: Design, rounds: int = 200, rate: float = 0.05, depth: int = 3, leaf: int = 30, seed: int = 1):
+    """Gradient-boosted trees on the design's features, log loss."""
+    t = design.applied(train).select("features", F.col("y").cast("double").alias("label"))
+    return GBTClassifier(maxIter=rounds, stepSize=rate, maxDepth=depth, minInstancesPerNode=leaf, seed=seed).fit(t)
+
+
 def scored(rows: DataFrame, design: Design, model, name: str) -> DataFrame:
-    x = rows.withColumn("features", design.vector())
-    out = model.transform(x)
+    out = model.transform(design.applied(rows))
     return out.select(*rows.columns, vector_to_array("probability")[1].alias(name))
 
 
-def paired_cv(df: DataFrame, base: Sequence[str], extra: Sequence[str], categories: Sequence[str], c: float = 1.0) -> DataFrame:
-    """Out-of-fold probabilities m0 (base) and m1 (base and extra) of each row; all that is learned comes from the other folds."""
+def spline_columns(x: Column, low: float, high: float, knots: int = 5, degree: int = 3) -> list[Column]:
+    """B-spline basis of one column: uniform knots from low to high, and the end values beyond them (Cox-de Boor)."""
+    step = (high - low) / (knots - 1)
+    at = [low + step * (k - degree) for k in range(knots + 2 * degree)]
+    x = F.least(F.greatest(x.cast("double"), F.lit(low)), F.lit(high))
+    inner = degree + knots - 2  # the last interval that the data fill, closed at its upper end
+    basis = [((x >= at[k]) & ((x <= at[k + 1]) if k == inner else (x < at[k + 1]))).cast("double") for k in range(len(at) - 1)]
+    for d in range(1, degree + 1):
+        basis = [(x - at[k]) / (at[k + d] - at[k]) * basis[k] + (at[k + d + 1] - x) / (at[k + d + 1] - at[k + 1]) * basis[k + 1] for k in range(len(at) - d - 1)]
+    return basis
+
+
+def paired_cv(df: DataFrame, base: Sequence[str], extra: Sequence[str], categories: Sequence[str], c: float = 1.0, trees: int = 0) -> DataFrame:
+    """Out-of-fold probabilities m0 (base) and m1 (base and extra) of each row; all that is learned comes from the other folds.
+
+    With ``trees`` the models are that many boosted trees, else logistic ones.
+    """
     folds = [r[0] for r in df.select("fold").distinct().orderBy("fold").collect()]  # a few numbers
     out = None
     for f in folds:
         train, test = df.where(F.col("fold") != f), df.where(F.col("fold") == f)
         for name, columns in (("m0", base), ("m1", [*base, *extra])):
             d = Design(train, columns, categories)
-            test = scored(test, d, logistic(train, d, c), name)
+            model = boosted(train, d, trees) if trees else logistic(train, d, c)
+            test = scored(test, d, model, name)
         out = test if out is None else out.unionByName(test)
     return out
 
 
+def transform_state(df: DataFrame, numeric: Sequence[str], categories: Sequence[str] = ()) -> DataFrame:
+    """(fold, name, median, mean, sd, n): what each fold's transforms learn, from the rows of the other folds alone."""
+    folds = [r[0] for r in df.select("fold").distinct().orderBy("fold").collect()]  # a few numbers
+    out = []
+    for f in folds:
+        train = df.where(F.col("fold") != f)
+        d, n = Design(train, numeric, categories), train.count()
+        out += [(int(f), c, float(d.median[c]), float(d.scale[c][0]), float(d.scale[c][1]), n) for c in d.median]
+    return df.sparkSession.createDataFrame(out, "fold int, name string, median double, mean double, sd double, n long")
+
+
+def threshold_scores(oof: DataFrame, p: str, by: Sequence[str] = ()) -> DataFrame:
+    """Balanced accuracy and macro F1 at the prevalence of the other folds as threshold."""
+    n = oof.groupBy("fold").agg(F.count("*").alias("n__"), F.sum("y").alias("k__"))
+    w = Window.partitionBy(F.lit(1))  # a row a fold
+    n = n.select(F.col("fold").alias("f__"), ratio(F.sum("k__").over(w) - F.col("k__"), F.sum("n__").over(w) - F.col("n__")).alias("cut__"))
+    t = oof.join(F.broadcast(n), F.col("fold") == F.col("f__")).withColumn("g__", (F.col(p) >= F.col("cut__")).cast("int"))
+    y, g = F.col("y"), F.col("g__")
+    c = t.groupBy(*by).agg(F.count_if((y == 1) & (g == 1)).alias("tp"), F.count_if((y == 0) & (g == 1)).alias("fp"), F.count_if((y == 0) & (g == 0)).alias("tn"), F.count_if((y == 1) & (g == 0)).alias("fn"))
+    f1 = lambda a: F.coalesce(ratio(2 * F.col(a), 2 * F.col(a) + F.col("fp") + F.col("fn")), F.lit(0.0))
+    ba = (ratio(F.col("tp"), F.col("tp") + F.col("fn")) + ratio(F.col("tn"), F.col("tn") + F.col("fp"))) / 2
+    return c.select(*by, "tp", "fp", "tn", "fn", ba.alias("balanced_accuracy"), ((f1("tp") + f1("tn")) / 2).alias("macro_f1"))
+
+
+def mixtures(df: DataFrame, sizes: Sequence[int], seed: int = 1, v: str = "v") -> DataFrame:
+    """(k, log_likelihood, parameters, bic) of Gaussian mixtures with full covariances."""
+    x = df.select(array_to_vector(v).alias("features")).persist()
+    n, d = x.count(), len(df.select(v).first()[0])
+    out = []
+    for k in sizes:
+        ll = GaussianMixture(k=k, seed=seed, maxIter=50, tol=1e-3).fit(x).summary.logLikelihood
+        free = k * d + k * d * (d + 1) // 2 + k - 1
+        out.append((k, float(ll), free, float(-2 * ll + free * math.log(n))))
+    x.unpersist()
+    return df.sparkSession.createDataFrame(out, "k int, log_likelihood double, parameters long, bic double")
+
+
 def pooled(oof: DataFrame) -> DataFrame:
     """One row: mean losses over all held-out rows, and the gain."""
     y = F.col("y")

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import log_loss, ratio, seeded
+from ..functions.scalars import log_loss, ratio
 from .metrics import contingency
+from .ranks import quantiles, ranked
 
 
 def model_pairs(df: DataFrame, pairs: Sequence[tuple[str, str, str]], keep: Sequence[str]) -> DataFrame:
@@ -33,8 +34,8 @@ def stability(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
 
 def middle(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     """Median and the distance of the quartiles."""
-    q = lambda p: F.percentile(F.col(x), F.lit(p))
-    return df.groupBy(*by).agg(q(0.5).alias("median"), (q(0.75) - q(0.25)).alias("iqr"))
+    q = quantiles(df, by, x, {"low": 0.25, "median": 0.5, "high": 0.75})
+    return q.select(*by, "median", (F.col("high") - F.col("low")).alias("iqr"))
 
 
 def lorenz(df: DataFrame, by: Sequence[str], x: str, key: str) -> DataFrame:
@@ -130,14 +131,12 @@ def categories(df: DataFrame, group: Column, column: str) -> DataFrame:
 
 def exact_sample(df: DataFrame, by: Sequence[str], n: int, key: str, seed: int = 1) -> DataFrame:
     """Exactly n rows of each group (all, if fewer), drawn without replacement by a hash of the key."""
-    r = F.row_number().over(Window.partitionBy(*by).orderBy(seeded(seed, F.col(key)), key))
-    return df.withColumn("r__", r).where(F.col("r__") <= n).drop("r__")
+    return ranked(df, by, key, seed).where(F.col("rank__") <= n).drop("rank__", "size__")
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 1) -> DataFrame:
     """(key, label, fold): rows of each label dealt to folds 1 to k in an order by hash."""
-    r = F.row_number().over(Window.partitionBy(label).orderBy(seeded(seed, F.col(key)), key))
-    return df.select(key, label, ((r - 1) % k + 1).cast("int").alias("fold"))
+    return ranked(df, [label], key, seed).select(key, label, ((F.col("rank__") - 1) % k + 1).cast("int").alias("fold"))
 
 
 def set_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -167,7 +166,7 @@ def median_filled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     from ..functions.scalars import number
 
     clean = df.withColumns({c: number(F.col(c)) for c in columns})
-    row = clean.agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in columns)).collect()[0]  # one number a column
+    row = {c: quantiles(clean, [], c, {c: 0.5}).first()[0] for c in columns}  # one number a column
     return clean.withColumns({c: F.coalesce(F.col(c), F.lit(row[c])) for c in columns if row[c] is not None}).drop(*(c for c in columns if row[c] is None))
 
 

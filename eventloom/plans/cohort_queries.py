@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import audits, cohort
+from ..operators.ranks import quantiles
 from ..sources import tables as T
 from .common import EV, register
 from .event_queries import six
@@ -82,7 +83,7 @@ def flt9_supported(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, value <= (SELECT quantile_cont(value, 0.03) FROM events) AS low FROM events")
 def flt10_quantile_flag(spark: SparkSession, d: str) -> DataFrame:
     e = T.table(spark, d, "events").select("event_id", "value")
-    cut = e.agg(F.percentile("value", F.lit(0.03)).alias("cut"))
+    cut = quantiles(e, [], "value", {"cut": 0.03})
     return e.join(F.broadcast(cut)).select("event_id", (F.col("value") <= F.col("cut")).alias("low"))
 
 
@@ -211,11 +212,11 @@ def set2_union_missing(spark: SparkSession, d: str) -> DataFrame:
     return T.union_all(T.table(spark, d, "events").select(F.col("event_id").alias("id"), F.lit("event").alias("kind"), "value"), T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("document").alias("kind"), "lang"))
 
 
-@query("(SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'error') EXCEPT SELECT user_id FROM events WHERE event_type = 'signup'")
+@query("(SELECT user_id FROM events WHERE event_type = 'click' AND value > 60 INTERSECT SELECT user_id FROM events WHERE event_type = 'error' AND value > 40) EXCEPT SELECT user_id FROM events WHERE event_type = 'signup' AND value > 50")
 def set3_set_operations(spark: SparkSession, d: str) -> DataFrame:
     e = T.table(spark, d, "events")
-    of = lambda t: e.where(F.col("event_type") == t).select("user_id")
-    return of("click").intersect(of("error")).subtract(of("signup"))
+    of = lambda t, least: e.where((F.col("event_type") == t) & (F.col("value") > least)).select("user_id")
+    return of("click", 60).intersect(of("error", 40)).subtract(of("signup", 50))
 
 
 @query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 20")
@@ -238,12 +239,16 @@ def srt10_blinded_order(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "documents").select("doc_id").orderBy(S.seeded(7, F.col("doc_id")), "doc_id").limit(50)
 
 
-@query()
+@query("""WITH a AS (SELECT l_suppkey, sum(l_quantity) AS q, max(l_discount) AS m FROM lineitem GROUP BY l_suppkey), b AS (SELECT l_suppkey, sum(CASE WHEN l_returnflag = 'A' AND l_suppkey % 10 = 0 THEN 0 ELSE l_quantity END) AS q, max(l_discount) AS m FROM lineitem WHERE l_suppkey % 7 <> 0 GROUP BY l_suppkey),
+j AS (SELECT a.q - b.q AS q, a.m - b.m AS m, b.l_suppkey IS NULL AS lost FROM a LEFT JOIN b USING (l_suppkey))
+SELECT 'q' AS name, max(abs(q)) AS most, count_if(lost) AS null_differs, count_if(lost) AS lost FROM j UNION ALL SELECT 'm', max(abs(m)), count_if(lost), count_if(lost) FROM j""")
 def wfl9_recompute_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What an audit reports of a result that lacks keys and some of a sum: every column, whether it differs or not."""
     e = T.table(spark, d, "lineitem")
     one = e.groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q"), F.max("l_discount").alias("m"))
-    two = e.groupBy("l_suppkey", "l_returnflag").agg(F.sum("l_quantity").alias("q"), F.max("l_discount").alias("m")).groupBy("l_suppkey").agg(F.sum("q").alias("q"), F.max("m").alias("m"))
-    return audits.compared(one, two, ["l_suppkey"], ["q", "m"]).where("most > 1e-6 or null_differs > 0 or lost > 0").select("name", "most", "null_differs")
+    part = F.when((F.col("l_returnflag") == "A") & (F.col("l_suppkey") % 10 == 0), 0.0).otherwise(F.col("l_quantity"))
+    two = e.where("l_suppkey % 7 <> 0").groupBy("l_suppkey").agg(F.sum(part).alias("q"), F.max("l_discount").alias("m"))
+    return audits.compared(one, two, ["l_suppkey"], ["q", "m"])
 
 
 @query(f"WITH {EV} SELECT clip, count(*) AS n, round(max(end_s) - min(start_s), 6) AS extent FROM ev GROUP BY clip")

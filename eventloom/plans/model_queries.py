@@ -21,12 +21,18 @@ def _design(spark: SparkSession, d: str) -> DataFrame:
     return p.join(docs, "call_id")
 
 
+def _refolded(x: DataFrame, folds: DataFrame) -> DataFrame:
+    """Rows with the fold of their clip; a null clip is one too."""
+    f = folds.select(F.col("clip").alias("c"), F.col("cv").alias("fold"))
+    return x.drop("fold").join(f, F.col("clip").eqNullSafe(F.col("c"))).drop("c")
+
+
 @query()
 def fit1_paired_grouped_cv(spark: SparkSession, d: str) -> DataFrame:
     """Held-out losses of a base and a wider logistic model over folds that keep sources whole."""
     x = _design(spark, d)
     folds = cohort.group_folds(x, "clip", 3).select("clip", F.col("fold").alias("cv"))
-    oof = models.paired_cv(x.drop("fold").join(F.broadcast(folds), "clip").withColumnRenamed("cv", "fold"), ["log_chars"], ["chars", "words"], ["label"])
+    oof = models.paired_cv(_refolded(x, folds), ["log_chars"], ["chars", "words"], ["label"])
     return six(models.pooled(oof), "loss0", "loss1", "delta")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_id, number
@@ -57,7 +57,7 @@ def ragged_pairs(lines: DataFrame, fixed: Sequence[str], line: str = "value") ->
     A pair with a blank or unreadable cell, and an odd last cell, give no row;
     numbers count places in the line, so they may have gaps.
     """
-    cells = F.transform(F.split(line, ",", -1), F.trim)
+    cells = F.transform(F.split(line, ",", -1), lambda x: F.trim(x))  # a function of two would get the position as well
     t = lines.select(*(F.try_element_at(cells, F.lit(k + 1)).alias(c) for k, c in enumerate(fixed)), F.slice(cells, len(fixed) + 1, F.greatest(F.size(cells) - len(fixed), F.lit(0))).alias("cells__"))
     n = F.floor(F.size("cells__") / 2).cast("int")
     pairs = F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda k: F.struct(k.alias("ordinal"), number(F.element_at("cells__", 2 * k - 1)).alias("start"), number(F.element_at("cells__", 2 * k)).alias("end")))
@@ -126,3 +126,70 @@ def union_all(*tables: DataFrame) -> DataFrame:
 def when_map(x: Column, book: dict) -> Column:
     """Codes to names; a code without a name stays as it is."""
     return F.coalesce(F.element_at(F.create_map(*(F.lit(v) for kv in book.items() for v in kv)), x), x.cast("string"))
+
+
+# -- files: many of them, text, and commits by rename
+
+
+def headers(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
+    """(file, position, column) from the first line of every CSV file below a folder, whatever their columns are."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", False).text(path)
+    lines = lines.select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("file"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("n"))
+    first = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("line"))
+    return first.select("file", F.posexplode(F.split("line", ",", -1)).alias("position", "column"))
+
+
+def scan(spark: SparkSession, path: str, schema: str, pattern: str = "*.csv") -> DataFrame:
+    """All CSV files below a folder at any depth, with the name of each row's file."""
+    t = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).csv(path)
+    return t.select("*", F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("folder"))
+
+
+def ragged_wide(lines: DataFrame, fixed: Sequence[str], most: int, prefix: str = "cell_", line: str = "value") -> DataFrame:
+    """Lines of differing length as columns: the fixed ones, then cell_1 and so on, null where a line is shorter."""
+    cells = F.split(line, ",", -1)
+    return lines.select(*(F.try_element_at(cells, F.lit(k + 1)).alias(c) for k, c in enumerate(fixed)), *(F.try_element_at(cells, F.lit(len(fixed) + k)).alias(f"{prefix}{k}") for k in range(1, most + 1)))
+
+
+def moved_into_place(df: DataFrame, path: str) -> None:
+    """Writes a table beside ``path`` and renames it when it is complete: a reader sees all of it or nothing."""
+    spark, tmp = df.sparkSession, path.rstrip("/") + ".tmp"
+    df.write.mode("overwrite").parquet(tmp)
+    jvm = spark.sparkContext._jvm
+    at, to = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(to):
+        raise FileExistsError(path)
+    if not fs.rename(at, to):
+        raise OSError(f"could not rename {tmp}")
+
+
+def markdown(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """(line, text) of a table for Markdown: numbers with 6 significant digits, null as nothing. For aggregates: rows are numbered in one order."""
+    kinds = dict(df.dtypes)
+
+    def cell(c: str) -> Column:
+        if kinds[c] in ("double", "float"):
+            x = F.col(c).cast("double")
+            digits = F.when(x == 0, F.lit(5)).otherwise(5 - F.floor(F.log10(F.abs(x)))).cast("int")
+            return F.coalesce(F.when(F.isnan(x), F.lit("")).otherwise(F.round(x, F.least(F.greatest(digits, F.lit(-300)), F.lit(300))).cast("string")), F.lit(""))
+        return F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit(""))
+
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *(cell(c) for c in df.columns)), F.lit(" |"))
+    body = df.select((F.row_number().over(Window.orderBy(*order)) + 1).alias("line"), row.alias("text"))
+    head = [(0, "| " + " | ".join(df.columns) + " |"), (1, "|" + " --- |" * len(df.columns))]
+    return df.sparkSession.createDataFrame(head, "line int, text string").unionByName(body)
+
+
+def flattened(df: DataFrame, prefix: str = "") -> DataFrame:
+    """Nested structs as columns named by their path (``a_b_c``)."""
+    from pyspark.sql import types as T
+
+    def walk(schema, path, name):
+        for f in schema:
+            if isinstance(f.dataType, T.StructType):
+                yield from walk(f.dataType, [*path, f.name], f"{name}{f.name}_")
+            else:
+                yield F.col(".".join(f"`{x}`" for x in [*path, f.name])).alias(f"{name}{f.name}")
+
+    return df.select(*walk(df.schema, [], prefix))
