@@ -85,7 +85,7 @@ def spline_columns(x: Column, low: float, high: float, knots: int = 5, degree: i
     at = [low + step * (k - degree) for k in range(knots + 2 * degree)]
     x = F.least(F.greatest(x.cast("double"), F.lit(low)), F.lit(high))
     inner = degree + knots - 2  # the last interval that the data fill, closed at its upper end
-    basis = [((x >= at[k]) & ((x <= at[k + 1]) if k == inner else (x < at[k + 1]))).cast("double") for k in range(len(at) - 1)]
+    basis = [((x >= at[k]) & ((x <= at[k + 1]) if k == inner else (x < at[k + 1]))).cast("double") if k <= inner else F.lit(0.0) for k in range(len(at) - 1)]
     for d in range(1, degree + 1):
         basis = [(x - at[k]) / (at[k + d] - at[k]) * basis[k] + (at[k + d + 1] - x) / (at[k + d + 1] - at[k + 1]) * basis[k + 1] for k in range(len(at) - d - 1)]
     return basis

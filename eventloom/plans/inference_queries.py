@@ -176,7 +176,7 @@ def _spline_sql() -> str:
     step = (high - low) / (knots - 1)
     at = [low + step * (k - degree) for k in range(knots + 2 * degree)]
     inner = degree + knots - 2
-    ctes = ["b0 AS (SELECT event_id, least(greatest(value, 0), 100) AS x, " + ", ".join(f"CAST(least(greatest(value, 0), 100) >= {at[k]} AND least(greatest(value, 0), 100) {'<=' if k == inner else '<'} {at[k + 1]} AS INTEGER) AS c{k}" for k in range(len(at) - 1)) + " FROM events)"]
+    ctes = ["b0 AS (SELECT event_id, least(greatest(value, 0), 100) AS x, " + ", ".join(f"CAST(least(greatest(value, 0), 100) >= {at[k]} AND least(greatest(value, 0), 100) {'<=' if k == inner else '<'} {at[k + 1]} AND {k} <= {inner} AS INTEGER) AS c{k}" for k in range(len(at) - 1)) + " FROM events)"]
     for d in range(1, degree + 1):
         ctes.append(f"b{d} AS (SELECT event_id, x, " + ", ".join(f"(x - ({at[k]})) / {at[k + d] - at[k]} * c{k} + ({at[k + d + 1]} - x) / {at[k + d + 1] - at[k + 1]} * c{k + 1} AS c{k}" for k in range(len(at) - d - 1)) + f" FROM b{d - 1})")
     return "WITH " + ", ".join(ctes) + " SELECT event_id, " + ", ".join(f"round(c{k}, 6) AS s{k}" for k in range(knots + degree - 1)) + f" FROM b{degree}"

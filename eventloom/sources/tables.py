@@ -171,8 +171,10 @@ def markdown(df: DataFrame, order: Sequence[str]) -> DataFrame:
     def cell(c: str) -> Column:
         if kinds[c] in ("double", "float"):
             x = F.col(c).cast("double")
-            digits = F.when(x == 0, F.lit(5)).otherwise(5 - F.floor(F.log10(F.abs(x)))).cast("int")
-            return F.coalesce(F.when(F.isnan(x), F.lit("")).otherwise(F.round(x, F.least(F.greatest(digits, F.lit(-300)), F.lit(300))).cast("string")), F.lit(""))
+            digits = 5 - F.floor(F.log10(F.abs(x)))
+            up, down = F.pow(F.lit(10.0), F.greatest(digits, F.lit(0))), F.pow(F.lit(10.0), F.greatest(-digits, F.lit(0)))
+            six = F.when((x == 0) | (F.abs(x) < 1e-290), F.lit(0.0)).when(digits >= 0, F.rint(x * up) / up).otherwise(F.rint(x / down) * down)
+            return F.coalesce(F.when(F.isnan(x), F.lit("")).otherwise(six.cast("string")), F.lit(""))
         return F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit(""))
 
     row = F.concat(F.lit("| "), F.concat_ws(" | ", *(cell(c) for c in df.columns)), F.lit(" |"))
