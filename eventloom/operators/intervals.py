@@ -14,11 +14,18 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
 
-#: Seconds that a bucket covers.
-BUCKET = 86_400.0
+#: Seconds that a bucket covers, and rows of a clip above which buckets of an as-of join get smaller.
+BUCKET, BUCKET_ROWS = 86_400.0, 200_000
 
 
-def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, keep: Sequence[str], forward: bool, by: str = "clip", tie: str = "call_id", bucket: float = BUCKET, name: str = "found") -> DataFrame:
+def bucket_of(times: DataFrame, by: str = "by__", t: str = "t__") -> float:
+    """Seconds a bucket may cover so that the densest clip has BUCKET_ROWS rows in one, about; BUCKET at most."""
+    g = times.where(F.col(by).isNotNull() & F.col(t).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), (F.max(t) - F.min(t)).alias("extent"))
+    dense = g.agg(F.max(F.col("n") / F.greatest(F.col("extent"), F.lit(1e-6)))).first()[0] or 0.0  # rows a second
+    return min(BUCKET, max(BUCKET_ROWS / dense, 1e-6)) if dense else BUCKET
+
+
+def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, keep: Sequence[str], forward: bool, by: str = "clip", tie: str = "call_id", bucket: float | None = None, name: str = "found") -> DataFrame:
     """Adds to each left row a struct of the nearest right row's ``keep``: at or after its time, or at or before it.
 
     Equal times match. Of right rows at one time the one with the smallest tie
@@ -30,7 +37,9 @@ def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, kee
     payload = F.struct((F.col(right_time) * way).alias("t__"), (F.col(tie) * int(way)).alias("tie__"), *(F.col(c) for c in keep))
     a = left.select(F.col(by).alias("by__"), (F.col(left_time) * way).alias("t__"), F.lit(1).alias("side__"), F.lit(None).cast("long").alias("o__"), lcols.alias("row__"))
     b = right.where(F.col(by).isNotNull() & F.col(right_time).isNotNull()).select(F.col(by).alias("by__"), (F.col(right_time) * way).alias("t__"), F.lit(0).alias("side__"), (F.col(tie) * int(way)).cast("long").alias("o__"), payload.alias("hit__"))
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("b__", F.floor(F.col("t__") / bucket))
+    both = a.unionByName(b, allowMissingColumns=True)
+    bucket = bucket_of(both.select("by__", "t__")) if bucket is None else bucket
+    both = both.withColumn("b__", F.floor(F.col("t__") / bucket))
     # across buckets: the last hit of all earlier ones, from a row for each (clip, bucket)
     before = Window.partitionBy("by__").orderBy("b__").rowsBetween(Window.unboundedPreceding, -1)
     carried = both.groupBy("by__", "b__").agg(F.max("hit__").alias("last__")).withColumn("carry__", F.last("last__", ignorenulls=True).over(before)).drop("last__")
@@ -42,8 +51,9 @@ def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, kee
     return out.select("x.row__.*", F.struct(*(hit[k].alias(k) for k in keep)).alias(name))
 
 
-def neighbours(events: DataFrame, bucket: float = BUCKET) -> DataFrame:
+def neighbours(events: DataFrame, bucket: float | None = None) -> DataFrame:
     """Focal events with next_start (nonfocal, at or after the end) and prev_end (nonfocal, at or before the start)."""
+    bucket = bucket_of(events, "clip", "start_s") if bucket is None else bucket
     focal, other = events.where("focal"), events.where("not focal").select("clip", "call_id", "start_s", "end_s")
     out = asof(focal, other, "end_s", "start_s", ["start_s"], True, bucket=bucket, name="n")
     out = asof(out.select(*focal.columns, F.col("n.start_s").alias("next_start")), other, "start_s", "end_s", ["end_s"], False, bucket=bucket, name="p")
@@ -159,13 +169,14 @@ def mapped(segments: DataFrame, annotations: DataFrame, least: float = 0.5, floo
     return out.select("call_id", "n_hits", status.alias("status"), (-best["m"]).alias("best_id"), F.coalesce(best["part"], F.lit(0.0)).alias("best_overlap"))
 
 
-def edges(events: DataFrame, carry: Sequence[str], bucket: float = BUCKET) -> DataFrame:
+def edges(events: DataFrame, carry: Sequence[str], bucket: float | None = None) -> DataFrame:
     """(clip, call_i, call_j, delta_s, and x_i, x_j of ``carry``): each event and the next of its clip by start, end and id.
 
     The next event of a bucket's last one is the first event of a later bucket.
     """
     order = ["start_s", "end_s", "call_id"]
     own = F.struct(*order, *(c for c in carry))
+    bucket = bucket_of(events, "clip", "start_s") if bucket is None else bucket
     t = events.withColumn("b__", F.floor(F.col("start_s") / bucket)).withColumn("own__", own)
     later = Window.partitionBy("clip").orderBy("b__")
     firsts = t.groupBy("clip", "b__").agg(F.min("own__").alias("first__")).withColumn("after__", F.lead("first__").over(later)).select("clip", "b__", "after__")
@@ -174,7 +185,7 @@ def edges(events: DataFrame, carry: Sequence[str], bucket: float = BUCKET) -> Da
     return j.select("clip", F.col("call_id").alias("call_i"), F.col("j.call_id").alias("call_j"), (F.col("j.start_s") - F.col("end_s")).alias("delta_s"), *(x for c in carry for x in (F.col(c).alias(f"{c}_i"), F.col(f"j.{c}").alias(f"{c}_j"))))
 
 
-def gaps(events: DataFrame, bucket: float = BUCKET) -> DataFrame:
+def gaps(events: DataFrame, bucket: float | None = None) -> DataFrame:
     """Focal events with the gap to the next event of any kind that starts at or after their end, and whether it has their label."""
     other = events.select("clip", "call_id", "start_s", F.col("label").alias("next_label"))
     out = asof(events.where("focal"), other, "end_s", "start_s", ["start_s", "next_label"], True, bucket=bucket, name="n")

@@ -94,8 +94,10 @@ def spline_columns(x: Column, low: float, high: float, knots: int = 5, degree: i
 def paired_cv(df: DataFrame, base: Sequence[str], extra: Sequence[str], categories: Sequence[str], c: float = 1.0, trees: int = 0) -> DataFrame:
     """Out-of-fold probabilities m0 (base) and m1 (base and extra) of each row; all that is learned comes from the other folds.
 
-    With ``trees`` the models are that many boosted trees, else logistic ones.
+    With ``trees`` the models are that many boosted trees, else logistic ones. The
+    rows are kept for all fits; what a lost executor held is made again.
     """
+    df = df.persist()
     folds = [r[0] for r in df.select("fold").distinct().orderBy("fold").collect()]  # a few numbers
     out = None
     for f in folds:
@@ -110,6 +112,7 @@ def paired_cv(df: DataFrame, base: Sequence[str], extra: Sequence[str], categori
 
 def transform_state(df: DataFrame, numeric: Sequence[str], categories: Sequence[str] = ()) -> DataFrame:
     """(fold, name, median, mean, sd, n): what each fold's transforms learn, from the rows of the other folds alone."""
+    df = df.persist()
     folds = [r[0] for r in df.select("fold").distinct().orderBy("fold").collect()]  # a few numbers
     out = []
     for f in folds:

@@ -571,3 +571,191 @@ def mlt5_one_hot(spark: SparkSession, d: str) -> DataFrame:
     names = F.array(*(F.lit(x) for x in design.state()["levels"]["p_brand"]))
     hot = design.applied(t).select("p_partkey", F.explode(F.arrays_zip(names.alias("level"), vector_to_array("features").alias("x"))).alias("z"))
     return hot.select("p_partkey", F.col("z.level").alias("level"), (F.col("z.x") == 1).alias("hot"))
+
+
+# -- further forms of the same operators
+
+
+def _names(spark: SparkSession, *names: str) -> DataFrame:
+    return spark.createDataFrame([(k, n) for k, n in enumerate(names)], "place int, name string")
+
+
+def _names_sql(*names: str) -> str:
+    return "SELECT CAST(place AS INTEGER) AS place, name FROM (VALUES " + ", ".join(f"({k}, '{n}')" for k, n in enumerate(names)) + ") x(place, name)"
+
+
+@query(_names_sql("p_partkey", "p_name"))
+def prj2_required_and_optional(spark: SparkSession, d: str) -> DataFrame:
+    c = T.table(spark, d, "part").columns
+    assert T.resolve(c, ["weight"], required=False) is None
+    return _names(spark, T.resolve(c, ["id"], override="P_PARTKEY"), T.resolve(c, ["title", "p_name", "p_brand"]))
+
+
+@query(_names_sql("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+def prj10_numeric_features(spark: SparkSession, d: str) -> DataFrame:
+    return _names(spark, *T.feature_columns(T.table(spark, d, "lineitem"), r"key$|number$"))
+
+
+@query(_names_sql("o_totalprice"))
+def prj11_without_metadata(spark: SparkSession, d: str) -> DataFrame:
+    deny = {"o_orderkey", "o_custkey", "o_orderdate"}
+    return _names(spark, *(c for c in T.feature_columns(T.table(spark, d, "orders")) if c not in deny))
+
+
+@query(_names_sql("l_discount", "l_tax"))
+def prj13_nuisance_columns(spark: SparkSession, d: str) -> DataFrame:
+    return _names(spark, *T.feature_columns(T.table(spark, d, "lineitem"), include=r"disc|tax"))
+
+
+@query(_names_sql("l_quantity", "l_discount", "l_tax"))
+def prj14_complement(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of a checked list of columns, in its order."""
+    every = T.feature_columns(T.table(spark, d, "lineitem"), r"key$|number$")
+    if every != ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]:
+        raise ValueError(f"other columns: {every}")
+    return _names(spark, *(c for c in every if c not in {"l_extendedprice"}))
+
+
+@query(f"WITH {PR} SELECT call_id, target, round(CASE target WHEN 'post' THEN m0 ELSE m1 END, 9) AS other_side FROM pr")
+def prj15_other_side(spark: SparkSession, d: str) -> DataFrame:
+    """Each target reads the history column of the other side."""
+    return T.predictions(spark, d).select("call_id", "target", F.round(F.when(F.col("target") == "post", F.col("m0")).otherwise(F.col("m1")), 9).alias("other_side"))
+
+
+@query("SELECT event_id, event_id % 5 IN (0, 1) AS short, event_id % 5 IN (0, 1, 2) AS yes FROM events")
+def prj22_flags_by_role(spark: SparkSession, d: str) -> DataFrame:
+    text = F.element_at(F.array(*(F.lit(x) for x in ("True", "1", "YES", "y", "0"))), (F.col("event_id") % 5 + 1).cast("int"))
+    return T.table(spark, d, "events").select("event_id", S.truth(text, S.TRUE_SHORT).alias("short"), S.truth(text, S.TRUE_YES).alias("yes"))
+
+
+@query("SELECT item_id, text AS decoded, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM benchmark")
+def src22_decoded_bytes(spark: SparkSession, d: str) -> DataFrame:
+    t = T.table(spark, d, "benchmark").select("item_id", F.encode("text", "utf-8").alias("raw"))
+    return t.select("item_id", F.decode("raw", "utf-8").alias("decoded"), F.octet_length("raw").cast("long").alias("bytes"))
+
+
+@query(_names_sql("label", "lang", "event_type"))
+def src24_label_columns(spark: SparkSession, d: str) -> DataFrame:
+    wanted = ["label", "call_type", "lang", "event_type"]
+    return _names(spark, *(T.resolve(T.table(spark, d, t).columns, wanted) for t in ("embeddings", "documents", "events")))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT user_id) AS clips, min(value) AS least, max(value) AS most FROM events")
+def snk3_json_summary(spark: SparkSession, d: str) -> DataFrame:
+    path = shared.new_folder(spark, "snk3")
+    T.table(spark, d, "events").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("clips"), F.min("value").alias("least"), F.max("value").alias("most")).write.json(path)
+    return spark.read.schema("n long, clips long, least double, most double").json(path)
+
+
+@query("SELECT event_type, count(*) AS n, 'clip' AS refused FROM events GROUP BY event_type")
+def snk7_checked_export(spark: SparkSession, d: str) -> DataFrame:
+    """An aggregate is written; a table with columns of single rows is refused."""
+    path, e = shared.new_folder(spark, "snk7"), T.events(spark, d)
+    try:
+        T.export(e.groupBy("clip").agg(F.count("*").alias("n")), path)
+        refused = ""
+    except ValueError:
+        refused = "clip"
+    T.export(e.groupBy(F.col("label").alias("event_type")).agg(F.count("*").alias("n")), path)
+    return T.read_csv(spark, path, "event_type string, n long").withColumn("refused", F.lit(refused))
+
+
+@query("SELECT o_custkey, o_orderkey, round(o_totalprice / sum(o_totalprice) OVER (), 12) AS share FROM orders")
+def win6_share_of_total(spark: SparkSession, d: str) -> DataFrame:
+    o = T.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    total = o.agg(F.sum("o_totalprice").alias("total"))  # one row, not a window over all
+    return o.join(F.broadcast(total)).select("o_custkey", "o_orderkey", F.round(F.col("o_totalprice") / F.col("total"), 12).alias("share"))
+
+
+@query("SELECT l_suppkey, l_partkey, l_orderkey FROM lineitem ORDER BY l_suppkey, l_partkey, l_orderkey LIMIT 50")
+def srt1_several_keys(spark: SparkSession, d: str) -> DataFrame:
+    return T.table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey").orderBy("l_suppkey", "l_partkey", "l_orderkey").limit(50)
+
+
+@query(f"""WITH {EV}, nf AS (SELECT clip, start_s, end_s FROM ev WHERE NOT focal)
+SELECT call_id, round((SELECT min(start_s) FROM nf WHERE nf.clip = f.clip AND nf.start_s >= f.end_s), 6) AS next_start, round((SELECT max(end_s) FROM nf WHERE nf.clip = f.clip AND nf.end_s <= f.start_s), 6) AS prev_end FROM ev f WHERE focal""")
+def jon4_both_sides(spark: SparkSession, d: str) -> DataFrame:
+    return six(intervals.neighbours(T.events(spark, d)).select("call_id", "next_start", "prev_end"), "next_start", "prev_end")
+
+
+@query("""WITH one AS (SELECT n_regionkey FROM nation GROUP BY n_regionkey HAVING min(n_nationkey) < 2), s AS (SELECT c_custkey, n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT s.r AS region, count(*) AS n, count(one.n_regionkey) AS found FROM s LEFT JOIN one ON s.r = one.n_regionkey GROUP BY s.r""")
+def jon6_many_to_one(spark: SparkSession, d: str) -> DataFrame:
+    """Many rows against files with one annotation each: the same plan as for many annotations."""
+    n = T.table(spark, d, "nation")
+    one = n.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("least")).where("least < 2").select(F.col("n_regionkey").alias("region"), F.lit(1).alias("hit"))
+    s = T.table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("region"))
+    return T.joined_one(s, one, ["region"], "left").groupBy("region").agg(F.count("*").alias("n"), F.count("hit").alias("found"))
+
+
+@query(f"""WITH {EV} SELECT f.call_id, count(e.call_id) AS before_n FROM (SELECT * FROM ev WHERE focal) f LEFT JOIN ev e ON e.clip = f.clip AND e.call_id <> f.call_id AND e.end_s <= f.start_s AND e.end_s >= f.start_s - 43200 GROUP BY f.call_id""")
+def jon8_range_counts(spark: SparkSession, d: str) -> DataFrame:
+    e = T.events(spark, d)
+    h = intervals.history(e.where("focal"), e, (43_200.0,))
+    return h.where("side = 'pre'").select("call_id", F.col("all_n").alias("before_n"))
+
+
+@query(f"""WITH {PR}, m AS (SELECT *, unnest(['all', 'half']) AS mask FROM pr), g AS (SELECT mask, label, target, avg({L0} - CASE mask WHEN 'all' THEN {L1} ELSE {LOSS('((m0 + m1) / 2)')} END) AS x FROM m GROUP BY ALL)
+SELECT mask, label, round(max(x) FILTER (WHERE target = 'post') - max(x) FILTER (WHERE target = 'pre'), 6) AS contrast FROM g GROUP BY mask, label""")
+def met21_contrast_by_mask(spark: SparkSession, d: str) -> DataFrame:
+    p = T.predictions(spark, d).withColumn("mask", F.explode(F.array(F.lit("all"), F.lit("half"))))
+    p = p.withColumn("m1", F.when(F.col("mask") == "half", (F.col("m0") + F.col("m1")) / 2).otherwise(F.col("m1")))
+    g = metrics.gains(p).groupBy("mask", "label", "target").agg(F.avg("gain").alias("x"))
+    side = lambda t: F.max(F.when(F.col("target") == t, F.col("x")))
+    return six(g.groupBy("mask", "label").agg((side("post") - side("pre")).alias("contrast")), "contrast")
+
+
+@query(f"WITH {PR} SELECT target, round(avg(CASE y WHEN 1 THEN -ln(greatest(m1, 1e-15)) ELSE -ln(greatest(1 - m1, 1e-15)) END), 6) AS loss, true AS same FROM pr GROUP BY target")
+def met22_loss_again(spark: SparkSession, d: str) -> DataFrame:
+    """The log loss by a formula of its own, held against the library's."""
+    own = -F.log(F.greatest(F.when(F.col("y") == 1, F.col("m1")).otherwise(1 - F.col("m1")), F.lit(1e-15)))
+    g = T.predictions(spark, d).groupBy("target").agg(F.avg(own).alias("loss"), F.max(F.abs(own - S.log_loss(F.col("y"), F.col("m1")))).alias("off"))
+    return six(g.select("target", "loss", (F.col("off") < 1e-9).alias("same")), "loss")
+
+
+AUC = """rk AS (SELECT label, target, y, m1, rank() OVER (PARTITION BY label, target ORDER BY m1) + (count(*) OVER (PARTITION BY label, target, m1) - 1) / 2.0 AS r FROM pr),
+au AS (SELECT label, target, (sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * sum(1 - y), 0) AS auc FROM rk GROUP BY ALL)"""
+
+
+@query(f"WITH {PR}, {AUC}, lo AS (SELECT label, target, count(*) AS n, avg({L1}) AS loss FROM pr GROUP BY ALL) SELECT label, target, n, round(loss, 6) AS loss, round(auc, 6) AS auc FROM lo JOIN au USING (label, target)")
+def met23_filled_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """A table of losses with AUC joined by its keys."""
+    p, by = T.predictions(spark, d), ["label", "target"]
+    return six(metrics.losses(p, by).select(*by, "n", F.col("loss1").alias("loss")).join(metrics.ranking(p, by, "m1").drop("ap"), by), "loss", "auc")
+
+
+@query(f"WITH {PR} SELECT call_id, target, round({L0}, 6) AS base, round({L1}, 6) AS loss, 'cached' AS origin FROM pr WHERE valid UNION ALL SELECT call_id, target, round({L0}, 6), round({L1}, 6), 'new' FROM pr WHERE NOT valid")
+def fit3_cached_base(spark: SparkSession, d: str) -> DataFrame:
+    """The base model's held-out column is read from where it was written; rows tell what was reused."""
+    p = T.predictions(spark, d)
+    path = shared.new_folder(spark, "fit3")
+    p.select("call_id", "target", F.col("m0").alias("kept")).write.parquet(path)
+    kept = spark.read.schema("call_id long, target string, kept double").parquet(path)
+    j = T.joined_one(p, kept, ["call_id", "target"], one_left=True)
+    return six(j.select("call_id", "target", S.log_loss(F.col("y"), F.col("kept")).alias("base"), S.log_loss(F.col("y"), F.col("m1")).alias("loss"), F.when(F.col("valid"), "cached").otherwise("new").alias("origin")), "base", "loss")
+
+
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS added FROM customer")
+def wfl3_frozen_design(spark: SparkSession, d: str) -> DataFrame:
+    """A frozen table and the one it came from: rows that only one of them has, repeats counted."""
+    t, path = T.table(spark, d, "customer"), shared.new_folder(spark, "wfl3")
+    T.moved_into_place(t, path)
+    back = spark.read.schema(t.schema).parquet(path)
+    n = back.agg(F.count("*").alias("n"))
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    return n.join(F.broadcast(one(t.exceptAll(back), "missing"))).join(F.broadcast(one(back.exceptAll(t), "added")))  # one row each
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'reused' ELSE 'fitted' END AS fit_origin FROM orders")
+def wfl12_provenance(spark: SparkSession, d: str) -> DataFrame:
+    o = T.table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    parts = (o.where("o_orderstatus = 'F'").withColumn("fit_origin", F.lit("reused")), o.where("not o_orderstatus <=> 'F'").withColumn("fit_origin", F.lit("fitted")))
+    return T.union_all(*parts).drop("o_orderstatus")
+
+
+@query(f"WITH {PR}, x AS (SELECT ln(1 + n_chars) AS a, CAST(length(text) AS DOUBLE) AS b FROM documents WHERE text IS NOT NULL) SELECT 2 AS columns, round(var_pop(a) / var_pop(a), 6) AS first, round(corr(a, b), 6) AS along FROM x")
+def mlt14_scaled_space(spark: SparkSession, d: str) -> DataFrame:
+    """Two scaled columns; their product's mean is their correlation."""
+    x = T.table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.array(F.log1p("n_chars"), F.length("text").cast("double")).alias("v"))
+    s = geometry.standardised(x)
+    return six(s.agg(F.lit(2).alias("columns"), F.avg(F.col("v")[0] * F.col("v")[0]).alias("first"), F.avg(F.col("v")[0] * F.col("v")[1]).alias("along")), "first", "along")
