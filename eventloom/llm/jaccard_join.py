@@ -558,8 +558,8 @@ def component_ids(docs: DataFrame, words: int = 5, percent: int = 80, text: str
     """(doc_id, n_shingles, component_id): the smallest doc_id that links lead to; a row for each row of the documents."""
     with temporary():
         rows = written(linked(docs, words, percent, text, doc_id), "jaccard-roots", keep=True)
-    # dealt anew, so that Spark can split the join at the root of a large component
-    least = rows.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("id").alias("least")).repartition("r")
+    # a table of its own, so that Spark can split the join at the root of a large component
+    least = written(rows.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("id").alias("least")), "jaccard-least")
     out = rows.join(least, F.col("root") == F.col("r"), "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
@@ -576,12 +576,11 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, text: str =
     key = F.xxhash64(F.col(doc_id), F.col(text))
     with temporary():
         known = written(linked(docs, words, percent, text, doc_id, key).select("id", "h", "root").where("root is not null"), "jaccard-roots")
-        least = known.groupBy(F.col("root").alias("r")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("stays")).repartition("r")
-        gone = known.join(least, F.col("root") == F.col("r")).where("h <> stays.h").select(F.col("h").alias("gone")).distinct()
-        gone = written(gone, "jaccard-gone", keep=True)
-    own, lead, taken = (free_name(docs, c) for c in ("key__", "lead__", "gone"))
+        least = known.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("x"))
+        stays = written(least.select(F.col("x.h").alias("stays")), "jaccard-stays", keep=True)
+    own, lead, taken = (free_name(docs, c) for c in ("key__", "lead__", "stays"))
     words = F.coalesce(F.regexp_like(F.col(text), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    kept = docs.where(words).withColumn(own, key).join(gone.withColumnRenamed("gone", taken), F.col(own) == F.col(taken), "left_anti")
+    kept = docs.where(words).withColumn(own, key).join(stays.withColumnRenamed("stays", taken), F.col(own) == F.col(taken), "left_semi")
     number = F.row_number().over(Window.partitionBy(own).orderBy(own))
     kept = kept.withColumn(lead, number).where(F.col(lead) == 1).select(*docs.columns)
     return kept.unionByName(docs.where(~words))
