@@ -43,7 +43,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", text("fetched_at"), "list_key", "list_action", text("listed_since"), "blocked")
 
 
-_HOST = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.$', '')"
+_HOST = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)', 1)), '\.$', '')"
 OP1_SQL = rf"""
 WITH captures AS (
   SELECT row_number() OVER () AS row_id, page_id, url, CAST(DATE '2024-01-01' + CAST(((page_id * 37) % 90 + 90) % 90 AS INTEGER) AS DATE) AS fetched,

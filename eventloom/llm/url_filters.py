@@ -27,8 +27,8 @@ SALTS = 16
 
 
 def host_of(url: Column) -> Column:
-    """The host in lower case, without user, port and a last dot; empty where there is none."""
-    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)), r"\.$", "")
+    """The host in lower case, without user, port and a last dot (an IPv6 address with its brackets); empty where there is none."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)", 1)), r"\.$", "")
 
 
 def path_of(url: Column) -> Column:

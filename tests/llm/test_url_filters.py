@@ -17,7 +17,7 @@ def brute(captures, entries):
     out = []
     for url, at in captures:
         best = None
-        m = re.match(r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)", url or "")
+        m = re.match(r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)", url or "")
         if m and at is not None:
             host = m[1].lower().removesuffix(".")
             path = re.match(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)?", url)[1] or ""
@@ -33,9 +33,9 @@ def brute(captures, entries):
 
 def test_against_brute_force(spark):
     days = [D(2024, 1, d) for d in (1, 5, 9, 20)]
-    urls = ["http://a.b.org/x/y", "https://B.org./", "http://u:p@c.b.org:8080/x?q", "ftp://d.com", "d.com/none", "http://", "", None, "http://a.b.org/x//y/z#f", "http://localhost/p"]
+    urls = ["http://a.b.org/x/y", "https://B.org./", "http://u:p@c.b.org:8080/x?q", "ftp://d.com", "d.com/none", "http://", "", None, "http://a.b.org/x//y/z#f", "http://localhost/p", "http://[::1]:80/x", "http://u@[2001:DB8::1]/y"]
     captures = [(u, t) for u in urls for t in [*days, None]] * 2
-    entries = [("b.org", "block", days[1]), ("b.org", "lift", days[2]), ("a.b.org/x", "allow", days[0]), ("a.b.org/x", "block", days[3]), ("a.b.org/x/y", "block", days[2]), ("d.com", "block", days[1]), ("d.com", "allow", days[1]), ("d.com", "block", days[1]), (None, "block", days[0]), ("x", "block", None), ("localhost", "block", days[0])]
+    entries = [("b.org", "block", days[1]), ("b.org", "lift", days[2]), ("a.b.org/x", "allow", days[0]), ("a.b.org/x", "block", days[3]), ("a.b.org/x/y", "block", days[2]), ("d.com", "block", days[1]), ("d.com", "allow", days[1]), ("d.com", "block", days[1]), (None, "block", days[0]), ("x", "block", None), ("localhost", "block", days[0]), ("[::1]", "block", days[0]), ("[2001:db8::1]/y", "block", days[1])]
     c = spark.createDataFrame(captures, "url string, fetched_at timestamp").selectExpr("*", "7 AS blocked", "'k' AS key", "1 AS salt", "2 AS u")
     e = spark.createDataFrame(entries, "key string, action string, dated timestamp")
     out = U.evaluate(c, e)
