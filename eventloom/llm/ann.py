@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import temporary, written
 
 SAMPLE, ROUNDS = 20_000, 12
 #: Centres grow with the square root of the rows, up to LISTS; a query probes PROBE lists before bounds rule lists out.
@@ -240,7 +240,12 @@ class Lists:
 
 
 def search(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vec: str = "embedding", seed: int = 1) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest found, by largest inner product."""
+    """(query_id, rank, vec_id, score): each query's k nearest found, by largest inner product. The result is a written table; those on the way are deleted."""
+    with temporary():
+        return written(_searched(df, is_query, k, vec_id, vec, seed), "ann-found", keep=True)
+
+
+def _searched(df: DataFrame, is_query: Column, k: int, vec_id: str, vec: str, seed: int) -> DataFrame:
     spark = df.sparkSession
     rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), is_query.alias("q")).where(usable(F.col("v")) & F.col("id").isNotNull())
     head = rows.select("v", F.xxhash64("id", F.lit(seed)).alias("h")).orderBy("h").limit(SAMPLE).collect()  # SAMPLE rows at most
