@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm import jaccard_join, language_id, mixing, sentencepiece_codec
 from eventloom.llm.queries import tokenizer_path
-from eventloom.llm.scratch import written
+from eventloom.llm.scratch import dropped, written
 
 #: Documents that are no closer than this to any language's profile are rejected, with those without letters.
 LEAST_SCORE = 0.15
@@ -55,9 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; the table that a stage read is deleted when the next one is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage-{k}")
+            if last is not None:
+                dropped(last)
+            last = docs
     return docs
