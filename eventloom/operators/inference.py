@@ -28,8 +28,8 @@ def clip_weights(df: DataFrame, draws: int, seed: int = 1) -> DataFrame:
     A draw's places are rows, and so are spread over tasks; the weights of a draw
     serve all arms, so that differences are paired.
     """
-    clips = df.select("clip").where("clip is not null").distinct().withColumn("one", F.lit(1)).withColumn("key", F.xxhash64("clip"))
-    named = running(clips.groupBy("clip").agg(F.lit(1).alias("one")).withColumn("h", F.conv(F.substring(F.md5(F.col("clip").cast("string").cast("binary")), 1, 13), 16, 10).cast("long")), [], "h", "one")
+    clips = df.select("clip").where("clip is not null").distinct().withColumn("one", F.lit(1))
+    named = running(clips.withColumn("h", F.conv(F.substring(F.md5(F.col("clip").cast("string").cast("binary")), 1, 13), 16, 10).cast("long")), [], "h", "one")
     named = named.select("clip", F.col("from__").alias("place"), F.col("all__").alias("n"))
     every = named.select("place", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     taken = every.select("draw", F.floor(uniform(F.lit(seed), F.col("draw"), F.col("place")) * F.col("n")).cast("long").alias("taken"))
@@ -38,8 +38,8 @@ def clip_weights(df: DataFrame, draws: int, seed: int = 1) -> DataFrame:
 
 
 def drawn_gains(df: DataFrame, by: Sequence[str], draws: int, seed: int = 1) -> DataFrame:
-    """(by, draw, x): the weighted mean gain of each arm in each draw; draw -1 is the point estimate."""
-    blocks = gains(df).groupBy(*by, "clip").agg(F.count("*").alias("n"), F.sum("gain").alias("g"))
+    """(by, draw, x): the weighted mean gain of each arm in each draw; draw -1 is the point estimate. Rows without a clip take no part in either."""
+    blocks = gains(df).where("clip is not null").groupBy(*by, "clip").agg(F.count("*").alias("n"), F.sum("gain").alias("g"))
     w = clip_weights(df, draws, seed)
     out = blocks.join(w, "clip").groupBy(*by, "draw").agg((F.sum(F.col("w") * F.col("g")) / F.sum(F.col("w") * F.col("n"))).alias("x"))
     point = blocks.groupBy(*by).agg((F.sum("g") / F.sum("n")).alias("x")).select(*by, F.lit(-1).alias("draw"), "x")

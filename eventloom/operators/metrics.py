@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import binned, brier, log_loss, ratio
-from .ranks import ranked, running, with_quantiles
+from .ranks import joined_back, ranked, running, with_quantiles
 
 EDGES = (0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8, 1.0)
 
@@ -69,9 +69,10 @@ def gains(df: DataFrame) -> DataFrame:
 def clip_totals(df: DataFrame, by: Sequence[str] = ("target",)) -> DataFrame:
     """By clip: rows, sum of gains, the mean gain without the clip, and its share of absolute sums."""
     g = gains(df).groupBy(*by, "clip").agg(F.count("*").alias("n"), F.sum("gain").alias("gain_sum"))
-    w = Window.partitionBy(*by)
-    out = g.withColumn("without", ratio(F.sum("gain_sum").over(w) - F.col("gain_sum"), F.sum("n").over(w) - F.col("n")))
-    return out.withColumn("share", ratio(F.abs("gain_sum"), F.sum(F.abs("gain_sum")).over(w)))
+    whole = g.groupBy(*by).agg(F.sum("gain_sum").alias("sum__"), F.sum("n").alias("n__"), F.sum(F.abs("gain_sum")).alias("abs__"))  # a row an arm
+    out = joined_back(g, whole, by)
+    out = out.withColumn("without", ratio(F.col("sum__") - F.col("gain_sum"), F.col("n__") - F.col("n")))
+    return out.withColumn("share", ratio(F.abs("gain_sum"), F.col("abs__"))).drop("sum__", "n__", "abs__")
 
 
 def concentration(totals: DataFrame, fractions: Sequence[float], by: Sequence[str] = ("target",)) -> DataFrame:
@@ -155,8 +156,8 @@ def decomposed(df: DataFrame) -> DataFrame:
 
 
 def clip_blocks(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Sums that a draw of clips needs: rows and gains of each clip."""
-    return gains(df).groupBy(*by, "clip").agg(F.count("*").alias("n"), F.sum("gain").alias("gain_sum"))
+    """Sums that a draw of clips needs: rows and gains of each clip. Rows without a clip take no part."""
+    return gains(df).where("clip is not null").groupBy(*by, "clip").agg(F.count("*").alias("n"), F.sum("gain").alias("gain_sum"))
 
 
 def poisson_weights(clips: DataFrame, draws: int, seed: int = 1, most: int = 12) -> DataFrame:

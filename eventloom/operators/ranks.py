@@ -79,11 +79,15 @@ def quantiles(df: DataFrame, by: Sequence[str], x: str, points: dict[str, float]
 
 def with_quantiles(grouped: DataFrame, df: DataFrame, by: Sequence[str], x: str, points: dict[str, float]) -> DataFrame:
     """A table of groups with the quantiles of ``x`` added; null for groups without a value."""
-    q = quantiles(df, by, x, points)
+    return joined_back(grouped, quantiles(df, by, x, points), by)
+
+
+def joined_back(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with the columns of their group's row; a null name is a group like any other."""
     if not by:
-        return grouped.join(F.broadcast(q))  # one row each
-    q = q.withColumnsRenamed({c: f"{c}_q" for c in by})
+        return df.join(F.broadcast(groups))  # one row
+    right = groups.withColumnsRenamed({c: f"{c}_q" for c in by})
     cond = F.lit(True)
     for c in by:
         cond = cond & F.col(c).eqNullSafe(F.col(f"{c}_q"))
-    return grouped.join(q, cond, "left").drop(*(f"{c}_q" for c in by))
+    return df.join(right, cond, "left").drop(*(f"{c}_q" for c in by))

@@ -27,7 +27,7 @@ GAIN = f"({LOSS('m0')} - {LOSS('m1')})"
 
 def _drawn_sql(table: str, *by: str) -> str:
     keys = ", ".join(by)
-    return f"""bk AS (SELECT {keys}, clip, count(*) AS n, sum({GAIN}) AS g FROM {table} GROUP BY ALL),
+    return f"""bk AS (SELECT {keys}, clip, count(*) AS n, sum({GAIN}) AS g FROM {table} WHERE clip IS NOT NULL GROUP BY ALL),
 dw AS (SELECT {keys}, draw, sum(w * g) / sum(w * n) AS x FROM bk JOIN wc USING (clip) GROUP BY ALL UNION ALL SELECT {keys}, -1, sum(g) / sum(n) FROM bk GROUP BY ALL)"""
 
 
