@@ -52,6 +52,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,7 +72,7 @@ FINE_FROM, FINE = 1024, 8
 FILTER_BITS = 1 << 23, 1 << 27
 #: Long lists that a group joins stars in; classes of a block that an entry is held against.
 STAR_LISTS, REPS = 2, 12
-CHUNK_CHARS, PAIRS_AT_ONCE = 4_000_000, 1_000_000
+CHUNK_BYTES, PAIRS_AT_ONCE = 1_000_000, 1_000_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 U = np.uint64
@@ -136,23 +137,25 @@ def ordered_prefix(s: np.ndarray, percent: int, heavy: np.ndarray, counts: np.nd
     return np.r_[light, late[np.lexsort((late, n))][: p - len(light)]]
 
 
-def _slices(texts: list) -> Iterator[slice]:
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of a batch with their texts: only one slice at a time becomes Python strings."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     at = size = 0
-    for k, t in enumerate(texts):
-        size += len(t) if t else 0
-        if size >= CHUNK_CHARS:
-            yield slice(at, k + 1)
+    for k, n in enumerate(sizes):
+        size += n
+        if size >= CHUNK_BYTES or k == len(sizes) - 1:
+            part = batch.slice(at, k + 1 - at)
+            yield part, part.column(column).to_pylist()
             at, size = k + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
 
 
 def _heavy(texts: DataFrame, words: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: list[np.ndarray] = []
+        known: dict[bytes, np.ndarray] = {}  # equal sets are one
         held = 0
 
         def out() -> pa.RecordBatch:
+            sets = [*known.values()]
             every = np.sort(np.concatenate(sets))
             at = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
             n = np.diff(np.r_[at, len(every)])
@@ -163,16 +166,18 @@ def _heavy(texts: DataFrame, words: int, percent: int) -> tuple[np.ndarray, np.n
             return pa.RecordBatch.from_arrays([pa.array(every[at][keep].view(np.int64)), pa.array(n[keep])], ["token", "n"])
 
         for batch in batches:
-            own = batch.column(0).to_pylist()
-            for s in _slices(own):
-                got = {x.tobytes(): x for x in shingle_sets(own[s], words) if len(x)}  # equal sets are one
-                sets += got.values()
-                held += sum(map(len, got.values()))
+            for _, own in _slices(batch, 0):
+                for x in shingle_sets(own, words):
+                    if len(x) and (name := xxhash.xxh3_128_digest(x.tobytes())) not in known:
+                        known[name] = x
+                        held += len(x)
                 if held > 3_000_000:
                     yield out()
-                    sets, held = [], 0
+                    known.clear()
+                    held = 0
         if held:
             yield out()
+        _WORDS.clear()  # other stages use the same Python worker
 
     n = texts.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
     top = n.orderBy(F.desc("n"), "token").limit(HEAVY).toPandas()
@@ -194,11 +199,9 @@ def _described(docs: DataFrame, words: int, percent: int, heavy: tuple[np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = share.value
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for at in _slices(texts):
-                part = batch.slice(at.start, at.stop - at.start)
+            for part, texts in _slices(batch, 2):
                 sizes, uids, keys, prefixes, buckets, fine = [], [], [], [], [], []
-                for s in shingle_sets(texts[at], words):
+                for s in shingle_sets(texts, words):
                     sizes.append(len(s))
                     if not len(s):
                         uids.append(None), keys.append(None), prefixes.append(None), buckets.append(None), fine.append(None)
@@ -213,6 +216,7 @@ def _described(docs: DataFrame, words: int, percent: int, heavy: tuple[np.ndarra
                     [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(uids, pa.binary()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(buckets, pa.binary()), pa.array(fine, pa.binary())],
                     ["id", "h", "n", "uid", "key", "prefix", "buckets", "fine"],
                 )
+        _WORDS.clear()
 
     return docs.mapInArrow(run, "id long, h long, n long, uid binary, key binary, prefix array<long>, buckets binary, fine binary")
 
@@ -334,10 +338,10 @@ def _filtered_sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
             ok = np.ones(len(h), bool)
             for k in (h >> low, (h << U(width)) >> low):
                 ok &= (f[(k >> U(6)).astype(np.int64)] >> (k & U(63))) & U(1) == 1
-            texts = batch.column(2).filter(pa.array(ok)).to_pylist()
-            for at in _slices(texts):
-                sets = [s for s in shingle_sets(texts[at], words) if len(s)]
+            for _, texts in _slices(batch.filter(pa.array(ok)), 2):
+                sets = [s for s in shingle_sets(texts, words) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["uid", "tokens"])
+        _WORDS.clear()
 
     return docs.mapInArrow(run, "uid binary, tokens binary")
 

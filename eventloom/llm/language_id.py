@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 PROFILE = 600
 UNDETERMINED = "und"
 #: Characters and texts that are worked on at once (one longer text is worked on alone).
-CHUNK_CHARS, CHUNK_TEXTS = 1_000_000, 511
+CHUNK_CHARS, CHUNK_TEXTS = 400_000, 511
 #: Distinct (language, n-gram) pairs that a task sums before it hands them on.
 TASK_SUMS = 2_000_000
 #: An n-gram is three symbols of 21 bits: none (0), the space (1), or a code point and 2.
@@ -43,10 +43,11 @@ _SYMBOLS: list[tuple[np.ndarray, np.ndarray]] = []
 def symbols() -> tuple[np.ndarray, np.ndarray]:
     """The symbol of each code point (the space's for what belongs to no word), and which code points are letters."""
     if not _SYMBOLS:
-        chars = [chr(c) for c in range(0x110000)]
-        letter = np.fromiter(map(str.isalpha, chars), bool, 0x110000)
-        mark = np.fromiter((k in ("Mn", "Mc") for k in map(unicodedata.category, chars)), bool, 0x110000)
-        _SYMBOLS.append((np.where(letter | mark, np.arange(2, 0x110002), SPACE_SYMBOL).astype(np.int64), letter))
+        letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+        mark = np.fromiter((unicodedata.category(chr(c)) in ("Mn", "Mc") for c in range(0x110000)), bool, 0x110000)
+        table = np.arange(2, 0x110002, dtype=np.int32)
+        table[~(letter | mark)] = SPACE_SYMBOL
+        _SYMBOLS.append((table, letter))
     return _SYMBOLS[0]
 
 
@@ -77,7 +78,7 @@ def gram_counts(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.nd
     keep[1:] = (c[1:] > 1) | (c[:-1] > 1)  # runs of other characters count as one space
     keep[np.cumsum(sizes) - sizes] = True
     keep &= np.repeat(some, sizes)
-    c, owner, text = c[keep], owner[keep], np.repeat(np.arange(len(texts)), sizes)[keep]
+    c, owner, text = c[keep], owner[keep], np.repeat(np.arange(len(texts), dtype=np.int32), sizes)[keep]
     a, b = c[:-1], c[1:]
     one = (owner | c)[c > 1]
     two = (owner[:-1] | a << bits | b)[(text[:-1] == text[1:]) & ((a > 1) | (b > 1))]
