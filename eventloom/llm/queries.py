@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, jaccard_join, language_id, media, mixing, sentencepiece_codec, sharding, url_filters, warc
+from . import ann, chat, jaccard_join, language_id, lexical, media, mixing, sentencepiece_codec, sharding, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -169,8 +169,27 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, {_TERMS} AS terms FROM documents),
+sums AS (SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM d WHERE len(terms) > 0),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+tf AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, sums GROUP BY term, docs),
+m AS (SELECT row_id, doc_id, 50 + ((50 * len(terms) * docs) // total) AS m FROM d, sums WHERE len(terms) > 0),
+s AS (SELECT item_id, row_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+      FROM asked JOIN w USING (term) JOIN tf USING (term) JOIN m USING (row_id) GROUP BY item_id, row_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op2_sentencepiece, op3_sharding, op4_warc, op5_mixing, op6_jaccard_join, op7_nearest_neighbours, op8_chat_format, op9_language_id, op10_media)
+    for f in (op1_url_filters, op2_sentencepiece, op3_sharding, op4_warc, op5_mixing, op6_jaccard_join, op7_nearest_neighbours, op8_chat_format, op9_language_id, op10_media, op13_lexical_search)
 }
-ORACLES = {"op1_url_filters": OP1_SQL, "op4_warc": OP4_SQL, "op8_chat_format": OP8_SQL}
+ORACLES = {"op1_url_filters": OP1_SQL, "op4_warc": OP4_SQL, "op8_chat_format": OP8_SQL, "op13_lexical_search": OP13_SQL}
