@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, jaccard_join, language_id, lexical, media, mixing, sentencepiece_codec, sharding, url_filters, warc
+from . import ann, chat, jaccard_join, language_id, lexical, media, mixing, prefix_trie, sentencepiece_codec, sharding, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -169,6 +169,40 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = """
+WITH RECURSIVE bits AS (
+  SELECT i, i AS v, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS tab FROM bits WHERE k = 8),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS head,
+             xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                             lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 6 AS h
+      FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), crc),
+x AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text)) AS place FROM x),
+r AS (SELECT c.conv_id, 0 AS own, place, role, text FROM c JOIN t ON t.conv_id = c.head AND place <= h
+      UNION ALL SELECT c.conv_id, 1, place, role, text FROM c JOIN t USING (conv_id) WHERE place > h),
+d AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY own, place) AS depth FROM r),
+p AS (SELECT conv_id, depth, length(text) AS chars,
+             sha256(string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM d
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+e AS (SELECT *, max(depth) OVER (PARTITION BY conv_id) = depth AS last FROM p),
+n AS (SELECT node, min(conv_id) AS conv_id, min(depth) AS depth, count(*) AS n_convs, min(chars) AS chars,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM e GROUP BY node),
+u AS (SELECT n.*, q.node AS parent FROM n LEFT JOIN p q ON q.conv_id = n.conv_id AND q.depth = n.depth - 1),
+k AS (SELECT parent AS node, count(*) AS n_children FROM u WHERE parent IS NOT NULL GROUP BY parent),
+s AS (SELECT q.node, count(*) FILTER (k.node IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved_tokens
+      FROM n JOIN p q ON q.conv_id = n.conv_id AND q.depth <= n.depth LEFT JOIN k ON k.node = n.node GROUP BY q.node)
+SELECT u.conv_id, u.depth, v.conv_id AS parent_conv_id, u.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, u.ends_sha256
+FROM u JOIN s USING (node) LEFT JOIN k USING (node) LEFT JOIN n v ON v.node = u.parent
+"""
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -190,6 +224,6 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op2_sentencepiece, op3_sharding, op4_warc, op5_mixing, op6_jaccard_join, op7_nearest_neighbours, op8_chat_format, op9_language_id, op10_media, op13_lexical_search)
+    for f in (op1_url_filters, op2_sentencepiece, op3_sharding, op4_warc, op5_mixing, op6_jaccard_join, op7_nearest_neighbours, op8_chat_format, op9_language_id, op10_media, op11_prefix_trie, op13_lexical_search)
 }
-ORACLES = {"op1_url_filters": OP1_SQL, "op4_warc": OP4_SQL, "op8_chat_format": OP8_SQL, "op13_lexical_search": OP13_SQL}
+ORACLES = {"op1_url_filters": OP1_SQL, "op4_warc": OP4_SQL, "op8_chat_format": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op13_lexical_search": OP13_SQL}
