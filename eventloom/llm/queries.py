@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, jaccard_join, language_id, lexical, media, mixing, prefix_trie, sentencepiece_codec, sharding, url_filters, warc
+from . import ann, chat, cover_tree, jaccard_join, language_id, lexical, media, mixing, prefix_trie, sentencepiece_codec, sharding, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -207,6 +207,10 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_links(_table(spark, sf_dir, "embeddings"))
+
+
 _TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
 OP13_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, {_TERMS} AS terms FROM documents),
@@ -224,6 +228,6 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op2_sentencepiece, op3_sharding, op4_warc, op5_mixing, op6_jaccard_join, op7_nearest_neighbours, op8_chat_format, op9_language_id, op10_media, op11_prefix_trie, op13_lexical_search)
+    for f in (op1_url_filters, op2_sentencepiece, op3_sharding, op4_warc, op5_mixing, op6_jaccard_join, op7_nearest_neighbours, op8_chat_format, op9_language_id, op10_media, op11_prefix_trie, op12_near_dedup, op13_lexical_search)
 }
 ORACLES = {"op1_url_filters": OP1_SQL, "op4_warc": OP4_SQL, "op8_chat_format": OP8_SQL, "op11_prefix_trie": OP11_SQL, "op13_lexical_search": OP13_SQL}
