@@ -56,3 +56,15 @@ def test_bounds_are_half_open(spark):
     e = spark.createDataFrame([("a.org", "block", D(2024, 1, 2)), ("a.org", "lift", D(2024, 1, 4))], "key string, action string, dated timestamp")
     c = spark.createDataFrame([("http://a.org/", D(2024, 1, d)) for d in (1, 2, 3, 4)], "url string, fetched_at timestamp")
     assert [r.blocked for r in U.evaluate(c, e).orderBy("fetched_at").collect()] == [False, True, True, False]
+
+
+def test_very_long_urls_and_clashing_columns(spark):
+    deep = "http://a.org/x/" + "/".join(f"{i:05d}" for i in range(170_000))  # 1 MB
+    many = "http://" + "l." * 200_000 + "b.org/x"
+    days = [D(2024, 1, 1), D(2024, 1, 9)]
+    entries = [("a.org/x", "block", days[0]), ("a.org/x/00000/00001", "allow", days[1]), ("b.org", "block", days[0]), ("org", "block", days[0])]
+    rows = [(u, days[1], 1, "a", "b") for u in (deep, many, "http://org/q", "http://c.org")]
+    c = spark.createDataFrame(rows, "url string, fetched_at timestamp, List_Key int, `a.b` string, SALT string")
+    out = U.evaluate(c, spark.createDataFrame(entries, "key string, action string, dated timestamp"))
+    assert sorted(out.columns) == sorted(["url", "fetched_at", "a.b", "SALT", "list_key", "list_action", "listed_since", "blocked"])
+    assert {r.url: (r.list_key, r.blocked) for r in out.collect()} == {deep: ("a.org/x/00000/00001", False), many: ("b.org", True), "http://org/q": ("org", True), "http://c.org": (None, False)}
