@@ -193,7 +193,7 @@ class Nearest:
 
 def predict(df: DataFrame, rows: list[tuple[str, int, int]], text: str = "text", size: int = PROFILE, lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """Adds the predicted language and a score from 0 (nothing in place) to 1 (the profile's own order)."""
-    schema = T.StructType([f for f in df.schema if f.name not in (lang_out, score_out)] + [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
+    schema = T.StructType([f for f in df.schema if f.name.lower() not in (lang_out.lower(), score_out.lower())] + [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
     names = [f.name for f in schema][:-2]
     shared = df.sparkSession.sparkContext.broadcast(Nearest(rows, size))
 

@@ -180,8 +180,8 @@ def samples(blob: bytes, kind: str, at: int, size: int) -> bytes | None:
 
 
 def _extended(schema: T.StructType, add: list[tuple[str, T.DataType]], drop: set[str]) -> T.StructType:
-    out = {n for n, _ in add} | drop
-    return T.StructType([f for f in schema if f.name not in out] + [T.StructField(n, t) for n, t in add])
+    out = {n.lower() for n, _ in add} | {n.lower() for n in drop}
+    return T.StructType([f for f in schema if f.name.lower() not in out] + [T.StructField(n, t) for n, t in add])
 
 
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:

@@ -470,7 +470,7 @@ def _chunks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
 
 
 def _with(schema: T.StructType, name: str, kind: T.DataType, drop: str | None) -> T.StructType:
-    return T.StructType([f for f in schema if f.name != name and f.name != drop] + [T.StructField(name, kind)])
+    return T.StructType([f for f in schema if f.name.lower() != name.lower() and f.name != drop] + [T.StructField(name, kind)])
 
 
 def _put(batch: pa.RecordBatch, names: list[str], name: str, values: pa.Array) -> pa.RecordBatch:

@@ -99,3 +99,10 @@ def test_odd_tables(spark):
     assert L.predict(df.limit(0), profile).count() == 0 and L.profiles(df.limit(0)) == []
     tie = [("xx", g, k) for _, g, k in profile if _ == "en"] + [("aa", g, k) for _, g, k in profile if _ == "en"]
     assert L.predict(df.limit(1), tie).first().lang_pred == "aa"
+
+
+def test_case_variants_of_added_columns(spark):
+    docs = spark.createDataFrame([(1, "the cat", "en", 7, "x")], "doc_id long, text string, lang string, Lang_Pred int, SCORE string")
+    out = L.predict(docs, L.profiles(docs))
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    assert out.select("lang_pred", "score").first().lang_pred == "en"

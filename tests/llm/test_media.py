@@ -86,3 +86,10 @@ def test_slices_go_by_bytes():
     assert [p.num_rows for p in M._slices(batch, "text")] == [3, 1, 1, 1]
     assert list(M._slices(batch.slice(0, 0), "text")) == []
     assert [p.num_rows for p in M._slices(batch.slice(2), "text")] == [1, 1, 1, 1]
+
+
+def test_case_variants_of_added_columns(spark):
+    docs = spark.createDataFrame([(1, "the cat", 7, "x")], "doc_id long, text string, Found int, PAYLOAD string")
+    out = M.round_trip(docs)
+    assert sorted(out.columns) == sorted(["doc_id", "media", "declared_type", "n_bytes", "media_type", "found", "payload", "feature"])
+    assert bytes(out.select("payload").first()[0])[:7] == b"the cat"

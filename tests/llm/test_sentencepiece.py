@@ -111,3 +111,9 @@ def test_query(spark, sp, data):
         ids, back = want(sp, d.text)
         ref[d.doc_id] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
     assert {r[0]: tuple(r[1:4]) for r in op2_sentencepiece(spark, f"{data}/sf0.001").collect()} == ref
+
+
+def test_case_variants_of_added_columns(spark):
+    docs = spark.createDataFrame([(1, "the cat", 7, "x")], "doc_id long, text string, IDS int, Decoded string")
+    out = S.round_trip(docs, tokenizer_path())
+    assert out.columns == ["doc_id", "ids", "decoded"] and out.select("decoded").first()[0] == "the cat"
