@@ -19,12 +19,19 @@ from eventloom.llm.scratch import dropped, written
 LEAST_SCORE = 0.15
 
 
+def _own_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table under names that no column which a stage computes can have, and what each column is called now."""
+    names = [f"own{k}__" for k in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no known language, and puts the predicted language where none is given."""
     rows = language_id.profiles(docs.where(~language_id.held_out()))
-    out = language_id.predict(docs, rows, lang_out="lang_pred__", score_out="score__")
-    kept = out.where((F.col("lang_pred__") != language_id.UNDETERMINED) & (F.col("score__") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred__")).select(*docs.columns)
+    base, at = _own_names(docs)
+    out = language_id.predict(base, rows, text=at["text"])
+    kept = out.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    return kept.withColumn(at["lang"], F.coalesce(at["lang"], "lang_pred")).select(*base.columns).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +41,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixing.repeated(mixing.mix(docs), docs.columns)
+    base, at = _own_names(docs)
+    mixed = mixing.mix(base, text=at["text"], source=at["source"], doc_id=at["doc_id"])
+    return mixing.repeated(mixed, base.columns).toDF(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
