@@ -74,6 +74,22 @@ def test_odd_rows_pass_all_stages(spark):
         assert out.count() == 0
 
 
+def test_users_columns_stay(spark):
+    """Columns called like those that stages compute come out as they went in."""
+    names = ["size", "Target", "taken", "copies", "source_size", "lang_pred__", "lang_pred", "score__", "SCORE", "mix_copy__", "gid", "node", "n_shingles"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    rows = [(k, f"the {k} cat sat on the mat and the {k} dog ran all over the house " * 3, ("en", None)[k % 2], "s", 9, *(f"{n} {k}" for n in names)) for k in range(12)]
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == spark.createDataFrame([], schema).columns
+    got = {r.doc_id: r for r in docs.collect()}
+    assert got
+    for k, r in got.items():
+        assert tuple(r) == (*rows[k][:2], "en", *rows[k][3:])
+    assert P.tokenize(spark, docs, "").count() > 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql_gives_the_same(spark, data, name):
     assert_same(queries.QUERIES[name](spark, f"{data}/sf0.01"), queries.ORACLES[name], f"{data}/sf0.01")
