@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import log_loss, ratio
+from ..sources.shared import written
+from . import cohort, newton
+from .metrics import chosen
+from .newton import Fit
 from .ranks import quantiles
 
 FORBIDDEN = ("y", "fold", "clip", "call_id", "target")
@@ -61,13 +65,6 @@ class Design:
         return VectorAssembler(inputCols=inputs, outputCol=features).transform(out).select(*df.columns, features)
 
 
-def logistic(train: DataFrame, design: Design, c: float = 1.0, iterations: int = 200):
-    """L2 logistic regression with inverse strength C, the intercept free."""
-    t = design.applied(train).select("features", F.col("y").cast("double").alias("label"))
-    n = t.count()
-    return LogisticRegression(regParam=1.0 / (c * max(1, n)), elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=1e-6).fit(t)
-
-
 def boosted(train: DataFrame, design: Design, rounds: int = 200, rate: float = 0.05, depth: int = 3, leaf: int = 30, seed: int = 1):
     """Gradient-boosted trees on the design's features, log loss."""
     t = design.applied(train).select("features", F.col("y").cast("double").alias("label"))
@@ -91,12 +88,37 @@ def spline_columns(x: Column, low: float, high: float, knots: int = 5, degree: i
     return basis
 
 
+def fold_sets(df: DataFrame, fold: str = "fold", within: Column | None = None) -> tuple[DataFrame, list[int], list[str]]:
+    """The table with train{f} and test{f} for each fold f (of the rows ``within``, where given), the folds, and the names added. Rows without a fold are in neither."""
+    folds = [r[0] for r in df.select(fold).where(F.col(fold).isNotNull()).distinct().orderBy(fold).collect()]  # a few numbers
+    inside = F.lit(True) if within is None else within
+    added = {f"{kind}{f}": (F.col(fold) != f if kind == "train" else F.col(fold) == f) & inside for f in folds for kind in ("train", "test")}
+    return df.withColumns(added), folds, list(added)
+
+
+def arms_cv(df: DataFrame, arms: dict[str, Sequence[str]], categories: Sequence[str], c: float = 1.0, y: str = "y", axes: dict[str, tuple[Sequence[str], int]] | None = None, one_class: str = "raise") -> DataFrame:
+    """Out-of-fold probabilities of each arm, a column each, beside the rows that have a fold; an arm is a list of numeric columns, all are fitted together.
+
+    ``axes`` gives an arm further columns as principal components. The result is a written table.
+    """
+    t, folds, _ = fold_sets(df)
+    own = {a: (tuple(x), k) for a, (x, k) in (axes or {}).items()}
+    fits = [Fit(f"{a}|{f}", f"train{f}", f"test{f}", y, tuple(x), tuple(categories), c, axes=own.get(a)) for a, x in arms.items() for f in folds]
+    if not fits:
+        return df.where("fold is not null").withColumns({a: F.lit(None).cast("double") for a in arms})
+    fitted = newton.solve(t, fits, df.columns, one_class)
+    out = written(fitted.held_out({a: [f"{a}|{f}" for f in folds] for a in arms}).where("fold is not null"), "held-out")
+    fitted.close()
+    return out
+
+
 def paired_cv(df: DataFrame, base: Sequence[str], extra: Sequence[str], categories: Sequence[str], c: float = 1.0, trees: int = 0) -> DataFrame:
     """Out-of-fold probabilities m0 (base) and m1 (base and extra) of each row; all that is learned comes from the other folds.
 
-    With ``trees`` the models are that many boosted trees, else logistic ones. The
-    rows are kept for all fits; what a lost executor held is made again.
+    With ``trees`` the models are that many boosted trees, else logistic ones.
     """
+    if not trees:
+        return arms_cv(df, {"m0": base, "m1": [*base, *extra]}, categories, c)
     df = df.persist()
     folds = [r[0] for r in df.select("fold").distinct().orderBy("fold").collect()]  # a few numbers
     out = None
@@ -104,12 +126,80 @@ def paired_cv(df: DataFrame, base: Sequence[str], extra: Sequence[str], categori
         train, test = df.where(F.col("fold") != f), df.where(F.col("fold") == f)
         for name, columns in (("m0", base), ("m1", [*base, *extra])):
             d = Design(train, columns, categories)
-            model = boosted(train, d, trees) if trees else logistic(train, d, c)
-            test = scored(test, d, model, name)
+            test = scored(test, d, boosted(train, d, trees), name)
         out = test if out is None else out.unionByName(test)
     return out
 
 
+def nested_cv(df: DataFrame, group: str, arms: dict[str, Sequence[str]], targets: Sequence[str], categories: Sequence[str], cs: Sequence[float] = (1.0, 0.1, 10.0), inner: int = 3, one_class: str = "raise") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scores, choices, held out) of a penalty chosen inside each outer fold, for every target and arm.
+
+    Within the rows outside an outer fold, inner folds keep groups whole; each C is fitted
+    on all but one of them and scored on it. The C with the least pooled loss (of exact ties
+    the one declared first) is taken for the outer fold's fit. Inner and outer fits are
+    solved together; of the outer ones those with the chosen C are used.
+    scores: (target, arm, fold, c, inner_fold, n, loss_sum); choices: (target, arm, fold, c,
+    loss, ties); held out: the rows with a column {target}_{arm} each.
+    """
+    df = df.where("fold is not null")
+    outer = cohort.nested_folds(df.select(group, "fold").distinct(), df, group, inner)
+    wide = outer.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("outer_fold", "inner_fold"))).alias("inner__"))
+    right = wide.withColumnRenamed(group, "group__")
+    t, folds, _ = fold_sets(df.join(right, F.col(group).eqNullSafe(F.col("group__")), "left").drop("group__"))
+    fits, spec = [], {}
+    sets = {}
+    for f in folds:
+        place = F.element_at("inner__", F.lit(f))
+        for i in range(1, inner + 1):
+            sets |= {f"train{f}_{i}": (F.col("fold") != f) & (place != i), f"test{f}_{i}": (F.col("fold") != f) & (place == i)}
+        for y in targets:
+            for a, columns in arms.items():
+                for c in cs:
+                    fits.append(Fit(f"{y}|{a}|{f}|{c}", f"train{f}", f"test{f}", y, tuple(columns), tuple(categories), c))
+                    for i in range(1, inner + 1):
+                        fits.append(Fit(f"{y}|{a}|{f}|{c}|{i}", f"train{f}_{i}", f"test{f}_{i}", y, tuple(columns), tuple(categories), c))
+                        spec[fits[-1].name] = (y, a, f, float(c), i)
+    fitted = newton.solve(t.withColumns(sets), fits, df.columns, one_class)
+    loss = log_loss(F.col("y"), F.col("p")[1])
+    long = fitted.predictions([f for f in fits if f.name in spec]).where("y is not null").groupBy("model").agg(F.count("*").alias("n"), F.sum(loss).alias("loss_sum"))
+    names = df.sparkSession.createDataFrame([(m, *x) for m, x in spec.items()], "model string, target string, arm string, fold int, c double, inner_fold int")
+    scores = written(long.join(F.broadcast(names), "model").drop("model"), "nested-scores")  # a row a fit
+    by = ["target", "arm", "fold"]
+    pooled_loss = scores.groupBy(*by, "c").agg((F.sum("loss_sum") / F.sum("n")).alias("l"))
+    ties = pooled_loss.join(pooled_loss.groupBy(*by).agg(F.min("l").alias("least")), by).groupBy(*by).agg(F.count_if(F.col("l") == F.col("least")).alias("ties"))
+    choices = chosen(scores, by, cs).join(ties, by)
+    picked: dict[str, list[str]] = {f"{y}_{a}": [] for y in targets for a in arms}
+    for r in choices.collect():  # a row a target, arm and fold
+        picked[f"{r.target}_{r.arm}"].append(f"{r.target}|{r.arm}|{r.fold}|{r.c}")
+    out = written(fitted.held_out(picked), "nested-held-out")
+    fitted.close()
+    return scores, choices, out
+
+
+def populations_cv(df: DataFrame, base: Sequence[str], extra: Sequence[str], categories: Sequence[str], valid: str = "valid", one_class: str = "raise") -> DataFrame:
+    """Held-out full_m0, full_m1, valid_m0, valid_m1: trained on all rows or on valid ones, over the same folds; the valid models test valid rows alone."""
+    t, folds, _ = fold_sets(df)
+    v = F.coalesce(F.col(valid), F.lit(False))
+    t = t.withColumns({f"{kind}v{f}": F.col(f"{kind}{f}") & v for f in folds for kind in ("train", "test")})
+    arms = {"m0": tuple(base), "m1": (*base, *extra)}
+    fits = [Fit(f"{p}_{a}|{f}", f"train{k}{f}", f"test{k}{f}", "y", x, tuple(categories)) for p, k in (("full", ""), ("valid", "v")) for a, x in arms.items() for f in folds]
+    fitted = newton.solve(t, fits, df.columns, one_class)
+    out = written(fitted.held_out({f"{p}_{a}": [f"{p}_{a}|{f}" for f in folds] for p in ("full", "valid") for a in arms}).where("fold is not null"), "populations")
+    fitted.close()
+    return out
+
+
+def probe_cv(df: DataFrame, columns: Sequence[str], classes: int, y: str = "y") -> DataFrame:
+    """(df's columns, guess): held-out classes of a softmax with balanced class weights."""
+    t, folds, _ = fold_sets(df)
+    fits = [Fit(f"probe|{f}", f"train{f}", f"test{f}", y, tuple(columns), balanced=True, classes=classes) for f in folds]
+    fitted = newton.solve(t, fits, df.columns)
+    best = F.array_position("p", F.array_max("p")).cast("int") - 1
+    out = written(fitted.predictions().select(*df.columns, best.alias("guess")), "probe")
+    fitted.close()
+    return out
+
+
 def transform_state(df: DataFrame, numeric: Sequence[str], categories: Sequence[str] = ()) -> DataFrame:
     """(fold, name, median, mean, sd, n): what each fold's transforms learn, from the rows of the other folds alone."""
     df = df.persist()

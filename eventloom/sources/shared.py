@@ -1,11 +1,11 @@
-"""A folder that the driver and all executors see, for files that queries write and read back."""
+"""A folder that the driver and all executors see, for tables on the way and files that queries write and read back."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
@@ -21,3 +21,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
             _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
         found = _LOCAL[app]
     return f"{found.rstrip('/')}/eventloom-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: lineage ends here."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._eventloom_path = path  # type: ignore[attr-defined]
+    return back
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by :func:`written` that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_eventloom_path", None):
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
