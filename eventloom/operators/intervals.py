@@ -97,44 +97,113 @@ def range_pairs(left: DataFrame, right: DataFrame, low: Column, high: Column, at
     return a.join(b, ["by__", "b__"]).where(meets).select("l", "r")
 
 
+def running_sums(rows: DataFrame, by: Sequence[str], columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Adds to each row {c}_own, the sum of c over its bucket b__ up to the row, and {c}_before, that of all earlier buckets.
+
+    ``order`` sorts a bucket's rows. The earlier buckets come from a table with one row a bucket.
+    """
+    key = [*by, "b__"]
+    before = Window.partitionBy(*by).orderBy("b__").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*key).agg(*(F.sum(c).alias(c) for c in columns))
+    totals = totals.select(*(F.col(c).alias(f"{c}_k") for c in key), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in columns))
+    here = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = rows.withColumns({f"{c}_own": F.sum(c).over(here) for c in columns})
+    on = F.lit(True)
+    for c in key:
+        on = on & (F.col(c) == F.col(f"{c}_k"))
+    return own.join(totals, on).drop(*(f"{c}_k" for c in key))
+
+
+#: Kinds of events (label and focal) that :func:`history` counts in columns of their own, at most.
+KINDS = 500
+
+
 def history(base: DataFrame, every: DataFrame, windows: Sequence[float], bucket: float | None = None) -> DataFrame:
     """(call_id, tau, side, all_n, focal_n, nonfocal_n, same_label_n, labels_n): what ends in [start - tau, start], or starts in [end, end + tau].
 
-    Bounds are inclusive, so an event of no length counts itself.
+    Bounds are inclusive, so an event of no length counts itself. No pairs are made: a
+    count over a range is a difference of two running counts, one for each kind of event,
+    read at the range's two bounds; the work is that of sorting the bounds.
     """
-    most = float(max(windows))
-    bucket = bucket or most
-    want = every.select("clip", F.col("label").alias("other_label"), F.col("focal").alias("other_focal"), "start_s", "end_s")
-    own = base.select("clip", "call_id", "label", "start_s", "end_s")
-    pre = range_pairs(own, want, F.col("start_s") - most, F.col("start_s"), F.col("end_s"), F.col("end_s"), bucket).select("l", "r", F.lit("pre").alias("side"), (F.col("l.start_s") - F.col("r.end_s")).alias("gap"))
-    post = range_pairs(own, want, F.col("end_s"), F.col("end_s") + most, F.col("start_s"), F.col("start_s"), bucket).select("l", "r", F.lit("post").alias("side"), (F.col("r.start_s") - F.col("l.end_s")).alias("gap"))
+    kinds = [tuple(r) for r in every.select("label", "focal").distinct().limit(KINDS + 1).collect()]
+    if len(kinds) > KINDS:
+        raise ValueError(f"more than {KINDS} kinds of events")
+    kinds = sorted(kinds, key=repr)
+    columns = [f"k{k}__" for k in range(len(kinds))]
     taus = F.array(*(F.lit(float(w)) for w in windows))
-    pairs = pre.union(post).select(F.col("l.call_id").alias("call_id"), "side", F.col("l.label").alias("label"), "r.other_label", "r.other_focal", F.explode(F.filter(taus, lambda t: t >= F.col("gap"))).alias("tau"))
-    found = pairs.groupBy("call_id", "tau", "side").agg(
-        F.count("*").alias("all_n"), F.count_if("other_focal").alias("focal_n"), F.count_if(~F.col("other_focal")).alias("nonfocal_n"),
-        F.count_if(F.col("label") == F.col("other_label")).alias("same_label_n"), F.size(F.collect_set("other_label")).cast("long").alias("labels_n"),
-    )
-    frame = own.select("call_id", F.explode(taus).alias("tau")).withColumn("side", F.explode(F.array(F.lit("pre"), F.lit("post"))))
-    return frame.join(found, ["call_id", "tau", "side"], "left").na.fill(0, ["all_n", "focal_n", "nonfocal_n", "same_label_n", "labels_n"])
-
-
-def overlap_shares(focal: DataFrame, every: DataFrame, bucket: float = BUCKET) -> DataFrame:
+    own = base.select("clip", "call_id", "label", "start_s", "end_s")
+    frame = own.select("call_id", "label", F.explode(taus).alias("tau")).withColumn("side", F.explode(F.array(F.lit("pre"), F.lit("post"))))
+    if not kinds:
+        return frame.select("call_id", "tau", "side", *(F.lit(0).cast("long").alias(c) for c in ("all_n", "focal_n", "nonfocal_n", "same_label_n", "labels_n")))
+    # of rows at one time, lower bounds come before points and upper bounds after them
+    is_kind = {c: (F.col("label").eqNullSafe(F.lit(x)) & F.col("focal").eqNullSafe(F.lit(f))).cast("long") for c, (x, f) in zip(columns, kinds, strict=True)}
+    at = F.explode(F.array(F.struct(F.lit("pre").alias("side"), F.col("end_s").alias("t__")), F.struct(F.lit("post").alias("side"), F.col("start_s").alias("t__")))).alias("x")
+    points = every.where("start_s <= end_s").select("clip", at, *(x.alias(c) for c, x in is_kind.items())).select("clip", "x.*", F.lit(1).alias("o__"), *columns)
+    bound = lambda side, t, o, tau, sign: F.struct(F.lit(side).alias("side"), t.alias("t__"), F.lit(o).alias("o__"), F.array(*(F.lit(float(w)) for w in tau)).alias("taus"), F.lit(sign).alias("sign"))
+    s, e = F.col("start_s"), F.col("end_s")
+    bounds = [bound("pre", s, 2, windows, 1), bound("post", e, 0, windows, -1)]
+    bounds += [x for w in windows for x in (bound("pre", s - float(w), 0, [w], -1), bound("post", e + float(w), 2, [w], 1))]
+    probes = own.select("clip", "call_id", F.explode(F.array(*bounds)).alias("x")).select("clip", "call_id", "x.*", *(F.lit(0).cast("long").alias(c) for c in columns))
+    rows = points.unionByName(probes, allowMissingColumns=True).where("clip is not null and t__ is not null").withColumnRenamed("clip", "by__")
+    bucket = bucket_of(rows) if bucket is None else bucket
+    rows = running_sums(rows.withColumn("b__", F.floor(F.col("t__") / bucket)), ["by__", "side"], columns, ["t__", "o__"])
+    read = rows.where("call_id is not null and sign is not null").withColumn("tau", F.explode("taus"))
+    found = read.groupBy("call_id", "tau", "side").agg(*(F.sum(F.col("sign") * (F.col(f"{c}_own") + F.col(f"{c}_before"))).alias(c) for c in columns))
+    n = {c: F.coalesce(F.col(c), F.lit(0)) for c in columns}
+    total = lambda keep: sum((n[c] for c, k in zip(columns, kinds, strict=True) if keep(k)), F.lit(0)).cast("long")
+    labels = sorted({x for x, _ in kinds if x is not None}, key=repr)
+    of_label = {x: total(lambda k, x=x: k[0] == x) for x in labels}
+    same = sum((F.when(F.col("label") == F.lit(x), c).otherwise(0) for x, c in of_label.items()), F.lit(0)).cast("long")
+    some = sum(((c > 0).cast("long") for c in of_label.values()), F.lit(0)).cast("long")
+    counts = {"all_n": total(lambda k: True), "focal_n": total(lambda k: k[1] is True), "nonfocal_n": total(lambda k: k[1] is False), "same_label_n": same, "labels_n": some}
+    return frame.join(found, ["call_id", "tau", "side"], "left").select("call_id", "tau", "side", *(c.alias(x) for x, c in counts.items()))
+
+
+def overlap_shares(focal: DataFrame, every: DataFrame, bucket: float | None = None) -> DataFrame:
     """(call_id, n_overlaps, overlap_fraction, nonfocal_fraction): how much of an event others of its clip cover.
 
-    Strict overlap, without the event itself; the covered length is that of the
-    intervals' union, clipped to the event.
+    Strict overlap, without the event itself (ids tell events apart); the covered length is
+    that of the intervals' union, clipped to the event. No pairs are made: of all events
+    of a clip those that overlap one are its starts before the end less its ends up to the
+    start, and what is covered is the time for which the depth of intervals, a running sum
+    over all bounds, is at least 1, or 2 where the event itself is among them.
     """
-    own = focal.select("clip", "call_id", "start_s", "end_s")
-    other = every.select("clip", F.col("call_id").alias("other_id"), "start_s", "end_s", "focal")
-    p = range_pairs(own, other, F.col("start_s"), F.col("end_s"), F.col("start_s"), F.col("end_s"), bucket).where("l.call_id <> r.other_id and r.start_s < l.end_s and r.end_s > l.start_s")
-    p = p.select("l.call_id", F.greatest("l.start_s", "r.start_s").alias("a"), F.least("l.end_s", "r.end_s").alias("b"), "r.focal")
-    reach = Window.partitionBy("call_id").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    gain = lambda end: F.greatest(F.lit(0.0), F.col("b") - F.greatest("a", F.coalesce(end, F.col("a"))))
-    p = p.withColumn("gain", gain(F.max("b").over(reach))).withColumn("other_gain", F.when(~F.col("focal"), gain(F.max(F.when(~F.col("focal"), F.col("b"))).over(reach))).otherwise(0.0))
-    g = p.groupBy("call_id").agg(F.count("*").alias("n_overlaps"), F.sum("gain").alias("covered"), F.sum("other_gain").alias("other_covered"))
-    out = own.join(g, "call_id", "left")
-    share = lambda c: F.coalesce(ratio(F.col(c), F.col("end_s") - F.col("start_s")), F.lit(0.0))
-    return out.select("call_id", F.coalesce("n_overlaps", F.lit(0)).cast("long").alias("n_overlaps"), share("covered").alias("overlap_fraction"), share("other_covered").alias("nonfocal_fraction"))
+    own = focal.select("clip", "call_id", "start_s", "end_s").where("clip is not null and start_s <= end_s")
+    fine = every.select("clip", "call_id", "start_s", "end_s", "focal").where("clip is not null and start_s <= end_s")
+    itself = fine.select("call_id", F.lit(1).alias("in__"), F.coalesce(~F.col("focal"), F.lit(False)).cast("int").alias("other__"))
+    own = own.join(itself, "call_id", "left").fillna(0, ["in__", "other__"])
+    other, point = F.coalesce(~F.col("focal"), F.lit(False)).cast("long"), F.col("start_s") == F.col("end_s")
+    mark = lambda t, o, depth, begun=0, ended=0: F.struct(t.alias("t__"), o.alias("o__"), F.lit(depth).alias("depth"), (other * depth).alias("others"), F.lit(begun).alias("begun"), F.lit(ended).alias("ended"))
+    order = ["t__", "o__", "u__"]  # the same in all windows, as each row's depth lasts to the next one
+    # at one time: upper bounds, ends, lower bounds of points, ends of points, lower bounds, starts
+    bounds = F.array(mark(F.col("start_s"), F.lit(5), 1, begun=1), mark(F.col("end_s"), F.when(point, 3).otherwise(1), -1, ended=1))
+    marks = fine.select("clip", F.col("call_id").alias("u__"), F.explode(bounds).alias("x")).select("clip", "u__", "x.*")
+    ask = F.array(F.struct(F.col("start_s").alias("t__"), F.when(point, 2).otherwise(4).alias("o__"), F.lit(-1).alias("sign")), F.struct(F.col("end_s").alias("t__"), F.lit(0).alias("o__"), F.lit(1).alias("sign")))
+    probes = own.select("clip", "call_id", "in__", "other__", F.explode(ask).alias("x")).select("clip", "call_id", F.col("call_id").alias("u__"), "in__", "other__", "x.*", *(F.lit(0).alias(c) for c in ("depth", "others", "begun", "ended")))
+    rows = marks.unionByName(probes, allowMissingColumns=True).withColumnRenamed("clip", "by__")
+    bucket = bucket_of(rows) if bucket is None else bucket
+    rows = running_sums(rows.withColumn("b__", F.floor(F.col("t__") / bucket)), ["by__"], ["depth", "others", "begun", "ended"], order)
+    rows = rows.select("by__", "b__", *order, "call_id", "in__", "other__", "sign", *((F.col(f"{c}_own") + F.col(f"{c}_before")).alias(c) for c in ("depth", "others", "begun", "ended")))
+    # a row's depth lasts to the next row, which may lie in a later bucket
+    firsts = rows.groupBy("by__", "b__").agg(F.min("t__").alias("first__")).withColumn("later__", F.lead("first__").over(Window.partitionBy("by__").orderBy("b__")))
+    firsts = firsts.select(F.col("by__").alias("by_f"), F.col("b__").alias("b_f"), "later__")
+    to = F.lead("t__").over(Window.partitionBy("by__", "b__").orderBy(*order))
+    rows = rows.withColumn("to__", to).join(firsts, (F.col("by__") == F.col("by_f")) & (F.col("b__") == F.col("b_f"))).drop("by_f", "b_f")
+    length = F.coalesce(F.coalesce("to__", "later__") - F.col("t__"), F.lit(0.0))
+    deep = {f"{c}{n}": F.when(F.col(c) >= n, length).otherwise(0.0) for c in ("depth", "others") for n in (1, 2)}
+    rows = rows.withColumns({f"{k}__": x for k, x in deep.items()})
+    sums = running_sums(rows, ["by__"], [f"{k}__" for k in deep], order).where("sign is not null")
+    # up to a row, without what follows it
+    part = lambda k, end: F.sum(F.col("sign") * (F.col(f"{k}___{end}") - (F.col(f"{k}__") if end == "own" else F.lit(0.0))))
+    covered = lambda c, self: F.when(F.max(self) > 0, part(f"{c}2", "own") + part(f"{c}2", "before")).otherwise(part(f"{c}1", "own") + part(f"{c}1", "before"))
+    g = sums.groupBy("call_id").agg(
+        (F.sum(F.when(F.col("sign") > 0, F.col("begun")).otherwise(-F.col("ended")))).alias("n"), F.max("in__").alias("in__"),
+        covered("depth", "in__").alias("covered"), covered("others", "other__").alias("other_covered"),
+    )
+    out = focal.select("call_id", "start_s", "end_s").join(g, "call_id", "left")
+    n = F.coalesce(F.col("n") - F.when(F.col("start_s") < F.col("end_s"), F.col("in__")).otherwise(0), F.lit(0)).cast("long")
+    share = lambda c: F.coalesce(F.least(F.greatest(ratio(F.col(c), F.col("end_s") - F.col("start_s")), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    return out.select("call_id", n.alias("n_overlaps"), share("covered").alias("overlap_fraction"), share("other_covered").alias("nonfocal_fraction"))
 
 
 def union_length(spans: DataFrame, by: str = "clip", bucket: float = BUCKET) -> DataFrame:
