@@ -1,12 +1,11 @@
-"""Models: exact median imputation, population scaling, one-hot, splines, logistic regression at C, boosted trees, grouped cross-validation, PCA, k-means, mixtures."""
+"""Models: exact median imputation, population scaling, one-hot, splines, logistic regression at C, boosted trees, grouped cross-validation, PCA, k-means."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -225,19 +224,6 @@ def threshold_scores(oof: DataFrame, p: str, by: Sequence[str] = ()) -> DataFram
     return c.select(*by, "tp", "fp", "tn", "fn", ba.alias("balanced_accuracy"), ((f1("tp") + f1("tn")) / 2).alias("macro_f1"))
 
 
-def mixtures(df: DataFrame, sizes: Sequence[int], seed: int = 1, v: str = "v") -> DataFrame:
-    """(k, log_likelihood, parameters, bic) of Gaussian mixtures with full covariances."""
-    x = df.select(array_to_vector(v).alias("features")).persist()
-    n, d = x.count(), len(df.select(v).first()[0])
-    out = []
-    for k in sizes:
-        ll = GaussianMixture(k=k, seed=seed, maxIter=50, tol=1e-3).fit(x).summary.logLikelihood
-        free = k * d + k * d * (d + 1) // 2 + k - 1
-        out.append((k, float(ll), free, float(-2 * ll + free * math.log(n))))
-    x.unpersist()
-    return df.sparkSession.createDataFrame(out, "k int, log_likelihood double, parameters long, bic double")
-
-
 def pooled(oof: DataFrame) -> DataFrame:
     """One row: mean losses over all held-out rows, and the gain."""
     y = F.col("y")

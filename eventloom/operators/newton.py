@@ -24,12 +24,12 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import dropped, written
+from . import partials
 from .ranks import quantiles
 
 #: Not to be used as inputs.
@@ -37,8 +37,6 @@ FORBIDDEN = ("y", "fold", "clip", "call_id", "target")
 #: Levels of a category at most: columns of a fit are unknowns that the driver solves for.
 LEVELS = 1000
 STEPS, HALVINGS, TOLERANCE = 100, 40, 1e-10
-#: Tasks whose sums meet in one group.
-FAN_IN = 64
 
 
 @dataclass(frozen=True)
@@ -130,36 +128,8 @@ class Block:
         return Block(cells(0, np.float64, float("nan")), cells(1, np.int64), cells(2, np.int64), cells(3, bool))
 
 
-def _summed(packed: Packed, one: Callable[[Block], Iterator[tuple[int, np.ndarray]]], columns: Sequence[str] = ("x", "levels", "y", "sets")) -> dict[int, np.ndarray]:
-    """Sums of arrays by number over all rows: each task adds up its own, groups of tasks theirs, and the driver gets one array a number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            if b.num_rows:
-                for k, v in one(Block.of(b)):
-                    total[k] = total[k] + v if k in total else v
-        if total:
-            part = TaskContext.get().partitionId()
-            rows = [pa.array(list(total), pa.int64()), pa.array([part] * len(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(rows, ["k", "part", "v"])
-
-    def add(t: pd.DataFrame) -> pd.DataFrame:
-        v = np.zeros(len(t["v"].iloc[0]) // 8)
-        for x in t["v"]:
-            v += np.frombuffer(x)
-        return pd.DataFrame({"k": [t["k"].iloc[0]], "part": [t["part"].iloc[0] // FAN_IN], "v": [v.tobytes()]})
-
-    table = packed.table.select(*columns)
-    sums = table.mapInArrow(run, "k long, part long, v binary")
-    tasks = table.rdd.getNumPartitions()
-    while tasks > FAN_IN:
-        sums = sums.withColumn("group", F.floor(F.col("part") / FAN_IN)).groupBy("k", "group").applyInPandas(add, "k long, part long, v binary")
-        tasks = -(-tasks // FAN_IN)
-    sums = sums.groupBy("k").applyInPandas(add, "k long, part long, v binary")
-    return {r.k: np.frombuffer(r.v) for r in sums.collect()}
+def _summed(packed: Packed, one: Callable[[Block], Iterator[tuple[int, np.ndarray]]]) -> dict[int, np.ndarray]:
+    return partials.summed(packed.table.select("x", "levels", "y", "sets"), lambda b: one(Block.of(b)))
 
 
 def _transforms(packed: Packed, fits: Sequence[Fit]) -> dict[str, Transform]:

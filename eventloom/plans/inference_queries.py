@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import geometry, inference, metrics, models
+from ..operators import geometry, inference, metrics, mixture, models
 from ..sources import tables as T
+from ..sources.shared import written
 from .common import LOSS, PR, VE, register
 from .event_queries import six
 from .model_queries import _design, _refolded
@@ -214,9 +215,27 @@ def mlt8_boosted_trees(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def clu7_mixture_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Bayes criteria of Gaussian mixtures of 2 to 4 parts on the first four dimensions."""
-    v = T.vectors(spark, d).select("id", F.slice("v", 1, 4).alias("v"))
-    return six(models.mixtures(v, (2, 3, 4)), "log_likelihood", "bic")
+    """Bayes criteria of mixtures of 1 to 12 parts with diagonal covariances, over all components of the vectors."""
+    v = written(T.vectors(spark, d).select("v"), "clu7-vectors")
+    return six(mixture.criteria(v, range(1, 13)), "log_likelihood", "bic")
+
+
+@query()
+def clu7_full_mixture_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """The same of 1 to 4 parts with full covariances."""
+    v = written(T.vectors(spark, d).select("v"), "clu7-vectors")
+    return six(mixture.criteria(v, range(1, 5), "full"), "log_likelihood", "bic")
+
+
+@query()
+def clu8_mixture_posteriors(spark: SparkSession, d: str) -> DataFrame:
+    """Soft clusters from three parts with full covariances, the best of five starts: by winner, rows, mean probability and mean entropy."""
+    v = written(T.vectors(spark, d).select("id", "label", "v"), "clu8-vectors")
+    _, best, _ = mixture.fitted(v, [3], "full", restarts=5)
+    if not best:
+        return spark.createDataFrame([], "winner int, n long, probability double, entropy double")
+    u = mixture.posteriors(v, best[3])
+    return six(u.groupBy("winner").agg(F.count("*").alias("n"), F.avg(F.array_max("u")).alias("probability"), F.avg(S.entropy(F.col("u"))).alias("entropy")), "probability", "entropy")
 
 
 @query(f"WITH {VE}, s AS (SELECT id, cluster AS a, CASE WHEN substr(sha256('5|' || id), 1, 1) < 'c' THEN label % 4 END AS b FROM ve) SELECT count(*) AS n, round(avg(CAST(a = b AS INTEGER)), 6) AS same FROM s WHERE b IS NOT NULL")

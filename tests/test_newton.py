@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from eventloom.operators import cohort, models, newton
+from eventloom.operators import cohort, models, newton, partials
 from eventloom.operators.newton import Fit
 from pyspark.sql import functions as F
 
@@ -169,7 +169,7 @@ def test_odd_tables(spark):
 
 def test_sums_of_many_tasks(spark, monkeypatch):
     rows = table(6)
-    monkeypatch.setattr(newton, "FAN_IN", 2)
+    monkeypatch.setattr(partials, "FAN_IN", 2)
     monkeypatch.setattr(newton, "written", lambda df, name: df.repartition(11, "keep0").cache())
     df = spark.createDataFrame(rows, SCHEMA).withColumn("all", F.lit(True))
     got = newton.solve(df, [Fit("m", "all", "all", "y", ("a",))], ["call_id"])
