@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio, seeded
-from .ranks import ranked
+from .ranks import ranked, running
 
 
 def sampled_per_group(df: DataFrame, by: Sequence[str], n: Column | int, key: str, seed: int = 1) -> DataFrame:
@@ -76,10 +77,22 @@ def first_keys(df: DataFrame, key: str, row: str, n: int) -> DataFrame:
     return df.join(first.select(key), key, "left_semi")
 
 
-def top_share(df: DataFrame, fraction: float, order: Sequence[Column]) -> DataFrame:
-    """The first ceil(fraction * n) rows."""
+def top_share(df: DataFrame, fraction: float, x: str, key: str) -> DataFrame:
+    """The ceil(fraction * n) rows with the largest ``x``, of equals those with the smallest key (numbers, unique); a null x comes last.
+
+    The value at the bound comes from running counts in parts, so that no task sorts the share.
+    """
     n = df.count()
-    return df.orderBy(*order).limit(-(-int(fraction * 1_000_000) * n // 1_000_000))
+    wanted = math.ceil(fraction * n)
+    counts = running(df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count("*").alias("n__")), [], x, "n__", descending=True)
+    last = counts.where((F.col("from__") < wanted) & (F.col("upto__") >= wanted)).select(x, "from__").first() if wanted else None
+    if last is not None:
+        above, ties, left = df.where(F.col(x) > F.lit(last[0])), df.where(F.col(x) == F.lit(last[0])), wanted - last[1]
+    else:
+        above, ties = (df.where(F.col(x).isNotNull()), df.where(F.col(x).isNull())) if wanted else (df.limit(0), df.limit(0))
+        left = wanted - above.count()
+    first = running(ties.withColumn("one__", F.lit(1)), [], key, "one__").where(F.col("upto__") <= left).select(*df.columns)
+    return above.unionByName(first)
 
 
 # -- what edges say

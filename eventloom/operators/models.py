@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import log_loss, ratio
-from ..sources.shared import written
+from ..sources.shared import dropped, written
 from . import cohort, newton
 from .metrics import chosen
 from .newton import Fit
@@ -118,7 +118,7 @@ def paired_cv(df: DataFrame, base: Sequence[str], extra: Sequence[str], categori
     """
     if not trees:
         return arms_cv(df, {"m0": base, "m1": [*base, *extra]}, categories, c)
-    df = df.persist()
+    df = written(df, "trees-rows")
     folds = [r[0] for r in df.select("fold").distinct().orderBy("fold").collect()]  # a few numbers
     out = None
     for f in folds:
@@ -201,13 +201,14 @@ def probe_cv(df: DataFrame, columns: Sequence[str], classes: int, y: str = "y")
 
 def transform_state(df: DataFrame, numeric: Sequence[str], categories: Sequence[str] = ()) -> DataFrame:
     """(fold, name, median, mean, sd, n): what each fold's transforms learn, from the rows of the other folds alone."""
-    df = df.persist()
+    df = written(df, "state-rows")
     folds = [r[0] for r in df.select("fold").distinct().orderBy("fold").collect()]  # a few numbers
     out = []
     for f in folds:
         train = df.where(F.col("fold") != f)
         d, n = Design(train, numeric, categories), train.count()
         out += [(int(f), c, float(d.median[c]), float(d.scale[c][0]), float(d.scale[c][1]), n) for c in d.median]
+    dropped(df)
     return df.sparkSession.createDataFrame(out, "fold int, name string, median double, mean double, sd double, n long")
 
 

@@ -166,7 +166,8 @@ def median_filled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     from ..functions.scalars import number
 
     clean = df.withColumns({c: number(F.col(c)) for c in columns})
-    row = {c: quantiles(clean, [], c, {c: 0.5}).first()[0] for c in columns}  # one number a column
+    long = clean.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("x")) for c in columns))).alias("u")).select("u.*")
+    row = dict.fromkeys(columns) | {r["name"]: r["m"] for r in quantiles(long, ["name"], "x", {"m": 0.5}).collect()}  # one number a column
     return clean.withColumns({c: F.coalesce(F.col(c), F.lit(row[c])) for c in columns if row[c] is not None}).drop(*(c for c in columns if row[c] is None))
 
 

@@ -266,11 +266,15 @@ def jon15_identified(spark: SparkSession, d: str) -> DataFrame:
     return reports.identified(e.select(value.alias("value")), e.select("clip"), e.select(call.alias("call_id"), "clip"))
 
 
-@query("SELECT setting, target, row_number() OVER (ORDER BY setting, target) AS job FROM (VALUES ('a'), ('b'), ('c')) x(setting) CROSS JOIN (VALUES ('post'), ('pre')) y(target)")
+@query(f"""WITH {PR}, g AS (SELECT fold, target, count(*) AS n_test, CAST(sum(call_id) AS BIGINT) AS ids FROM pr WHERE fold IS NOT NULL GROUP BY ALL)
+SELECT 'fold' || fold || '/' || target AS path, fold, target, n_test, CAST(sum(n_test) OVER (PARTITION BY target) AS BIGINT) - n_test AS n_train, ids, row_number() OVER (ORDER BY target, fold) AS job FROM g""")
 def wfl4_job_plan(spark: SparkSession, d: str) -> DataFrame:
-    """A grid of settings as a plan; its size is the settings', whatever the data."""
-    grid = spark.range(1).select(F.explode(F.array(*map(F.lit, "abc"))).alias("setting")).withColumn("target", F.explode(F.array(F.lit("post"), F.lit("pre"))))
-    return grid.withColumn("job", F.row_number().over(Window.orderBy("setting", "target")).cast("long"))
+    """A job for each fold and target of a table, with what it trains on and tests, and a sum of the tested ids."""
+    p = T.predictions(spark, d).where("fold is not null")
+    g = p.groupBy("fold", "target").agg(F.count("*").alias("n_test"), F.sum("call_id").alias("ids"))
+    train = F.sum("n_test").over(Window.partitionBy("target")) - F.col("n_test")  # a row a job
+    path = F.concat(F.lit("fold"), F.col("fold").cast("string"), F.lit("/"), "target")
+    return g.select(path.alias("path"), "fold", "target", "n_test", train.alias("n_train"), "ids", F.row_number().over(Window.orderBy("target", "fold")).cast("long").alias("job"))
 
 
 @query("WITH m AS (SELECT quantile_cont(value, 0.5) FILTER (value < 90) AS md FROM events) SELECT event_id, round(CASE WHEN value < 90 THEN value ELSE md END, 6) AS filled FROM events, m")

@@ -93,10 +93,12 @@ def src8_ragged_pairs(spark: SparkSession, d: str) -> DataFrame:
     return T.ragged_pairs(_ragged(spark, d), ["file"])
 
 
-@query(f"WITH {RAGGED} SELECT CAST(o_orderkey AS VARCHAR) AS file, p[1][2] AS first, p[2][2] AS second, p[3][2] AS third FROM rg")
+@query(f"WITH {RAGGED} SELECT CAST(o_orderkey AS VARCHAR) AS file, CAST(2 * i - 2 + j AS INTEGER) AS cell, CAST(CASE j WHEN 1 THEN p[i][1] ELSE p[i][2] END AS DOUBLE) AS x FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM rg), (VALUES (1), (2)) t(j)")
 def src9_ragged_wide(spark: SparkSession, d: str) -> DataFrame:
-    t = T.ragged_wide(_ragged(spark, d), ["file"], 6)
-    return t.select("file", *(S.number(F.col(f"cell_{2 * k}")).alias(n) for k, n in ((1, "first"), (2, "second"), (3, "third"))))
+    """The columns of lines as wide as the longest, and of these all cells that a line has."""
+    t = T.ragged_wide(_ragged(spark, d), ["file"])
+    each = F.posexplode(F.array(*(F.col(c) for c in t.columns[1:]))).alias("k", "v")
+    return t.select("file", each).where("v is not null").select("file", (F.col("k") + 1).alias("cell"), S.number(F.col("v")).alias("x"))
 
 
 @query(f"WITH {RAGGED} SELECT o_orderkey, CAST(i - 1 AS INTEGER) AS position, CAST(p[i][1] AS INTEGER) AS line, CASE WHEN i < len(p) THEN p[i][2] END AS quantity FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM rg)")
@@ -184,19 +186,43 @@ def prj7_unsigned_id(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "embeddings").select("vec_id", S.unsigned_id(sign).alias("id"))
 
 
-@query("SELECT * FROM (VALUES (0, 'low'), (1, 'high')) x(code, name)")
+@query("SELECT quality AS code, CASE quality WHEN 0 THEN 'low' WHEN 1 THEN 'high' ELSE CAST(quality AS VARCHAR) END AS name, count(*) AS n FROM labels GROUP BY 1, 2")
 def prj9_code_book(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(0, "low"), (1, "high")], "code int, name string")
+    """The codes that the table uses, with their names and rows; a code without a name is its own."""
+    names = F.create_map(F.lit(0), F.lit("low"), F.lit(1), F.lit("high"))
+    t = T.table(spark, d, "labels").groupBy(F.col("quality").alias("code")).agg(F.count("*").alias("n"))
+    return t.select("code", F.coalesce(F.try_element_at(names, F.col("code").cast("int")), F.col("code").cast("string")).alias("name"), "n")
 
 
-@query("SELECT * FROM (VALUES ('plain', 'l_quantity'), ('plain', 'l_extendedprice'), ('plain', 'l_discount'), ('plain', 'l_tax'), ('price', 'l_extendedprice'), ('rest', 'l_quantity'), ('rest', 'l_discount'), ('rest', 'l_tax')) x(mask, name)")
+def _used_sql(table: str, *names: str, mask: str = "") -> str:
+    """Of each named column: its place, values that are not null, and different values."""
+    first = f"'{mask}' AS mask, " if mask else ""
+    return " UNION ALL ".join(f"SELECT {first}CAST({k} AS INTEGER) AS place, '{n}' AS name, count({n}) AS n, count(DISTINCT {n}) AS different FROM {table}" for k, n in enumerate(names))
+
+
+def _used(t: DataFrame, *names: str) -> DataFrame:
+    """(place, name, n, different): the chosen columns are read."""
+    out = None
+    for k, n in enumerate(names):
+        part = t.select(F.col(n).alias("x")).agg(F.count("x").alias("n"), F.countDistinct("x").alias("different")).select(F.lit(k).alias("place"), F.lit(n).alias("name"), "n", "different")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+MASKS = {"plain": ("l_quantity", "l_extendedprice", "l_discount", "l_tax"), "price": ("l_extendedprice",), "rest": ("l_quantity", "l_discount", "l_tax")}
+
+
+@query(" UNION ALL ".join(_used_sql("lineitem", *names, mask=m) for m, names in MASKS.items()))
 def prj12_feature_masks(spark: SparkSession, d: str) -> DataFrame:
-    """Numeric columns that are no keys; one mask, and what is left without it, in the table's order."""
+    """Numeric columns that are no keys; one mask, and what is left without it, in the table's order: what each holds."""
     t = T.table(spark, d, "lineitem")
     drop = r"key$|linenumber"
     masks = {"plain": T.feature_columns(t, drop), "price": T.feature_columns(t, drop, include="price"), "rest": T.feature_columns(t, drop, exclude="price")}
-    assert [c for c in masks["plain"] if c not in masks["price"]] == masks["rest"]
-    return spark.createDataFrame([(m, c) for m, own in masks.items() for c in own], "mask string, name string")
+    out = None
+    for m, names in masks.items():
+        part = _used(t, *names).withColumn("mask", F.lit(m))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("SELECT event_id, value / nullif(event_id % 3, 0) AS share, value < 25 AS short, value >= 75 AS long FROM events")
@@ -218,9 +244,12 @@ def prj19_settings(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumns({"family": F.split("setting", "__")[0], "mode": F.split("setting", "__")[1]})
 
 
-@query("SELECT vec_id, embedding[1] AS acoustic_0000, embedding[2] AS acoustic_0001, embedding[3] AS acoustic_0002 FROM embeddings")
+@query("SELECT vec_id, " + ", ".join(f"embedding[{k + 1}] AS acoustic_{k:04d}" for k in range(64)) + " FROM embeddings")
 def prj20_vector_columns(spark: SparkSession, d: str) -> DataFrame:
-    return T.table(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[k].alias(f"acoustic_{k:04d}") for k in range(3)))
+    """A column for each component of the longest vector."""
+    e = T.table(spark, d, "embeddings")
+    size = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return e.select("vec_id", *(F.get("embedding", F.lit(k)).alias(f"acoustic_{k:04d}") for k in range(size)))
 
 
 # -- filters and joins
@@ -295,20 +324,20 @@ def jon13_aligned_rows(spark: SparkSession, d: str) -> DataFrame:
     return v.select(*key, "m0").join(v.select(*key, "m1"), key).select(*key, F.round(F.col("m1") - F.col("m0"), 9).alias("change"))
 
 
-@query("SELECT e.vec_id, e.label, round(CAST(embedding[1] AS DOUBLE) + vec_id % 5, 6) AS x FROM embeddings e")
+@query("SELECT vec_id, label, CAST(i AS INTEGER) AS position, round(CAST(embedding[i + 1] AS DOUBLE) + vec_id % 5, 6) AS x FROM (SELECT *, unnest(range(len(embedding))) AS i FROM embeddings)")
 def jon17_row_bind(spark: SparkSession, d: str) -> DataFrame:
     """A matrix and its metadata side by side, by an explicit row id and never by position."""
     e = T.table(spark, d, "embeddings")
-    matrix = e.select("vec_id", F.col("embedding")[0].cast("double").alias("m"))
+    matrix = e.select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("position", "m"))
     meta = e.select("vec_id", "label", (F.col("vec_id") % 5).alias("k"))
-    return six(meta.join(matrix, "vec_id").select("vec_id", "label", (F.col("m") + F.col("k")).alias("x")), "x")
+    return six(meta.join(matrix, "vec_id").select("vec_id", "label", "position", (F.col("m") + F.col("k")).alias("x")), "x")
 
 
-@query("SELECT a, b, c FROM (VALUES (5), (10), (20)) x(a), (VALUES (1), (5)) y(b), (VALUES ('eom'), ('leaf')) z(c)")
+@query("SELECT a, b, c FROM (SELECT DISTINCT l_returnflag AS a FROM lineitem), (SELECT DISTINCT l_linestatus AS b FROM lineitem), (SELECT DISTINCT l_linenumber AS c FROM lineitem)")
 def jon18_grid(spark: SparkSession, d: str) -> DataFrame:
-    lists = F.struct(F.array(*map(F.lit, (5, 10, 20))).alias("a"), F.array(F.lit(1), F.lit(5)).alias("b"), F.array(F.lit("eom"), F.lit("leaf")).alias("c"))
-    t = spark.range(1).select(lists.alias("g"))
-    return t.select(F.explode("g.a").alias("a"), "g").select("a", F.explode("g.b").alias("b"), "g").select("a", "b", F.explode("g.c").alias("c"))
+    """All combinations of the settings that a table has, of each a few."""
+    t = T.table(spark, d, "lineitem").agg(*(F.collect_set(c).alias(n) for n, c in (("a", "l_returnflag"), ("b", "l_linestatus"), ("c", "l_linenumber"))))
+    return t.select(F.explode("a").alias("a"), "b", "c").select("a", F.explode("b").alias("b"), "c").select("a", "b", F.explode("c").alias("c"))
 
 
 @query("SELECT a.r_name AS a, b.r_name AS b FROM region a JOIN region b ON a.r_name < b.r_name")
@@ -363,10 +392,11 @@ def agg20_seed_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     return six(reports.stability(g, ["target"], "x"), "mean", "sd", "least", "most")
 
 
-@query(f"WITH {VE} SELECT cluster, count(*) AS n, round(avg(v[1]), 6) AS mean, round(stddev_pop(v[1]), 6) AS sd, round(min(v[1]), 6) AS least, round(quantile_cont(v[1], 0.25), 6) AS p25, round(quantile_cont(v[1], 0.5), 6) AS median, round(quantile_cont(v[1], 0.75), 6) AS p75, round(max(v[1]), 6) AS most FROM ve GROUP BY cluster")
+@query(f"""WITH {VE}, lo AS (SELECT cluster, unnest(v) AS x, unnest(range(len(v))) AS i FROM ve) SELECT cluster, CAST(i AS INTEGER) AS position, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd, round(min(x), 6) AS least,
+  round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.75), 6) AS p75, round(max(x), 6) AS most FROM lo GROUP BY cluster, i""")
 def agg30_cluster_summary(spark: SparkSession, d: str) -> DataFrame:
-    v = T.vectors(spark, d).select("cluster", F.col("v")[0].alias("x"))
-    return six(audits.described(v, ["cluster"], "x"), "mean", "sd", "least", "p25", "median", "p75", "most")
+    v = T.vectors(spark, d).select("cluster", F.posexplode("v").alias("position", "x"))
+    return six(audits.described(v, ["cluster", "position"], "x"), "mean", "sd", "least", "p25", "median", "p75", "most")
 
 
 @query("SELECT l_returnflag, CASE WHEN l_linenumber > 2 THEN l_linestatus END AS status, count(*) AS n FROM lineitem GROUP BY ALL")
@@ -424,7 +454,7 @@ def srt2_mixed_order(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT (SELECT CAST(ceil(count(*) * 0.01) AS BIGINT) FROM events)")
 def srt6_top_fraction(spark: SparkSession, d: str) -> DataFrame:
-    return cohort.top_share(T.table(spark, d, "events").select("event_id", "value"), 0.01, [F.desc("value"), F.col("event_id")])
+    return cohort.top_share(T.table(spark, d, "events").select("event_id", "value"), 0.01, "value", "event_id")
 
 
 @query("""WITH l AS (SELECT DISTINCT event_type AS label FROM events) SELECT label, CAST(row_number() OVER (ORDER BY coalesce(list_position(['view', 'click'], label), 1000), label) AS INTEGER) AS place FROM l""")
@@ -449,11 +479,12 @@ def set6_long_to_wide(spark: SparkSession, d: str) -> DataFrame:
     return g.select("l_suppkey", *(F.col(x).alias(x.lower()) for x in "ANR"))
 
 
-@query("SELECT vec_id, 'raw' AS variant, round(CAST(embedding[1] AS DOUBLE), 6) AS x FROM embeddings UNION ALL SELECT vec_id, 'normalized', round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda e: CAST(e AS DOUBLE) * e))), 6) FROM embeddings")
+@query("""WITH e AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda e: CAST(e AS DOUBLE) * e))) AS norm, unnest(range(len(embedding))) AS i FROM embeddings)
+SELECT vec_id, 'raw' AS variant, CAST(i AS INTEGER) AS position, round(CAST(embedding[i + 1] AS DOUBLE), 6) AS x FROM e UNION ALL SELECT vec_id, 'normalized', CAST(i AS INTEGER), round(CAST(embedding[i + 1] AS DOUBLE) / norm, 6) FROM e""")
 def set9_stacked_variants(spark: SparkSession, d: str) -> DataFrame:
     v = T.vectors(spark, d)
     both = F.explode(F.array(F.struct(F.lit("raw").alias("variant"), F.col("v").alias("v")), F.struct(F.lit("normalized").alias("variant"), geometry.unit(F.col("v")).alias("v")))).alias("x")
-    return six(v.select(F.col("id").alias("vec_id"), both).select("vec_id", "x.variant", F.col("x.v")[0].alias("x")), "x")
+    return six(v.select(F.col("id").alias("vec_id"), both).select("vec_id", "x.variant", F.posexplode("x.v").alias("position", "x")), "x")
 
 
 @query(f"WITH {PR} SELECT call_id, target, 'full' AS arm FROM pr UNION ALL SELECT call_id, target, 'alias' FROM pr WHERE valid")
@@ -576,44 +607,39 @@ def mlt5_one_hot(spark: SparkSession, d: str) -> DataFrame:
 # -- further forms of the same operators
 
 
-def _names(spark: SparkSession, *names: str) -> DataFrame:
-    return spark.createDataFrame([(k, n) for k, n in enumerate(names)], "place int, name string")
-
-
-def _names_sql(*names: str) -> str:
-    return "SELECT CAST(place AS INTEGER) AS place, name FROM (VALUES " + ", ".join(f"({k}, '{n}')" for k, n in enumerate(names)) + ") x(place, name)"
-
-
-@query(_names_sql("p_partkey", "p_name"))
+@query(_used_sql("part", "p_partkey", "p_name"))
 def prj2_required_and_optional(spark: SparkSession, d: str) -> DataFrame:
     c = T.table(spark, d, "part").columns
     assert T.resolve(c, ["weight"], required=False) is None
-    return _names(spark, T.resolve(c, ["id"], override="P_PARTKEY"), T.resolve(c, ["title", "p_name", "p_brand"]))
+    return _used(T.table(spark, d, "part"), T.resolve(c, ["id"], override="P_PARTKEY"), T.resolve(c, ["title", "p_name", "p_brand"]))
 
 
-@query(_names_sql("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+@query(_used_sql("lineitem", "l_quantity", "l_extendedprice", "l_discount", "l_tax"))
 def prj10_numeric_features(spark: SparkSession, d: str) -> DataFrame:
-    return _names(spark, *T.feature_columns(T.table(spark, d, "lineitem"), r"key$|number$"))
+    t = T.table(spark, d, "lineitem")
+    return _used(t, *T.feature_columns(t, r"key$|number$"))
 
 
-@query(_names_sql("o_totalprice"))
+@query(_used_sql("orders", "o_totalprice"))
 def prj11_without_metadata(spark: SparkSession, d: str) -> DataFrame:
     deny = {"o_orderkey", "o_custkey", "o_orderdate"}
-    return _names(spark, *(c for c in T.feature_columns(T.table(spark, d, "orders")) if c not in deny))
+    t = T.table(spark, d, "orders")
+    return _used(t, *(c for c in T.feature_columns(t) if c not in deny))
 
 
-@query(_names_sql("l_discount", "l_tax"))
+@query(_used_sql("lineitem", "l_discount", "l_tax"))
 def prj13_nuisance_columns(spark: SparkSession, d: str) -> DataFrame:
-    return _names(spark, *T.feature_columns(T.table(spark, d, "lineitem"), include=r"disc|tax"))
+    t = T.table(spark, d, "lineitem")
+    return _used(t, *T.feature_columns(t, include=r"disc|tax"))
 
 
-@query(_names_sql("l_quantity", "l_discount", "l_tax"))
+@query(_used_sql("lineitem", "l_quantity", "l_discount", "l_tax"))
 def prj14_complement(spark: SparkSession, d: str) -> DataFrame:
     """What is left of a checked list of columns, in its order."""
     every = T.feature_columns(T.table(spark, d, "lineitem"), r"key$|number$")
     if every != ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]:
         raise ValueError(f"other columns: {every}")
-    return _names(spark, *(c for c in every if c not in {"l_extendedprice"}))
+    return _used(T.table(spark, d, "lineitem"), *(c for c in every if c not in {"l_extendedprice"}))
 
 
 @query(f"WITH {PR} SELECT call_id, target, round(CASE target WHEN 'post' THEN m0 ELSE m1 END, 9) AS other_side FROM pr")
@@ -634,10 +660,11 @@ def src22_decoded_bytes(spark: SparkSession, d: str) -> DataFrame:
     return t.select("item_id", F.decode("raw", "utf-8").alias("decoded"), F.octet_length("raw").cast("long").alias("bytes"))
 
 
-@query(_names_sql("label", "lang", "event_type"))
+@query(" UNION ALL ".join(f"SELECT '{t}' AS source, u.* FROM ({_used_sql(t, c)}) u" for t, c in (("embeddings", "label"), ("documents", "lang"), ("events", "event_type"))))
 def src24_label_columns(spark: SparkSession, d: str) -> DataFrame:
     wanted = ["label", "call_type", "lang", "event_type"]
-    return _names(spark, *(T.resolve(T.table(spark, d, t).columns, wanted) for t in ("embeddings", "documents", "events")))
+    found = {n: T.table(spark, d, n) for n in ("embeddings", "documents", "events")}
+    return T.union_all(*(_used(t, T.resolve(t.columns, wanted)).withColumn("source", F.lit(n)) for n, t in found.items()))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT user_id) AS clips, min(value) AS least, max(value) AS most FROM events")

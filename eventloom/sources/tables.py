@@ -145,23 +145,35 @@ def scan(spark: SparkSession, path: str, schema: str, pattern: str = "*.csv") ->
     return t.select("*", F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("folder"))
 
 
-def ragged_wide(lines: DataFrame, fixed: Sequence[str], most: int, prefix: str = "cell_", line: str = "value") -> DataFrame:
-    """Lines of differing length as columns: the fixed ones, then cell_1 and so on, null where a line is shorter."""
+def ragged_wide(lines: DataFrame, fixed: Sequence[str], most: int | None = None, prefix: str = "cell_", line: str = "value") -> DataFrame:
+    """Lines of differing length as columns: the fixed ones, then cell_1 and so on, null where a line is shorter.
+
+    There are as many columns as the longest line has cells; a line with more than ``most``, where given, is an error.
+    """
     cells = F.split(line, ",", -1)
+    longest = max(0, (lines.agg(F.max(F.size(cells))).first()[0] or 0) - len(fixed))
+    if most is not None and longest > most:
+        raise ValueError(f"a line has {longest} cells, more than {most}")
+    most = longest if most is None else most
     return lines.select(*(F.try_element_at(cells, F.lit(k + 1)).alias(c) for k, c in enumerate(fixed)), *(F.try_element_at(cells, F.lit(len(fixed) + k)).alias(f"{prefix}{k}") for k in range(1, most + 1)))
 
 
 def moved_into_place(df: DataFrame, path: str) -> None:
     """Writes a table beside ``path`` and renames it when it is complete: a reader sees all of it or nothing."""
     spark, tmp = df.sparkSession, path.rstrip("/") + ".tmp"
-    df.write.mode("overwrite").parquet(tmp)
     jvm = spark.sparkContext._jvm
     at, to = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(to):
         raise FileExistsError(path)
-    if not fs.rename(at, to):
-        raise OSError(f"could not rename {tmp}")
+    try:
+        df.write.mode("overwrite").parquet(tmp)
+        if fs.exists(to):
+            raise FileExistsError(path)
+        if not fs.rename(at, to):
+            raise OSError(f"could not rename {tmp}")
+    finally:
+        fs.delete(at, True)  # nothing is there once it is renamed
 
 
 def markdown(df: DataFrame, order: Sequence[str]) -> DataFrame:
