@@ -164,3 +164,27 @@ def pooled(frames: Column, span: Column, how: str = "mean") -> Column:
     join = (lambda s, v: F.zip_with(s, v, lambda a, b: a + b)) if how == "mean" else (lambda s, v: F.zip_with(s, v, lambda a, b: F.greatest(a, b)))
     every = F.aggregate(F.slice(part, 2, F.greatest(F.size(part) - 1, F.lit(0))), F.element_at(part, 1), join)
     return bound(F.size(part), lambda n: F.transform(every, lambda a: a / n)) if how == "mean" else every
+
+
+def segment(x: Column, start_s: Column, end_s: Column, rate: Column, margin_s: Column) -> Column:
+    """(first, last, segment, context): samples from the rounded start up to the rounded end, and those within a margin before and after."""
+    n = F.size(x).cast("long")
+    first = F.least(n, F.greatest(F.lit(0).cast("long"), whole(start_s * rate)))
+    last = F.greatest(first, F.least(n, whole(end_s * rate)))
+    margin = whole(margin_s * rate)
+    cut = lambda a, b: F.slice(x, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    before, after = F.greatest(F.lit(0), first - margin), F.least(n, last + margin)
+    return F.struct(first.alias("first"), last.alias("last"), cut(first, last).alias("segment"), F.concat(cut(before, first), cut(last, after)).alias("context"))
+
+
+def context_window(x: Column, first: Column, last: Column, samples: int, anchor: str = "centre") -> Column:
+    """(left_pad, right_pad, samples): a window about the middle of [first, last), or from its first sample on, zeros where there is no signal."""
+    if anchor not in ("centre", "start"):
+        raise ValueError(anchor)
+    n, zero = F.size(x).cast("long"), F.lit(0).cast("long")
+    a = first.cast("long") if anchor == "start" else F.floor((first + last) / 2) - samples // 2
+    left, right = F.least(F.greatest(zero, -a), F.lit(samples)), F.least(F.greatest(zero, a + samples - n), F.lit(samples))
+    at, to = F.least(n, F.greatest(zero, a)), F.greatest(zero, F.least(n, a + samples))
+    held = F.slice(x, (at + 1).cast("int"), F.greatest(to - at, zero).cast("int"))
+    pad = lambda k: F.array_repeat(F.lit(0.0), k.cast("int"))
+    return F.struct(left.alias("left_pad"), right.alias("right_pad"), F.concat(pad(left), held, pad(right)).alias("samples"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ratio
+from ..functions.scalars import ratio, window_shape
 from .ranks import quantiles, with_quantiles
 
 
@@ -129,3 +129,16 @@ def compared(old: DataFrame, new: DataFrame, keys: Sequence[str], columns: Seque
     each = F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"a_{c}").cast("double").alias("x"), F.col(f"b_{c}").cast("double").alias("y")) for c in columns))
     g = j.select("a__", "b__", F.explode(each).alias("u")).groupBy("u.name")
     return g.agg(F.max(F.abs(F.col("u.x") - F.col("u.y"))).alias("most"), F.count_if(F.col("u.x").isNull() != F.col("u.y").isNull()).alias("null_differs"), lost.alias("lost"))
+
+
+def formula_audit(t: DataFrame, rate: float, silent: float = 1e-10) -> DataFrame:
+    """Cached (n_fft, hop, n_mels, duration) of calls against what their sample count n and level rms ask for, and n against the call's rounded bounds (one sample apart is a match)."""
+    early = (F.col("n") < 4) | (F.col("rms") <= silent)
+    want = window_shape(F.col("n"))
+    wanted = {f"expected_{c}": F.when(~early, want[c]) for c in ("n_fft", "hop", "n_mels")}
+    bound = (F.rint(F.col("end_s") * rate) - F.rint(F.col("start_s") * rate)).cast("long")
+    same = F.col("n_fft").eqNullSafe(wanted["expected_n_fft"]) & F.col("hop").eqNullSafe(wanted["expected_hop"]) & F.col("n_mels").eqNullSafe(wanted["expected_n_mels"])
+    return t.select(
+        "call_id", early.alias("early"), *(c.alias(k) for k, c in wanted.items()), same.alias("formula_match"), (F.col("n") - bound).alias("boundary_difference"),
+        (F.abs(F.col("n") - bound) <= 1).alias("boundary_match"), (F.abs(F.col("duration") - F.col("n") / rate) <= 1e-12).alias("duration_match"),
+    )

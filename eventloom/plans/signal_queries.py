@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..functions import signals
+from ..operators import audits, spectra
 from ..sources import tables as T
 from .common import EV, VE, register
 from .event_queries import six
@@ -99,3 +101,82 @@ def dsp14_pooled_frames(spark: SparkSession, d: str) -> DataFrame:
     a = F.col("id") % 50
     t = T.vectors(spark, d).select("id", frames.alias("f"), signals.focal_frames(a, a + 9, F.lit(64.0), F.lit(16)).alias("s"))
     return t.select("id", "s.first", "s.last", F.transform(signals.pooled(F.col("f"), F.col("s")), lambda x: F.round(x, 6) + F.lit(0.0)).alias("pooled"))
+
+
+# -- frames and segments
+
+
+@query()
+def dsp6_frame_features(spark: SparkSession, d: str) -> DataFrame:
+    """All features of each vector taken as a signal of 8 kHz."""
+    t = spectra.features(T.vectors(spark, d).select("id", "v"), 8000.0)
+    return six(t, *spectra.NAMES)
+
+
+@query()
+def dsp7_quality_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Raw and levelled variants of each vector, a few without a signal: rows with their reason where features can't be made."""
+    v = T.vectors(spark, d).select("id", F.when(F.col("id") % 50 != 7, F.col("v")).alias("v"))
+    levelled = v.select("id", F.lit("levelled").alias("variant"), signals.levelled(F.col("v"), -25.0)["samples"].alias("v"))
+    both = v.select("id", F.lit("raw").alias("variant"), "v").unionByName(levelled)
+    t = spectra.features(both, 8000.0, ("id", "variant"))
+    return six(t.groupBy("variant", F.coalesce("error", F.lit("")).alias("error")).agg(F.count("*").alias("n"), F.avg("rms_dbfs").alias("rms_dbfs"), F.avg("centroid_mean").alias("centroid")), "rms_dbfs", "centroid")
+
+
+@query()
+def dsp9_log_mel(spark: SparkSession, d: str) -> DataFrame:
+    """Log-mel spectra stretched to 8 frames of 16 bands, and padded ones of zero mean and unit sd: cells of each."""
+    v = T.vectors(spark, d).select("id", "v")
+    stretched = spectra.spectra(v, 8000.0, 64, 16, 16, 8).withColumn("kind", F.lit("resize"))
+    padded = spectra.spectra(v, 8000.0, 64, 16, 16, 12, "pad", standard=True).withColumn("kind", F.lit("pad"))
+    t = stretched.unionByName(padded)
+    return t.select("id", "kind", F.round("padded", 6).alias("padded"), F.transform("cells", lambda x: F.round(x, 6) + F.lit(0.0)).alias("cells"))
+
+
+@query()
+def dsp10_relative_log_mel(spark: SparkSession, d: str) -> DataFrame:
+    """Log-mel spectra in decibels below the loudest cell, padded with the least value, by label: how loud bands are and how much is padding."""
+    v = T.vectors(spark, d).select("id", "label", "v")
+    t = spectra.spectra(v, 8000.0, 64, 16, 16, 12, "ref", keep=("id", "label"))
+    g = t.groupBy("label").agg(F.count("*").alias("n"), F.avg("padded").alias("padded"), F.avg(F.aggregate("cells", F.lit(0.0), lambda a, x: a + x) / F.size("cells")).alias("level"))
+    return six(g, "padded", "level")
+
+
+@query(f"""WITH {VE}, b AS (SELECT id, v, greatest(0, CAST(round_even(id % 40 / 8.0 * 8, 0) AS BIGINT)) AS a, least(64, CAST(round_even((id % 40 + 9.5) / 8.0 * 8, 0) AS BIGINT)) AS z FROM ve)
+SELECT id, a AS first, z AS last, [round(x, 6) + 0.0 for x in v[a + 1:z]] AS segment, [round(x, 6) + 0.0 for x in list_concat(v[greatest(0, a - 4) + 1:a], v[z + 1:least(64, z + 4)])] AS context FROM b""")
+def dsp1_segments(spark: SparkSession, d: str) -> DataFrame:
+    """A call's samples by its rounded bounds, and those within half a second around it."""
+    start = (F.col("id") % 40) / F.lit(8.0)
+    s = signals.segment(F.col("v"), start, start + F.lit(9.5 / 8), F.lit(RATE), F.lit(0.5))
+    rounded = lambda c: F.transform(c, lambda x: F.round(x, 6) + F.lit(0.0))
+    return T.vectors(spark, d).select("id", s.alias("s")).select("id", "s.first", "s.last", rounded("s.segment").alias("segment"), rounded("s.context").alias("context"))
+
+
+@query(f"""WITH {VE}, c AS (SELECT id, v, anchor, CASE anchor WHEN 'start' THEN id % 60 ELSE CAST(floor((2 * (id % 60) + 9) / 2) AS BIGINT) - 10 END AS a FROM ve, (VALUES ('start'), ('centre')) t(anchor))
+SELECT id, anchor, greatest(0, -a) AS left_pad, greatest(0, a + 20 - 64) AS right_pad, [round(x, 6) + 0.0 for x in list_concat(list_concat([0.0::DOUBLE for i in range(greatest(0, -a))], v[greatest(0, a) + 1:least(64, a + 20)]), [0.0::DOUBLE for i in range(greatest(0, a + 20 - 64))])] AS samples FROM c""")
+def dsp11_context_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of 20 samples about a call's centre, or from its start, with zeros where the signal has ended."""
+    v, out = T.vectors(spark, d).select("id", "v"), None
+    for anchor in ("start", "centre"):
+        w = signals.context_window(F.col("v"), F.col("id") % 60, F.col("id") % 60 + 9, 20, anchor)
+        part = v.select("id", F.lit(anchor).alias("anchor"), w.alias("w")).select("id", "anchor", "w.left_pad", "w.right_pad", F.transform("w.samples", lambda x: F.round(x, 6) + F.lit(0.0)).alias("samples"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"""WITH {EV}, r AS (SELECT call_id, CAST(round_even(end_s * 8.0, 0) - round_even(start_s * 8.0, 0) AS BIGINT) + CASE WHEN call_id % 31 = 0 THEN 2 ELSE call_id % 2 END AS n, CAST(round_even(end_s * 8.0, 0) - round_even(start_s * 8.0, 0) AS BIGINT) AS bound, call_id % 17 = 0 AS silent FROM ev),
+e AS (SELECT *, n < 4 OR silent AS early, least(512, greatest(64, CAST(2 ** floor(log2(greatest(n, 64))) AS INTEGER))) AS f FROM r),
+c AS (SELECT *, CASE WHEN NOT early THEN CASE WHEN call_id % 13 = 0 THEN 2 * f ELSE f END END AS cached FROM e)
+SELECT call_id, early, CASE WHEN NOT early THEN f END AS expected_n_fft, CASE WHEN NOT early THEN greatest(16, f // 4) END AS expected_hop, CASE WHEN NOT early THEN least(32, greatest(8, f // 4)) END AS expected_n_mels,
+  cached IS NOT DISTINCT FROM CASE WHEN NOT early THEN f END AS formula_match, n - bound AS boundary_difference, abs(n - bound) <= 1 AS boundary_match, true AS duration_match FROM c""")
+def dsp18_formula_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Cached window sizes against the formula, sample counts against rounded bounds; one call in 13 has a wrong size cached, one in 31 is two samples off."""
+    e = T.events(spark, d)
+    bound = (F.rint(F.col("end_s") * RATE) - F.rint(F.col("start_s") * RATE)).cast("long")
+    n = bound + F.when(F.col("call_id") % 31 == 0, 2).otherwise(F.col("call_id") % 2)
+    t = e.select("call_id", "start_s", "end_s", n.alias("n"), F.when(F.col("call_id") % 17 == 0, 0.0).otherwise(0.1).alias("rms"))
+    f = S.window_shape(F.col("n"))
+    wrong = F.when(F.col("call_id") % 13 == 0, 2).otherwise(1)
+    early = (F.col("n") < 4) | (F.col("rms") <= signals.SILENT)
+    t = t.withColumns({"n_fft": F.when(~early, f["n_fft"] * wrong), "hop": F.when(~early, f["hop"]), "n_mels": F.when(~early, f["n_mels"]), "duration": F.col("n") / RATE})
+    return audits.formula_audit(t, RATE)
