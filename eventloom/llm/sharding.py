@@ -13,8 +13,9 @@ each cell is permuted again. Shard sizes are exact: they differ by one at most.
 Everything is DataFrame expressions. A draw inverts the distribution function
 with a running sum over the values within REACH standard deviations of the mode.
 
-Scale. Blocks and cells bound what one task sorts; both grow with the rows
-(``rows_per_cell``). The matrix has blocks * cells numbers; the upper half of its
+Scale. Blocks and cells bound what one task sorts; both grow with the root of the
+rows (``rows_per_cell``), and so the matrix, of blocks * cells numbers, with the rows
+(some 10^9 numbers for 10^11 rows); the upper half of its
 tree is drawn in one task, the subtrees below it (as many as the upper half has
 leaves) in a task each. It is joined to the rows by block, in which they are
 dealt already.
@@ -22,7 +23,7 @@ dealt already.
 Rows are told apart by id, text and their place in the table (partition and row),
 so that repeated rows are shuffled like any others and none of them make a block
 hot. A table read from storage gives each row the same place when a lost task
-runs again; any other table is to be written first (``settle=True`` does so).
+runs again; any other table is written first (``settle`` decides otherwise).
 
 Values: a null text counts as no bytes (size 8, CRC 0); rows that repeat are
 separate rows, each with its own slot; null ids are allowed; an empty table
@@ -32,6 +33,7 @@ replace columns of the same name.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -98,9 +100,10 @@ def _halved(node: Column, caps: Column, left_n: Column, seed: int) -> Column:
 
 def matrix(block_counts: DataFrame, cells: Column, bits: int, seed: int) -> DataFrame:
     """(block, counts): how many rows of each block each cell gets. block_counts has (block, n)."""
-    one = block_counts.agg(F.map_from_entries(F.collect_list(F.struct("block", "n"))).alias("m"))
-    every = F.transform(F.sequence(F.lit(0), F.lit((1 << bits) - 1)), lambda b: F.coalesce(F.element_at(F.col("m"), b), F.lit(0)).cast("long"))
-    level = one.select(F.lit(1).alias("node"), cells.alias("caps"), every.alias("ns"))
+    blocks = block_counts.sparkSession.range(1 << bits).select(F.col("id").cast("int").alias("block"))
+    every = blocks.join(block_counts, "block", "left").select(F.struct("block", F.coalesce("n", F.lit(0)).cast("long").alias("n")).alias("x"))
+    one = every.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["n"]).alias("ns"))
+    level = one.select(F.lit(1).alias("node"), cells.alias("caps"), "ns")
     for depth in range(bits):  # a node is a run of blocks; its halves are its children
         if depth == (bits + 1) // 2:
             level = level.repartition(1 << depth, "node")
@@ -121,13 +124,22 @@ def _share(total: Column, parts: int, k: Column) -> Column:
     return F.floor(total / parts) + F.when(k < total % parts, 1).otherwise(0)
 
 
-def shuffle(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shards: int = SHARDS, seed: int = 1, rows_per_cell: int = ROWS_PER_CELL, settle: bool = False) -> DataFrame:
+def scanned(df: DataFrame) -> bool:
+    """True for columns of files as they are read, whose rows have places that stay."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() == "Project":
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
+def shuffle(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shards: int = SHARDS, seed: int = 1, rows_per_cell: int | None = None, settle: bool | None = None) -> DataFrame:
     """Adds size, text_crc32, shard and slot (the row's place in its shard, gapless from 0)."""
     own = [f"own{k}" for k in range(len(df.columns))]  # no name in here clashes with the table's
     kept = [(name, c) for name, c in zip(own, df.columns, strict=True) if c.lower() not in ("size", "text_crc32", "shard", "slot")]
     raw = F.coalesce(F.col(own[df.columns.index(text)]), F.lit(""))
-    df = written(df, "shuffle-input") if settle else df
+    df = written(df, "shuffle-input") if (not scanned(df) if settle is None else settle) else df
     n = df.count()
+    rows_per_cell = max(ROWS_PER_CELL, 10 * math.isqrt(n)) if rows_per_cell is None else rows_per_cell
     bits, cells = BLOCK_BITS, CELLS
     while n > rows_per_cell << bits:
         bits += 1

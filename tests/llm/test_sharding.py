@@ -119,3 +119,11 @@ def test_matrix_has_the_law_of_a_permutation(spark):
     assert (np.abs(np.mean(mine, axis=0) - mean) <= 4.5 * sd / 16**0.5 + 1e-9).all()
     ratio = np.std(mine, axis=0)[sd > 0] / sd[sd > 0]
     assert (ratio > 0.4).all() and (ratio < 1.8).all()
+
+
+def test_tables_that_are_no_plain_scan_are_written_first(spark, data):
+    docs = spark.read.parquet(f"{data}/sf0.001/documents.parquet")
+    assert S.scanned(docs) and S.scanned(docs.select("text", "doc_id"))
+    assert not S.scanned(docs.repartition(3)) and not S.scanned(docs.where("doc_id > 3")) and not S.scanned(spark.range(4))
+    out = S.shuffle(docs.repartition(5, "source")).select("shard", "slot").collect()
+    assert len({tuple(r) for r in out}) == docs.count()
