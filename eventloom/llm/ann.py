@@ -17,13 +17,12 @@ candidate is dropped as soon as a hypothesis test at EPSILON says that it is
 beyond the query's 20th best so far. What is left is scored in double precision
 on the original vectors.
 
-Fitting uses a bounded sample (SAMPLE rows, those with the smallest hash of
-their id); every row is indexed. Small lists share a cell, which a query is sent
+Fitting uses a bounded sample (SAMPLE rows and SAMPLE_BYTES, those with the
+smallest hash of their id); every row is indexed. Small lists share a cell, which a query is sent
 to once; a list above BLOCK rows is a cell of its own and is cut into blocks, and
 the queries of a cell into blocks too, so that a hot list is many tasks.
 
-Values: vectors that are null, empty, zero, of another length than most of the
-sample's, or hold null or non-finite components, take no part. A score beyond
+Values: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components, take no part. A score beyond
 the doubles' range is infinite, as the plain sum is; one that is no number comes
 last. Equal scores go by smaller id; rows that repeat an id are candidates each,
 but not for a query with that id. An empty table gives an empty one. Of other
@@ -42,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .scratch import temporary, written
 
-SAMPLE, ROUNDS = 20_000, 12
+SAMPLE, SAMPLE_BYTES, ROUNDS = 20_000, 64 << 20, 12
 #: Centres grow with the square root of the rows, up to LISTS; a query probes PROBE lists before bounds rule lists out.
 LISTS, PROBE = 4096, 24
 #: Share of the sample's true neighbours that the lists of a band which a query may open must hold; sample queries that measure it.
@@ -248,14 +247,14 @@ def search(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id",
 def _searched(df: DataFrame, is_query: Column, k: int, vec_id: str, vec: str, seed: int) -> DataFrame:
     spark = df.sparkSession
     rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), is_query.alias("q")).where(usable(F.col("v")) & F.col("id").isNotNull())
-    head = rows.select("v", F.xxhash64("id", F.lit(seed)).alias("h")).orderBy("h").limit(SAMPLE).collect()  # SAMPLE rows at most
-    sizes = [len(r.v) for r in head]
+    sizes = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).collect()  # a row a length
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width = max(set(sizes), key=lambda n: (sizes.count(n), n))
+    total, width = max((r.n, r.width) for r in sizes)
     rows = rows.where(F.size("v") == width)
-    total = rows.count()
-    sample = np.array([r.v for r in head if len(r.v) == width])
+    most = max(256, min(SAMPLE, SAMPLE_BYTES // (8 * width)))
+    head = rows.select("v", F.xxhash64("id", F.lit(seed)).alias("h")).orderBy("h").limit(most).select("v").toArrow()
+    sample = np.stack(head.column(0).combine_chunks().to_numpy(zero_copy_only=False))
     index = Index(sample, int(max(1, min(LISTS, len(sample) // 8, round(total**0.5 / 2)))), k, seed)
     share = spark.sparkContext.broadcast(index)
 
