@@ -11,12 +11,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
-#: Tables that the open :func:`temporary` blocks are to delete.
-_OPEN: list[list[DataFrame]] = []
+#: Tables that the open :func:`temporary` blocks are to delete; each thread has its own.
+_OPEN: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("open", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,19 +46,21 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._eventloom_path = path  # type: ignore[attr-defined]
-    if _OPEN and not keep:
-        _OPEN[-1].append(back)
+    if (blocks := _OPEN.get()) and not keep:
+        blocks[-1].append(back)
     return back
 
 
 @contextmanager
 def temporary() -> Iterator[None]:
     """Deletes what :func:`written` makes within the block: what the block returns must be written and kept."""
-    _OPEN.append([])
+    own: list[DataFrame] = []
+    before = _OPEN.set((*_OPEN.get(), own))
     try:
         yield
     finally:
-        for df in _OPEN.pop():
+        _OPEN.reset(before)
+        for df in own:
             dropped(df)
 
 
