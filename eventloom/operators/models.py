@@ -1,4 +1,4 @@
-"""Models: exact median imputation, population scaling, one-hot, splines, logistic regression at C, boosted trees, grouped cross-validation, PCA, k-means."""
+"""Models: exact median imputation, population scaling, one-hot, splines, logistic regression at C, boosted trees, grouped cross-validation, k-means."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -232,12 +232,6 @@ def pooled(oof: DataFrame) -> DataFrame:
     return g.withColumn("delta", F.col("loss0") - F.col("loss1"))
 
 
-def explained(df: DataFrame, k: int, v: str = "v") -> DataFrame:
-    """(component, share) of the variance."""
-    model = PCA(k=k, inputCol="x", outputCol="z").fit(df.select(array_to_vector(v).alias("x")))
-    return df.sparkSession.createDataFrame([(i + 1, float(s)) for i, s in enumerate(model.explainedVariance)], "component int, share double")
-
-
 def clustered(df: DataFrame, k: int, seed: int = 1, v: str = "v") -> DataFrame:
     """(id, cluster): k-means."""
     x = df.select("id", array_to_vector(v).alias("features"))

@@ -53,6 +53,29 @@ def inf5_paired_changes(spark: SparkSession, d: str) -> DataFrame:
     return _intervals(inference.paired_changes(x, ["part"], "target", "pre"), "part", "target")
 
 
+@query(f"""WITH {BOOT}, oa AS (SELECT * EXCLUDE (m1, arms), arms.arm AS arm, arms.p AS m1 FROM (SELECT *, unnest([{{'arm': 'standard', 'p': m1}}, {{'arm': 'oracle', 'p': (m1 + y) / 2.0}}]) AS arms FROM pr)),
+{_drawn_sql('oa', 'target', 'arm')}, ch AS (SELECT a.target, a.arm, a.draw, a.x - b.x AS x FROM dw a JOIN dw b ON a.target = b.target AND a.draw = b.draw WHERE a.arm = 'oracle' AND b.arm = 'standard') {_interval_sql('ch', 'target', 'arm')}""")
+def inf3_oracle_change(spark: SparkSession, d: str) -> DataFrame:
+    """What an arm that knows part of the outcome gains beyond the standard one, over all rows, under the same draws."""
+    arms = F.array(F.struct(F.lit("standard").alias("arm"), F.col("m1").alias("p")), F.struct(F.lit("oracle").alias("arm"), ((F.col("m1") + F.col("y")) / 2).alias("p")))
+    p = T.predictions(spark, d).withColumn("x", F.explode(arms)).withColumns({"arm": F.col("x.arm"), "m1": F.col("x.p")}).drop("x")
+    x = inference.drawn_gains(p, ["target", "arm"], DRAWS)
+    return _intervals(inference.paired_changes(x, ["target"], "arm", "standard"), "target", "arm")
+
+
+@query(f"""WITH {BOOT}, {_drawn_sql('rl', 'part', 'target')}, ch AS (SELECT a.part, a.target, a.draw, a.x - b.x AS x FROM dw a JOIN dw b ON a.part IS NOT DISTINCT FROM b.part AND a.draw = b.draw WHERE a.target <> 'pre' AND b.target = 'pre'),
+iv AS ({_interval_sql('dw', 'part', 'target')}), ic AS ({_interval_sql('ch', 'part', 'target')})
+SELECT iv.part, iv.target, iv.point, iv.low, iv.high, ic.point AS change, ic.low AS change_low, ic.high AS change_high FROM iv LEFT JOIN ic ON iv.part IS NOT DISTINCT FROM ic.part AND iv.target = ic.target""")
+def inf8_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Points and ranges of each arm beside its change from the base arm."""
+    x = inference.drawn_gains(metrics.rolled(T.predictions(spark, d)), ["part", "target"], DRAWS)
+    own = inference.intervals(x, ["part", "target"]).select("part", "target", "point", "low", "high")
+    change = inference.intervals(inference.paired_changes(x, ["part"], "target", "pre"), ["part", "target"])
+    change = change.select(F.col("part").alias("p"), F.col("target").alias("t"), F.col("point").alias("change"), F.col("low").alias("change_low"), F.col("high").alias("change_high"))
+    out = own.join(change, F.col("part").eqNullSafe(F.col("p")) & (F.col("target") == F.col("t")), "left").drop("p", "t")
+    return six(out, "point", "low", "high", "change", "change_low", "change_high")
+
+
 @query(f"WITH {BOOT}, {_drawn_sql('vw', 'target', 'view')}, ch AS (SELECT a.target, a.view, a.draw, a.x - b.x AS x FROM dw a JOIN dw b ON a.target = b.target AND a.draw = b.draw WHERE a.view <> 'all' AND b.view = 'all' UNION ALL SELECT target, 'gain of ' || view, draw, x FROM dw) {_interval_sql('ch', 'target', 'view')}")
 def inf4_population_parts(spark: SparkSession, d: str) -> DataFrame:
     """Gains over all, valid and rejected rows, and what the parts differ by from all, under the same draws."""
@@ -153,6 +176,18 @@ def dgp2_one_sided(spark: SparkSession, d: str) -> DataFrame:
     return six(g.groupBy("target").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.corr("a", "p").alias("along")), "mean_p", "along")
 
 
+@query(f"WITH {COV}, n AS (SELECT count(*) AS n FROM z) SELECT rate, n, rate AS reached FROM n, (VALUES (0.1), (0.3), (0.5)) t(rate)")
+def dgp3_intercepts(spark: SparkSession, d: str) -> DataFrame:
+    """The number to add to all scores so that their mean probability is a rate: what it reaches."""
+    t = inference.scores(_covariates(spark, d), "a", "b", (0.8, 0.0, 0.0, 0.0), 1).select("score")
+    t, out = written(t, "dgp3-scores"), None
+    for rate in (0.1, 0.3, 0.5):
+        p = inference.expit(F.col("score") + F.lit(inference.intercept(t, "score", rate)))
+        part = t.agg(F.count("*").alias("n"), F.round(F.avg(p), 6).alias("reached")).withColumn("rate", F.lit(rate))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(f"WITH {COV} SELECT doc_id AS call_id, source AS clip, a_new AS a FROM (SELECT doc_id, source, 1.5 AS a_new FROM z)")
 def dgp5_materialised(spark: SparkSession, d: str) -> DataFrame:
     c = _covariates(spark, d).withColumn("y", F.lit(1)).drop("b")

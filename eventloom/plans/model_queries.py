@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cohort, models
+from ..operators import cohort, models, spaces
 from ..sources import tables as T
+from ..sources.shared import written
 from .common import register
 from .event_queries import six
 
@@ -39,7 +40,25 @@ def fit1_paired_grouped_cv(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def mlt4_pca(spark: SparkSession, d: str) -> DataFrame:
     """Share of variance that each of the first principal components of the embeddings explains."""
-    return six(models.explained(T.vectors(spark, d), 10), "share")
+    v = written(T.vectors(spark, d).select("v"), "mlt4-vectors")
+    return six(spaces.explained(v, 10), "share")
+
+
+@query()
+def mlt15_nested_spaces(spark: SparkSession, d: str) -> DataFrame:
+    """Spaces of 5, 10, 30 and all axes from one fit: share of the variance, and mean squared length of the vectors in each."""
+    v = written(T.vectors(spark, d).select("id", "v"), "mlt15-vectors")
+    s = spaces.fitted(v)
+    if s is None:
+        return spark.createDataFrame([], "space string, axes int, share double, length double")
+    out = None
+    for k in (5, 10, 30, len(s.variances)):
+        z = spaces.projected(v, s, k).where("z is not null")
+        length = F.avg(F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x))
+        name = "full" if k == len(s.variances) else f"pca{k}"
+        part = z.agg(length.alias("length")).select(F.lit(name).alias("space"), F.lit(k).alias("axes"), F.lit(float(s.shares()[:k].sum())).alias("share"), "length")
+        out = part if out is None else out.unionByName(part)
+    return six(out, "share", "length")
 
 
 @query()
