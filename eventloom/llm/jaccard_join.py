@@ -73,6 +73,8 @@ FILTER_BITS = 1 << 23, 1 << 27
 #: Long lists that a group joins stars in; classes of a block that an entry is held against.
 STAR_LISTS, REPS = 2, 12
 CHUNK_BYTES, PAIRS_AT_ONCE = 1_000_000, 1_000_000
+#: Tokens that a counting task holds before it hands their counts on.
+COUNTED_AT_ONCE = 1_000_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 U = np.uint64
@@ -82,7 +84,7 @@ class _Words(dict):
     """A word's 64-bit hash, kept for the words met last."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 250_000:
+        if len(self) > 100_000:
             self.clear()
         self[w] = h = xxhash.xxh3_64_intdigest(w)
         return h
@@ -171,7 +173,7 @@ def _heavy(texts: DataFrame, words: int, percent: int) -> tuple[np.ndarray, np.n
                     if len(x) and (name := xxhash.xxh3_128_digest(x.tobytes())) not in known:
                         known[name] = x
                         held += len(x)
-                if held > 3_000_000:
+                if held > COUNTED_AT_ONCE:
                     yield out()
                     known.clear()
                     held = 0
@@ -180,7 +182,13 @@ def _heavy(texts: DataFrame, words: int, percent: int) -> tuple[np.ndarray, np.n
         _WORDS.clear()  # other stages use the same Python worker
 
     n = texts.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    top = n.orderBy(F.desc("n"), "token").limit(HEAVY).toPandas()
+    n = written(n, "jaccard-counts")
+    held, least = 0, None
+    for r in n.groupBy("n").agg(F.count("*").alias("tokens")).orderBy(F.desc("n")).toLocalIterator():  # a row a count
+        if (held := held + r.tokens) > HEAVY:
+            break
+        least = r.n
+    top = n.where(F.col("n") >= least if least is not None else F.lit(False)).toPandas()  # HEAVY rows at most
     tokens = top["token"].to_numpy(np.int64).view(U)
     order = np.argsort(tokens)
     return tokens[order], top["n"].to_numpy(np.int64)[order]
@@ -522,7 +530,8 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
     sets = rows.where("n > 0").groupBy("uid").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("key").alias("key")).withColumn("node", F.xxhash64("uid"))
     # the index: lists of prefix tokens, without those of one entry
     posted = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    entries = posted.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1")
+    sizes = posted.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
+    entries = posted.join(sizes, "token")
     by_group = entries.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "size"))).alias("own")).join(groups.select("gid", "n", "members", "buckets"), "gid")
     by_group = written(by_group, "jaccard-lists")
     stars = _stars(src, sets, by_group, words, percent)
