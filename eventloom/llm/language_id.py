@@ -34,7 +34,7 @@ UNDETERMINED = "und"
 #: Characters and texts that are worked on at once (one longer text is worked on alone).
 CHUNK_CHARS, CHUNK_TEXTS = 400_000, 511
 #: Distinct (language, n-gram) pairs that a task sums before it hands them on.
-TASK_SUMS = 2_000_000
+TASK_SUMS = 600_000
 #: An n-gram is three symbols of 21 bits: none (0), the space (1), or a code point and 2.
 SYMBOL_BITS, SPACE_SYMBOL = 21, 1
 _SYMBOLS: list[tuple[np.ndarray, np.ndarray]] = []
