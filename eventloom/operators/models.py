@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import log_loss, ratio
 from ..sources.shared import dropped, written
 from . import cohort, newton
+from . import trees as boosting
 from .metrics import chosen
 from .newton import Fit
 from .ranks import quantiles
@@ -64,17 +64,6 @@ class Design:
         return VectorAssembler(inputCols=inputs, outputCol=features).transform(out).select(*df.columns, features)
 
 
-def boosted(train: DataFrame, design: Design, rounds: int = 200, rate: float = 0.05, depth: int = 3, leaf: int = 30, seed: int = 1):
-    """Gradient-boosted trees on the design's features, log loss."""
-    t = design.applied(train).select("features", F.col("y").cast("double").alias("label"))
-    return GBTClassifier(maxIter=rounds, stepSize=rate, maxDepth=depth, minInstancesPerNode=leaf, seed=seed).fit(t)
-
-
-def scored(rows: DataFrame, design: Design, model, name: str) -> DataFrame:
-    out = model.transform(design.applied(rows))
-    return out.select(*rows.columns, vector_to_array("probability")[1].alias(name))
-
-
 def spline_columns(x: Column, low: float, high: float, knots: int = 5, degree: int = 3) -> list[Column]:
     """B-spline basis of one column: uniform knots from low to high, and the end values beyond them (Cox-de Boor)."""
     step = (high - low) / (knots - 1)
@@ -118,15 +107,11 @@ def paired_cv(df: DataFrame, base: Sequence[str], extra: Sequence[str], categori
     """
     if not trees:
         return arms_cv(df, {"m0": base, "m1": [*base, *extra]}, categories, c)
-    df = written(df, "trees-rows")
-    folds = [r[0] for r in df.select("fold").distinct().orderBy("fold").collect()]  # a few numbers
-    out = None
-    for f in folds:
-        train, test = df.where(F.col("fold") != f), df.where(F.col("fold") == f)
-        for name, columns in (("m0", base), ("m1", [*base, *extra])):
-            d = Design(train, columns, categories)
-            test = scored(test, d, boosted(train, d, trees), name)
-        out = test if out is None else out.unionByName(test)
+    t, folds, _ = fold_sets(df)
+    fits = [Fit(f"{a}|{f}", f"train{f}", f"test{f}", "y", tuple(x), tuple(categories)) for a, x in (("m0", base), ("m1", [*base, *extra])) for f in folds]
+    fitted = boosting.boost(t, fits, df.columns, boosting.Settings(rounds=trees))
+    out = written(fitted.held_out({a: [f"{a}|{f}" for f in folds] for a in ("m0", "m1")}).where("fold is not null"), "trees-held-out")
+    fitted.close()
     return out
 
 

@@ -338,6 +338,11 @@ class Fitted:
         dropped(self.packed.table)
 
 
+def check_classes(fits: Sequence[Fit], transforms: dict[str, Transform]) -> None:
+    if lone := [f.name for f in fits if np.count_nonzero(transforms[f.train].counts[f.y][: f.classes]) < 2]:
+        raise ValueError(f"one class only in training: {lone[:5]}")
+
+
 def solve(df: DataFrame, fits: Sequence[Fit], keep: Sequence[str] = (), one_class: str = "raise") -> Fitted:
     """Fits all models. ``keep`` names columns that predictions carry.
 
@@ -367,8 +372,8 @@ def solve(df: DataFrame, fits: Sequence[Fit], keep: Sequence[str] = (), one_clas
                 inputs[f.name].axes = axes[:, : f.axes[1]]
     states = {f.name: State(len(inputs[f.name].names), f.classes, f.c) for f in fits}
     lone = [f for f in fits if np.count_nonzero(inputs[f.name].counts) < 2]
-    if lone and one_class == "raise":
-        raise ValueError(f"one class only in training: {[f.name for f in lone[:5]]}")
+    if one_class == "raise":
+        check_classes(fits, transforms)
     for f in lone:
         own = states[f.name]
         own.done, n = True, inputs[f.name].counts

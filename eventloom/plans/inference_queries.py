@@ -239,12 +239,12 @@ def mlt13_transform_state(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mlt8_boosted_trees(spark: SparkSession, d: str) -> DataFrame:
-    """Held-out losses of boosted trees with and without the extra columns."""
+    """Held-out losses of 40 boosted trees with and without the extra columns."""
     from ..operators import cohort
 
     x = _design(spark, d)
     folds = cohort.group_folds(x, "clip", 2).select("clip", F.col("fold").alias("cv"))
-    oof = models.paired_cv(_refolded(x, folds), ["log_chars"], ["words"], ["label"], trees=10)
+    oof = models.paired_cv(_refolded(x, folds), ["log_chars"], ["chars", "words"], ["label"], trees=40)
     return six(models.pooled(oof), "loss0", "loss1", "delta")
 
 

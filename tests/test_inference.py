@@ -105,7 +105,7 @@ def test_boosted_trees_learn(spark):
     rng = np.random.default_rng(5)
     rows = [(k, float(x), int((x > -0.5 and x < 0.5) ^ (rng.random() < 0.05)), k % 2 + 1) for k, x in enumerate(rng.uniform(-1, 1, 600))]
     df = spark.createDataFrame(rows, "call_id long, x double, y int, fold int")
-    trees = models.pooled(models.paired_cv(df.withColumn("flat", F.lit(1.0)), ["flat"], ["x"], [], trees=10)).first()
+    trees = models.pooled(models.paired_cv(df.withColumn("flat", F.lit(1.0)), ["flat"], ["x"], [], trees=20)).first()
     assert trees.n == 600 and trees.loss1 < 0.45 < trees.loss0  # a band that no line finds
 
 
