@@ -167,3 +167,22 @@ def mlt18_subset_arms(spark: SparkSession, d: str) -> DataFrame:
     arms = {"base": BASE, "few": (*BASE, *few), "others": (*BASE, *(c for c in MARKS if c not in few)), "whole": (*BASE, *MARKS), "axes": BASE}
     oof = models.arms_cv(x, arms, ["label"], axes={"axes": (MARKS, 3)}, one_class="rate")
     return six(arm_losses(oof, list(arms)), "loss")
+
+
+@query()
+def agg20_refit_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """The gain of the measures under folds dealt by three seeds, all 30 fits in one call: number, mean and range over the seeds."""
+    x = texts(spark, d).withColumnRenamed("quality", "y")
+    seeds, k = (1, 2, 3), 5
+    for seed in seeds:
+        f = cohort.group_folds(x, "clip", k, seed).select(F.col("clip").alias("c"), F.col("fold").alias(f"fold{seed}"))
+        x = x.join(f, F.col("clip").eqNullSafe(F.col("c"))).drop("c")
+    sets = {f"{kind}{seed}_{f}": (F.col(f"fold{seed}") != f) if kind == "train" else (F.col(f"fold{seed}") == f) for seed in seeds for f in range(1, k + 1) for kind in ("train", "test")}
+    arms = {"m0": BASE, "m1": (*BASE, *MARKS)}
+    fits = [Fit(f"{seed}|{a}|{f}", f"train{seed}_{f}", f"test{seed}_{f}", "y", columns, ("label",)) for seed in seeds for a, columns in arms.items() for f in range(1, k + 1)]
+    fitted = newton.solve(x.withColumns(sets), fits, ["call_id"], one_class="rate")
+    parts = F.split("model", r"\|")
+    mean = lambda a: F.avg(F.when(parts[1] == a, S.log_loss(F.col("y"), F.col("p")[1])))
+    g = written(fitted.predictions().where("y is not null").groupBy(parts[0].alias("seed")).agg((mean("m0") - mean("m1")).alias("gain")), "agg20-gains")
+    fitted.close()
+    return six(g.agg(F.count("*").alias("seeds"), F.avg("gain").alias("mean"), F.min("gain").alias("least"), F.max("gain").alias("most")), "mean", "least", "most")

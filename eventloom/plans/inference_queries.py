@@ -281,6 +281,20 @@ def clu4_subsample(spark: SparkSession, d: str) -> DataFrame:
     return six(s.agg(F.count("*").alias("n"), F.avg((F.col("cluster") == F.col("label") % 4).cast("double")).alias("same")), "same")
 
 
+@query()
+def clu4_refit_stability(spark: SparkSession, d: str) -> DataFrame:
+    """Mixtures of three parts fitted on all vectors and on a subsample by hash: how far their clusters of the subsample agree."""
+    v = written(T.vectors(spark, d).select("id", "v"), "clu4-vectors")
+    some = v.where(F.substring(S.seeded(5, F.col("id")), 1, 1) < "c")
+    (_, whole, _), (_, part, _) = (mixture.fitted(x, [3], restarts=3) for x in (v, some))
+    if not part:
+        return spark.createDataFrame([], "n long, ari double, nmi double, purity double, pair_agreement double, same_kept double")
+    both = mixture.posteriors(mixture.posteriors(some, whole[3]).select("id", "v", F.col("winner").alias("a")), part[3]).select("a", F.col("winner").alias("b"))
+    both = written(both, "clu4-clusters")
+    agreement = metrics.agreement(both, "a", "b")
+    return six(agreement.join(F.broadcast(both.agg(F.count("*").alias("n")))), *agreement.columns)  # one row each
+
+
 @query(f"""WITH {VE}, lo AS (SELECT id, unnest(v) AS x, unnest(range(len(v))) AS i FROM ve), s AS (SELECT id, i, (x - avg(x) OVER (PARTITION BY i)) / stddev_pop(x) OVER (PARTITION BY i) AS z FROM lo) SELECT id, round(sqrt(sum(z * z)), 6) AS length FROM s GROUP BY id""")
 def mlt10_prepared_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Infinite cells become missing, missing ones their column's median, and columns are scaled."""
