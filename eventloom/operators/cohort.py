@@ -32,20 +32,58 @@ def fraction_sample(df: DataFrame, by: Sequence[str], fraction: float, key: str,
     return ranked(df, by, key, seed).where(F.col("rank__") <= F.greatest(F.lit(2), F.rint(F.col("size__") * fraction))).drop("rank__", "size__")
 
 
+def _least_reaching(load: Sequence[int], size: int, m: int) -> int:
+    """The m-th smallest of the numbers load[f] + j * size, j from 0."""
+    low, high = min(load), min(load) + (m - 1) * size
+    while low < high:
+        middle = (low + high) // 2
+        if sum((middle - x) // size + 1 for x in load if x <= middle) >= m:
+            high = middle
+        else:
+            low = middle + 1
+    return low
+
+
+def _filled(load: Sequence[int], size: int, m: int) -> list[int]:
+    """The folds' loads after m groups of one size went, one by one, to the fold with the least (the first of equals)."""
+    top = _least_reaching(load, size, m)
+    count = [max(0, (top - 1 - x) // size + 1) for x in load]
+    left = m - sum(count)
+    for f, x in enumerate(load):
+        if left and x <= top and (top - x) % size == 0:
+            count[f], left = count[f] + 1, left - 1
+    return [x + n * size for x, n in zip(load, count, strict=True)]
+
+
 def group_folds(df: DataFrame, group: str, k: int = 5, seed: int = 1) -> DataFrame:
-    """(group, size, fold): folds from 1 that keep groups whole.
+    """(group, size, fold): folds from 1 that keep groups whole, filled greedily.
 
-    Groups in falling size go back and forth over the folds, so that sizes come
-    out even; the rank is made within size classes with their counts as offsets,
-    and no task needs all groups.
+    Groups in falling size, equal ones by a seeded hash, each go to the fold with the fewest
+    rows so far, the first of equals. The driver goes through the different sizes alone, and
+    keeps what the folds hold before each; where the n-th group of a size goes follows from
+    these loads: the folds take groups in the order of load + j * size, and the n-th
+    smallest of these numbers is found by halving. Ranks within a size are made in parts.
     """
     sizes = df.groupBy(group).agg(F.count("*").alias("size"))
-    offsets = sizes.groupBy("size").agg(F.count("*").alias("groups"))
-    before = F.sum("groups").over(Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("groups")  # a row for each size
-    placed = sizes.join(offsets.withColumn("before", before), "size")
-    place = F.col("before") + F.row_number().over(Window.partitionBy("size").orderBy(seeded(seed, F.col(group)), group)) - 1
-    turn, at = F.floor(place / k), place % k
-    return placed.select(group, "size", (F.when(turn % 2 == 0, at).otherwise(k - 1 - at) + 1).cast("int").alias("fold"))
+    load, runs = [0] * k, []
+    for r in sizes.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("size")).toLocalIterator():  # a row a size
+        runs.append((r["size"], load))
+        load = _filled(load, r["size"], r["n"])
+    table = df.sparkSession.createDataFrame(runs, "size long, load array<long>")
+    placed = ranked(sizes, ["size"], group, seed, "nth__", "all__").drop("all__").join(table, "size")
+    s, nth = F.col("size"), F.col("nth__")
+    upto = lambda v: F.aggregate("load", F.lit(0).cast("long"), lambda a, x: a + F.when(x <= v, F.floor((v - x) / s) + 1).otherwise(0))
+    least = F.array_min("load")
+    bounds = F.struct(least.alias("low"), (least + (nth - 1) * s).alias("high"))
+
+    def halved(b: Column, _: Column) -> Column:
+        middle = F.floor((b["low"] + b["high"]) / 2)
+        return F.when(b["low"] >= b["high"], b).when(upto(middle) >= nth, F.struct(b["low"].alias("low"), middle.alias("high"))).otherwise(F.struct((middle + 1).alias("low"), b["high"].alias("high")))
+
+    value = F.aggregate(F.sequence(F.lit(1), F.lit(62)), bounds, halved)["low"]
+    placed = placed.withColumn("at__", value)
+    exact = F.filter(F.sequence(F.lit(1), F.lit(k)), lambda f: (F.element_at("load", f) <= F.col("at__")) & ((F.col("at__") - F.element_at("load", f)) % s == 0))
+    return placed.select(group, "size", F.element_at(exact, (nth - upto(F.col("at__") - 1)).cast("int")).cast("int").alias("fold"))
 
 
 def nested_folds(folds: DataFrame, df: DataFrame, group: str, k: int = 3, seed: int = 1) -> DataFrame:

@@ -182,10 +182,16 @@ def silhouettes(df: DataFrame, group: str, v: str = "v", noise: int | None = Non
         x, y = np.stack(a["v"]).astype(float), np.stack(b["v"]).astype(float)
         names, at = np.unique(b["g"].to_numpy(), return_inverse=True)
         out = np.zeros((len(x), len(names)))
-        for k in range(0, len(x), 64):
-            d = np.sqrt(((x[k : k + 64, None, :] - y[None, :, :]) ** 2).sum(axis=2))
-            for j in range(len(names)):
-                out[k : k + 64, j] = d[:, at == j].sum(axis=1)
+        member = (at[:, None] == np.arange(len(names))[None, :]).astype(float)
+        x2, y2 = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        for k in range(0, len(x), 256):
+            some, size = x[k : k + 256], x2[k : k + 256, None] + y2[None, :]
+            d = size - 2 * some @ y.T
+            row, col = np.nonzero(d < 1e-3 * size)  # close rows: a difference of products would lose digits
+            for c in range(0, len(row), 20_000):
+                r, q = row[c : c + 20_000], col[c : c + 20_000]
+                d[r, q] = ((some[r] - y[q]) ** 2).sum(axis=1)
+            out[k : k + 256] = np.sqrt(np.maximum(d, 0)) @ member
         return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), len(names)), "g": np.repeat(a["g"].to_numpy(), len(names)), "other": np.tile(names, len(x)), "far": out.ravel()})
 
     kind = dict(t.dtypes)["g"]

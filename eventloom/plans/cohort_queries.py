@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..operators import audits, cohort
 from ..operators.ranks import quantiles
 from ..sources import tables as T
-from .common import EV, register
+from .common import EV, greedy_folds, register
 from .event_queries import six
 
 QUERIES: dict = {}
@@ -51,17 +51,15 @@ def bin1_durations(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "events").groupBy(S.binned(F.col("value"), DUR).alias("bin")).agg(F.count("*").alias("n"), F.min("value").alias("least"))
 
 
-FOLDS = """sz AS (SELECT user_id, count(*) AS size FROM events GROUP BY user_id),
-pl AS (SELECT user_id, size, row_number() OVER (ORDER BY size DESC, sha256('1|' || user_id), user_id) - 1 AS p FROM sz),
-fd AS (SELECT user_id, size, CAST(CASE WHEN (p // 5) % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END + 1 AS INTEGER) AS fold FROM pl)"""
+FOLDS = greedy_folds("fd", "SELECT user_id, count(*) AS size FROM events GROUP BY user_id", 5, 1)
 
 
-@query(f"WITH {FOLDS} SELECT user_id, size, fold FROM fd")
+@query(f"WITH RECURSIVE {FOLDS} SELECT user_id, size, fold FROM fd")
 def spl1_group_folds(spark: SparkSession, d: str) -> DataFrame:
     return cohort.group_folds(T.table(spark, d, "events"), "user_id")
 
 
-@query(f"WITH {FOLDS} SELECT fold, count(DISTINCT user_id) AS groups, count(*) AS n FROM events JOIN fd USING (user_id) GROUP BY fold")
+@query(f"WITH RECURSIVE {FOLDS} SELECT fold, count(DISTINCT user_id) AS groups, count(*) AS n FROM events JOIN fd USING (user_id) GROUP BY fold")
 def agg13_fold_counts(spark: SparkSession, d: str) -> DataFrame:
     e = T.table(spark, d, "events")
     folds = cohort.group_folds(e, "user_id").select("user_id", "fold")

@@ -27,6 +27,15 @@ def whole(sql: str) -> str:
     return "".join([*out, sql[at:]])
 
 
+def greedy_folds(name: str, source: str, k: int, seed: int) -> str:
+    """CTEs of a recursive query: {name} has (p, user_id, size, fold) of groups that go, largest first, to the fold with the least."""
+    least = "list_position(r.load, list_min(r.load))"
+    return f"""{name}_g AS (SELECT user_id, size, row_number() OVER (ORDER BY size DESC, sha256('{seed}|' || user_id), user_id) AS p FROM ({source})),
+{name}_r AS (SELECT CAST(0 AS BIGINT) AS p, CAST(NULL AS BIGINT) AS user_id, CAST(0 AS BIGINT) AS size, 0 AS fold, CAST([{", ".join("0" * k)}] AS BIGINT[]) AS load
+  UNION ALL SELECT g.p, g.user_id, g.size, CAST({least} AS INTEGER), list_transform(range(1, {k + 1}), lambda i: r.load[i] + CASE WHEN i = {least} THEN g.size ELSE 0 END) FROM {name}_r r JOIN {name}_g g ON g.p = r.p + 1),
+{name} AS (SELECT p, user_id, size, fold FROM {name}_r WHERE p > 0)"""
+
+
 def register(queries: dict, oracles: dict) -> Callable:
     """A decorator: puts a query, and its SQL if there is one, under the function's name."""
 

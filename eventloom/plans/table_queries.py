@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..operators import audits, cohort, geometry, intervals, metrics, models, reports
 from ..sources import shared
 from ..sources import tables as T
-from .common import EV, LOSS, PR, VE, register
+from .common import EV, LOSS, PR, VE, greedy_folds, register
 from .event_queries import six
 
 QUERIES: dict = {}
@@ -531,15 +531,13 @@ def spl5_no_leak(spark: SparkSession, d: str) -> DataFrame:
     return folds.groupBy("user_id").agg(F.countDistinct("fold").alias("k")).agg(F.count_if(F.col("k") > 1).cast("int").alias("shared_groups"), F.count("*").alias("groups"))
 
 
-INNER = " UNION ALL ".join(
-    f"""SELECT CAST({f} AS INTEGER) AS outer_fold, user_id, CAST(CASE WHEN (p // 3) % 2 = 0 THEN p % 3 ELSE 2 - p % 3 END + 1 AS INTEGER) AS inner_fold
-FROM (SELECT user_id, row_number() OVER (ORDER BY size DESC, sha256('{1 + f}|' || user_id), user_id) - 1 AS p FROM fd WHERE fold <> {f})"""
-    for f in range(1, 6)
+INNER = ", ".join(
+    [greedy_folds("fd", "SELECT user_id, count(*) AS size FROM events GROUP BY user_id", 5, 1)]
+    + [greedy_folds(f"in{f}", f"SELECT user_id, size FROM fd WHERE fold <> {f}", 3, 1 + f) for f in range(1, 6)]
 )
 
 
-@query(f"""WITH sz AS (SELECT user_id, count(*) AS size FROM events GROUP BY user_id), pl AS (SELECT user_id, size, row_number() OVER (ORDER BY size DESC, sha256('1|' || user_id), user_id) - 1 AS p FROM sz),
-fd AS (SELECT user_id, size, CAST(CASE WHEN (p // 5) % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END + 1 AS INTEGER) AS fold FROM pl) {INNER}""")
+@query(f"WITH RECURSIVE {INNER} " + " UNION ALL ".join(f"SELECT CAST({f} AS INTEGER) AS outer_fold, user_id, fold AS inner_fold FROM in{f}" for f in range(1, 6)))
 def spl2_inner_folds(spark: SparkSession, d: str) -> DataFrame:
     e = T.table(spark, d, "events").select("user_id")
     return cohort.nested_folds(cohort.group_folds(e, "user_id"), e, "user_id")
