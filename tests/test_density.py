@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pytest
 from eventloom.operators import density
+from eventloom.plans import density_queries as Q
 
 SETTINGS = [(5, "eom", 0.0), (5, "leaf", 0.0), (8, "eom", 0.0), (5, "eom", 0.9), (5, "leaf", 0.9), (3, "leaf", 0.4), (100, "eom", 0.0)]
 
@@ -131,3 +132,34 @@ def test_stats(spark):
     assert got[5].n_clusters == len(sizes) and abs(got[5].noise_rate - sum(c is None for c, _ in want.values()) / len(x)) < 1e-12
     assert got[5].median_size == float(np.median(sizes)) and abs(got[5].largest_share - max(sizes) / len(x)) < 1e-12
     assert got[100].n_clusters == 0 and got[100].noise_rate == 1 and got[100].mean_persistence is None
+
+
+def test_queries(spark, data):
+    d = f"{data}/sf0.001"
+    x = {r.id: tuple(r.v) for r in Q._space(spark, d).collect()}
+    want, clusters = plain(x, Q.NEIGHBOURS, *Q.CUT)
+    got = {r.id: r for r in Q.clu1_density(spark, d).collect()}
+    assert len(clusters) >= 2 and {i: r.cluster for i, r in got.items()} == {i: c for i, (c, _) in want.items()}
+    assert all(abs(got[i].probability - p) < 1e-5 for i, (_, p) in want.items())
+    rows = {r.cluster: (r.n, r.persistence) for r in Q.clu1_persistence(spark, d).collect()}
+    assert {c: n for c, (n, _) in rows.items()} == {c: n for c, (n, _, _) in clusters.items()}
+    assert all(abs(rows[c][1] - clusters[c][2]) < 1e-5 for c in rows)
+    p = {r.protocol: r for r in Q.clu14_noise_protocols(spark, d).collect()}
+    noise = sum(c is None for c, _ in want.values())
+    assert p["include_noise"].n == len(x) and abs(p["include_noise"].noise_rate - noise / len(x)) < 1e-6
+    assert p["exclude_noise"].n == len(x) - noise and p["exclude_noise"].n_clusters == p["include_noise"].n_clusters == len(clusters)
+
+
+def test_grid_query(spark, data):
+    d = f"{data}/sf0.001"
+    x = {r.id: tuple(r.v) for r in Q._space(spark, d).collect()}
+    got = {(r.neighbours, r["size"], r.choice, r.epsilon): r for r in Q.clu2_density_grid(spark, d).collect()}
+    assert len(got) == 2 * len(Q.GRID)
+    for k in (Q.NEIGHBOURS, 2 * Q.NEIGHBOURS):
+        for s in Q.GRID[::3]:
+            want, clusters = plain(x, k, *s)
+            r = got[(k, *s)]
+            assert r.n_clusters == len(clusters) and abs(r.noise_rate - sum(c is None for c, _ in want.values()) / len(x)) < 1e-6
+            if clusters:
+                assert abs(r.max_persistence - max(c for _, _, c in clusters.values())) < 1e-5
+                assert abs(r.largest_share - max(n for n, _, _ in clusters.values()) / len(x)) < 1e-6
