@@ -129,8 +129,11 @@ def hierarchy(points: DataFrame, edges: DataFrame, chunk: int = CHUNK) -> DataFr
     """
     n = points.count()
     state = points.select("id", F.col("id").alias("comp"), F.lit(-1).cast("long").alias("top"), F.lit(1).cast("long").alias("size"))
-    parts = max(1, -(-edges.count() // chunk))
-    e = written(edges.repartitionByRange(parts, "w", "a", "b").withColumn("chunk", F.spark_partition_id()), "edges")
+    e = written(edges, "edges")
+    parts = max(1, -(-e.count() // chunk))
+    e, found_edges = e.withColumn("chunk", F.lit(0)), e
+    if parts > 1:
+        e = written(found_edges.repartitionByRange(parts, "w", "a", "b").withColumn("chunk", F.spark_partition_id()), "edges-in-order")
     done, found = [], 0
     for c in range(parts):
         if found >= n - 1:
@@ -149,11 +152,20 @@ def hierarchy(points: DataFrame, edges: DataFrame, chunk: int = CHUNK) -> DataFr
     dropped(state)
     if not done:
         return points.sparkSession.createDataFrame([], _MERGES).withColumnRenamed("key", "rank").drop("kind")
-    every = done[0]
-    for t in done[1:]:
+    out = _together(done, "kind = 'merge'", "hierarchy").withColumnRenamed("key", "rank").drop("kind")
+    dropped(e, found_edges)
+    return out
+
+
+def _together(tables: list[DataFrame], which: str, name: str) -> DataFrame:
+    """Rows of the chunks' tables: as one table where there are several."""
+    every = tables[0]
+    if len(tables) == 1:
+        return every.where(which)
+    for t in tables[1:]:
         every = every.unionByName(t)
-    out = written(every.where("kind = 'merge'").withColumnRenamed("key", "rank").drop("kind"), "hierarchy")
-    dropped(e, *done)
+    out = written(every.where(which), name)
+    dropped(*tables)
     return out
 
 
@@ -175,12 +187,7 @@ def _swept(nodes: DataFrame, key: str, by: Sequence[str], run: Callable[[pd.Data
             t = t.unionByName(earlier.where((F.col("kind") == "message") & (at == c)).select(*by, "kind", *message.split()), allowMissingColumns=True)
         t = t.na.fill(0).na.fill(False)  # whole numbers with nulls would become doubles in pandas
         done.append(written(t.groupBy(*by).applyInPandas(run, schema), "sweep"))
-    every = done[0]
-    for t in done[1:]:
-        every = every.unionByName(t)
-    out = written(every.where("kind <> 'message'"), "swept")
-    dropped(*done)
-    return out
+    return _together(done, "kind <> 'message'", "swept")
 
 
 _CONDENSED = "size int, kind string, rank long, cluster long, lam double, n long, split boolean, id long"
@@ -288,8 +295,9 @@ def cuts(points: DataFrame, merges: DataFrame, settings: Sequence[Setting], chun
     lower = born.where("parent >= 0").groupBy("size", F.col("parent").alias("cluster")).agg(F.sort_array(F.collect_list("cluster")).alias("lower"))  # two a cluster
     tree = written(born.join(gone, ["size", "cluster"]).join(lower, ["size", "cluster"], "left").withColumn("stability", F.col("s") - F.col("k") * F.col("birth")), "clusters")
     best = _swept(tree.select("size", "cluster", "parent", "stability"), "cluster", ["size"], _raised, _RAISED, "cluster value", chunk, False)
-    nodes = tree.select("size", "cluster", "parent", "split", "lower").join(best.select("size", "cluster", "best"), ["size", "cluster"]).join(F.broadcast(asked), "size")
+    nodes = written(tree.select("size", "cluster", "parent", "split", "lower").join(best.select("size", "cluster", "best"), ["size", "cluster"]).join(F.broadcast(asked), "size"), "cluster-nodes")
     chosen = _swept(nodes, "cluster", key, _chosen, _CHOSEN, "cluster chosen", chunk, True).where("chosen >= 0").drop("kind")
+    dropped(nodes)
     own = tree.select("size", F.col("cluster").alias("chosen"), "top", "stability")
     member = leaves.select("size", "id", "cluster", "lam").join(chosen, ["size", "cluster"]).join(own, ["size", "chosen"])
     names = member.groupBy(*key, "chosen").agg(F.min("id").alias("name"), F.count("*").alias("n"), F.max("stability").alias("stability"))
