@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.scalars import ratio
 from ..sources.shared import dropped, written
 from .geometry import nearest
 from .ranks import with_quantiles
@@ -324,3 +325,15 @@ def solution_stats(labels: DataFrame, found: DataFrame, by: Sequence[str] = ("si
     c = with_quantiles(c, found.select(*by, F.col("n").cast("double").alias("n")), list(by), "n", {"median_size": 0.5})
     j = g.join(c, list(by), "left").na.fill(0, ["n_clusters", "largest"])
     return j.select(*by, "n_clusters", "noise_rate", (F.col("largest") / F.col("rows")).alias("largest_share"), "median_size", "mean_persistence", "max_persistence")
+
+
+def against(labels: DataFrame, truth: DataFrame, by: Sequence[str] = ("size", "choice", "epsilon")) -> DataFrame:
+    """(by, label_ari): adjusted Rand index of each setting's clusters, noise as one of them, and the labels of (id, label); null where chance decides all."""
+    t = labels.join(truth.select("id", "label"), "id")
+    n = t.groupBy(*by, F.col("cluster").alias("c"), "label").agg(F.count("*").alias("n"))
+    pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2.0)
+    side = lambda c, out: n.groupBy(*by, c).agg(F.sum("n").alias("m")).groupBy(*by).agg(pairs("m").alias(out))
+    both = n.groupBy(*by).agg(pairs("n").alias("both"), F.sum("n").alias("rows"))
+    g = both.join(side("c", "pc"), list(by)).join(side("label", "pl"), list(by))
+    chance = ratio(F.col("pc") * F.col("pl"), F.col("rows") * (F.col("rows") - 1) / 2.0)
+    return g.select(*by, ratio(F.col("both") - chance, (F.col("pc") + F.col("pl")) / 2 - chance).alias("label_ari"))

@@ -45,12 +45,13 @@ def clu1_persistence(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def clu2_density_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Solutions for two numbers of neighbours, each from one hierarchy: clusters, noise, sizes, persistence."""
+    """Solutions for two numbers of neighbours, each from one hierarchy: clusters, noise, sizes, persistence, agreement with the labels."""
     v, out = _space(spark, d), None
     for k in (NEIGHBOURS, 2 * NEIGHBOURS):
-        stats = density.solution_stats(*density.clusters(v, k, GRID)).withColumn("neighbours", F.lit(k))
+        labels, found = density.clusters(v, k, GRID)
+        stats = density.solution_stats(labels, found).join(density.against(labels, v), ["size", "choice", "epsilon"]).withColumn("neighbours", F.lit(k))
         out = stats if out is None else out.unionByName(stats)
-    return six(out, "noise_rate", "largest_share", "median_size", "mean_persistence", "max_persistence")
+    return six(out, "noise_rate", "largest_share", "median_size", "mean_persistence", "max_persistence", "label_ari")
 
 
 @query()

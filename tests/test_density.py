@@ -6,8 +6,9 @@ import math
 
 import numpy as np
 import pytest
-from eventloom.operators import density
+from eventloom.operators import density, metrics
 from eventloom.plans import density_queries as Q
+from pyspark.sql import functions as F
 
 SETTINGS = [(5, "eom", 0.0), (5, "leaf", 0.0), (8, "eom", 0.0), (5, "eom", 0.9), (5, "leaf", 0.9), (3, "leaf", 0.4), (100, "eom", 0.0)]
 
@@ -128,6 +129,10 @@ def test_stats(spark):
     labels, found = density.clusters(spark.createDataFrame([(i, list(v)) for i, v in x.items()], "id long, v array<double>"), 4, [(5, "eom", 0.0), (100, "eom", 0.0)])
     got = {r["size"]: r for r in density.solution_stats(labels, found).collect()}
     want, clusters = plain(x, 4, 5, "eom", 0.0)
+    truth = spark.createDataFrame([(i, k // 30) for k, i in enumerate(x)], "id long, label int")
+    ari = {r["size"]: r.label_ari for r in density.against(labels, truth).collect()}
+    one = labels.where("size = 5").join(truth, "id").select("label", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    assert abs(ari[5] - metrics.agreement(one, "label", "cluster").first().ari) < 1e-12 and ari[5] > 0.2 and ari[100] == 0
     sizes = [n for n, _, _ in clusters.values()]
     assert got[5].n_clusters == len(sizes) and abs(got[5].noise_rate - sum(c is None for c, _ in want.values()) / len(x)) < 1e-12
     assert got[5].median_size == float(np.median(sizes)) and abs(got[5].largest_share - max(sizes) / len(x)) < 1e-12
