@@ -6,8 +6,8 @@ what is connected up to a distance is condensed to clusters of a least size, of
 
 How it is done at any size:
 
-* **Tree.** Rows fall into blocks; each pair of blocks gives the spanning tree of its rows, which has every edge of the
-  whole tree that lies in it. Edges are ordered by (weight, smaller id, larger id), so that the tree is one.
+* **Tree.** Rows fall into blocks that are cells of space, and visit only blocks that may hold a nearer row or an edge
+  of the tree (``cells``). Edges are ordered by (weight, smaller id, larger id), so that the tree is one.
 * **Sweeps.** Edges are put in order in chunks of some 260,000. One chunk at a time is merged, from light to heavy, on the
   components that lighter chunks left; what a chunk changes has at most two rows an edge and is broadcast to the
   table of vectors. Going down the hierarchy, and up and down the tree of clusters, is done in chunks in the
@@ -31,11 +31,11 @@ from pyspark.sql.types import StructType
 
 from ..functions.scalars import ratio
 from ..sources.shared import dropped, written
-from .geometry import nearest
+from . import cells
 from .ranks import with_quantiles
 
 FLOOR = 1e-12
-#: Rows of a sweep's task, about; rows of a block, of which a task has two.
+#: Rows of a sweep's task, about; rows of a block of :mod:`cells`.
 CHUNK, BLOCK = 1 << 18, 1000
 #: A cut: clusters' least size, "eom" (excess of mass) or "leaf", and the distance below which clusters aren't split.
 Setting = tuple[int, str, float]
@@ -47,44 +47,6 @@ def finite(df: DataFrame, v: str = "v") -> DataFrame:
     return df.where(F.col(v).isNotNull() & ok)
 
 
-def cores(points: DataFrame, k: int) -> DataFrame:
-    """(id, v, core); vectors without any other have core 0."""
-    far = nearest(points, points, k).groupBy(F.col("query_id").alias("id")).agg(F.max("distance").alias("core"))
-    return points.join(far, "id", "left").na.fill(0.0, ["core"])
-
-
-def spanning(ids: np.ndarray, x: np.ndarray, core: np.ndarray) -> pd.DataFrame:
-    """(a, b, w): the spanning tree of some rows, grown from one row by the least edge in order (w, a, b)."""
-    order = np.argsort(ids)
-    ids, x, core = ids[order], x[order], core[order]
-    n = len(ids)
-    every = np.arange(n)
-    left, best, source, at, out = np.ones(n, bool), np.full(n, np.inf), np.zeros(n, int), 0, []
-    for _ in range(n - 1):
-        left[at] = False
-        w = np.maximum(np.maximum(np.sqrt(((x - x[at]) ** 2).sum(axis=1)), core), core[at])
-        tie = (w == best) & (np.minimum(at, every) * n + np.maximum(at, every) < np.minimum(source, every) * n + np.maximum(source, every))
-        better = left & ((w < best) | tie)
-        best[better], source[better] = w[better], at
-        near = np.flatnonzero(left & (best == best[left].min()))
-        to = near[np.argmin(np.minimum(source[near], near) * n + np.maximum(source[near], near))]
-        out.append((ids[min(source[to], to)], ids[max(source[to], to)], best[to]))
-        at = to
-    return pd.DataFrame(out, columns=["a", "b", "w"])
-
-
-def edges(points: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b, w) with every edge of the spanning tree of (id, v, core), and others: at most two edges a row for each block."""
-    n = max(1, -(-points.count() // block))
-    side = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(F.least(j, side).alias("i"), F.greatest(j, side).alias("j")))
-    if n > 1:
-        pairs = F.filter(pairs, lambda p: p["i"] != p["j"])
-    t = points.select("id", "v", "core", F.explode(pairs).alias("p"))
-    one = lambda g: spanning(g["id"].to_numpy(), np.stack(g["v"]).astype(float), g["core"].to_numpy(float))
-    return t.groupBy("p.i", "p.j").applyInPandas(lambda g: one(g), "a long, b long, w double").distinct()
-
-
 def _merged(offset: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """A chunk of edges between components: the merges they make, and what components become."""
 
@@ -311,8 +273,10 @@ def cuts(points: DataFrame, merges: DataFrame, settings: Sequence[Setting], chun
 
 def clusters(df: DataFrame, samples: int, settings: Sequence[Setting], v: str = "v", block: int = BLOCK, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """:func:`cuts` of (id, v) with core distances to the ``samples``-th other vector."""
-    points = written(cores(finite(df.select("id", F.col(v).cast("array<double>").alias("v"))), samples), "cores")
-    merges = hierarchy(points.select("id"), edges(points, block), chunk)
+    points, boxes = cells.cores(finite(df.select("id", F.col(v).cast("array<double>").alias("v"))), samples, block)
+    edges = cells.edges(points, boxes)
+    merges = hierarchy(points.select("id"), edges, chunk)
+    dropped(edges)
     out = cuts(df.select("id"), merges, settings, chunk)
     dropped(points)
     return out
