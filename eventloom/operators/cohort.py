@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio, seeded
+from ..sources.shared import written
 from .ranks import ranked, running
 
 
@@ -64,12 +65,16 @@ def group_folds(df: DataFrame, group: str, k: int = 5, seed: int = 1) -> DataFra
     these loads: the folds take groups in the order of load + j * size, and the n-th
     smallest of these numbers is found by halving. Ranks within a size are made in parts.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("size"))
+    return _folded(written(df.groupBy(group).agg(F.count("*").alias("size")), "fold-sizes"), group, k, seed)
+
+
+def _folded(sizes: DataFrame, group: str, k: int, seed: int) -> DataFrame:
+    """:func:`group_folds` of (group, size)."""
     load, runs = [0] * k, []
     for r in sizes.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("size")).toLocalIterator():  # a row a size
         runs.append((r["size"], load))
         load = _filled(load, r["size"], r["n"])
-    table = df.sparkSession.createDataFrame(runs, "size long, load array<long>")
+    table = sizes.sparkSession.createDataFrame(runs, "size long, load array<long>")
     placed = ranked(sizes, ["size"], group, seed, "nth__", "all__").drop("all__").join(table, "size")
     s, nth = F.col("size"), F.col("nth__")
     upto = lambda v: F.aggregate("load", F.lit(0).cast("long"), lambda a, x: a + F.when(x <= v, F.floor((v - x) / s) + 1).otherwise(0))
@@ -80,7 +85,8 @@ def group_folds(df: DataFrame, group: str, k: int = 5, seed: int = 1) -> DataFra
         middle = F.floor((b["low"] + b["high"]) / 2)
         return F.when(b["low"] >= b["high"], b).when(upto(middle) >= nth, F.struct(b["low"].alias("low"), middle.alias("high"))).otherwise(F.struct((middle + 1).alias("low"), b["high"].alias("high")))
 
-    value = F.aggregate(F.sequence(F.lit(1), F.lit(62)), bounds, halved)["low"]
+    steps = F.ceil(F.log2((nth * s).cast("double"))) + 1  # the bounds are (nth - 1) * s apart
+    value = F.aggregate(F.sequence(F.lit(1).cast("long"), steps), bounds, halved)["low"]
     placed = placed.withColumn("at__", value)
     exact = F.filter(F.sequence(F.lit(1), F.lit(k)), lambda f: (F.element_at("load", f) <= F.col("at__")) & ((F.col("at__") - F.element_at("load", f)) % s == 0))
     return placed.select(group, "size", F.element_at(exact, (nth - upto(F.col("at__") - 1)).cast("int")).cast("int").alias("fold"))
@@ -88,10 +94,13 @@ def group_folds(df: DataFrame, group: str, k: int = 5, seed: int = 1) -> DataFra
 
 def nested_folds(folds: DataFrame, df: DataFrame, group: str, k: int = 3, seed: int = 1) -> DataFrame:
     """(outer_fold, group, inner_fold): for each outer fold, folds of the groups outside it."""
+    folds = written(folds.select(group, "fold").distinct(), "outer-folds")
+    sizes = df.groupBy(group).agg(F.count("*").alias("size"))
+    known = written(sizes.join(folds, group), "nested-sizes")  # a row a group
     outer = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]  # a few numbers
     out = None
     for f in outer:
-        inside = group_folds(df.join(folds.where(F.col("fold") != f).select(group), group, "left_semi"), group, k, seed + f)
+        inside = _folded(known.where(F.col("fold") != f).select(group, "size").distinct(), group, k, seed + f)
         part = inside.select(F.lit(f).alias("outer_fold"), group, F.col("fold").alias("inner_fold"))
         out = part if out is None else out.union(part)
     return out
