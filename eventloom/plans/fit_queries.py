@@ -113,7 +113,8 @@ def fit9_permutation_refits(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def fit10_oracle_parent(spark: SparkSession, d: str) -> DataFrame:
     """Generated outcomes fitted without and with the score that made them: what the measures add in either case, by scenario."""
-    x = inference.zscored(texts(spark, d).where("clip is not null"), ["log_chars", "words"])
+    x = written(texts(spark, d).where("clip is not null"), "fit10-texts")  # 32 passes look for intercepts: over measures, not texts
+    x = written(inference.zscored(x, ["log_chars", "words"]), "fit10-scaled")
     g = None
     for name, weights in inference.SCENARIOS.items():
         t = inference.scores(x, "log_chars", "words", weights, 1)
