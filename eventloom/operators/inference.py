@@ -160,7 +160,16 @@ def assignment(gain: Sequence[Sequence[float]]) -> list[tuple[int, int]]:
     return sorted((j, i) if flip else (i, j) for i, j in out)
 
 
-def silhouettes(df: DataFrame, group: str, v: str = "v", noise: int | None = None, block: int = 4096) -> DataFrame:
+#: Rows of a block of :func:`silhouettes`, at least and at most, and blocks where that allows; distances that are held at once.
+LEAST, LARGEST, BLOCKS, HELD = 4096, 1 << 15, 16, 1 << 20
+
+
+def block_rows(n: int) -> int:
+    """A row is shuffled twice for each block: blocks grow with the table, until a task's memory is what counts."""
+    return min(LARGEST, max(LEAST, -(-n // BLOCKS)))
+
+
+def silhouettes(df: DataFrame, group: str, v: str = "v", noise: int | None = None, block: int | None = None) -> DataFrame:
     """(id, group, s): each row's silhouette by Euclidean distance; 0 for a group's only row.
 
     Exact: pairs of blocks give each row the sum of its distances to every group, and
@@ -172,7 +181,8 @@ def silhouettes(df: DataFrame, group: str, v: str = "v", noise: int | None = Non
     t = df.select("id", F.col(group).alias("g"), F.col(v).alias("v")).where("g is not null")
     if noise is not None:
         t = t.where(F.col("g") != noise)
-    parts = max(1, -(-t.count() // block))
+    n = t.count()
+    parts = max(1, -(-n // (block or block_rows(n))))
     side = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
 
@@ -184,14 +194,15 @@ def silhouettes(df: DataFrame, group: str, v: str = "v", noise: int | None = Non
         out = np.zeros((len(x), len(names)))
         member = (at[:, None] == np.arange(len(names))[None, :]).astype(float)
         x2, y2 = (x * x).sum(axis=1), (y * y).sum(axis=1)
-        for k in range(0, len(x), 256):
-            some, size = x[k : k + 256], x2[k : k + 256, None] + y2[None, :]
+        step = max(1, HELD // len(y))
+        for k in range(0, len(x), step):
+            some, size = x[k : k + step], x2[k : k + step, None] + y2[None, :]
             d = size - 2 * some @ y.T
             row, col = np.nonzero(d < 1e-3 * size)  # close rows: a difference of products would lose digits
             for c in range(0, len(row), 20_000):
                 r, q = row[c : c + 20_000], col[c : c + 20_000]
                 d[r, q] = ((some[r] - y[q]) ** 2).sum(axis=1)
-            out[k : k + 256] = np.sqrt(np.maximum(d, 0)) @ member
+            out[k : k + step] = np.sqrt(np.maximum(d, 0)) @ member
         return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), len(names)), "g": np.repeat(a["g"].to_numpy(), len(names)), "other": np.tile(names, len(x)), "far": out.ravel()})
 
     kind = dict(t.dtypes)["g"]
