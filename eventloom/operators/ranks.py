@@ -28,12 +28,13 @@ def _offsets(parts: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _joined(df: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with their part's offsets. A left join, though each row has its part: so Spark can't broadcast the rows, whose size it misjudges after an explode."""
     on = [*by, "part__"]
     right = offsets.withColumnsRenamed({c: f"{c}_o" for c in on})
     cond = F.lit(True)
     for c in on:
         cond = cond & F.col(c).eqNullSafe(F.col(f"{c}_o"))
-    return df.join(right, cond).drop(*(f"{c}_o" for c in on))
+    return df.join(right, cond, "left").drop(*(f"{c}_o" for c in on))
 
 
 def ranked(df: DataFrame, by: Sequence[str], key: str, seed: int, rank: str = "rank__", size: str = "size__") -> DataFrame:
@@ -53,7 +54,7 @@ def running(df: DataFrame, by: Sequence[str], x: str, n: str, descending: bool =
     cond = F.lit(True)
     for c in by:
         cond = cond & F.col(c).eqNullSafe(F.col(f"{c}_c"))
-    t = df.join(right, cond).drop(*(f"{c}_c" for c in by)) if by else df.join(F.broadcast(cuts))  # one row
+    t = df.join(right, cond, "left").drop(*(f"{c}_c" for c in by)) if by else df.join(F.broadcast(cuts))  # one row
     t = t.withColumn("part__", F.size(F.filter("cuts__", lambda c: c < value.cast("double")))).drop("cuts__")
     offsets = _offsets(t.groupBy(*by, "part__").agg(F.sum(n).alias("m__")), by)
     own = F.sum(n).over(Window.partitionBy(*by, "part__").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
