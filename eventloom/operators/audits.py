@@ -111,14 +111,17 @@ def varying(df: DataFrame, key: Sequence[str], x: str) -> DataFrame:
 
 
 def group_normalised(df: DataFrame, group: str, columns: Sequence[str], scale: bool) -> DataFrame:
-    """Columns less their group's mean; with ``scale`` also over its population sd (0 where that is tiny, and for missing values)."""
+    """Columns less their group's mean; with ``scale`` also over its population sd (0 where that is tiny, and for missing values).
+
+    Rows stream past their group's means, hashed part by part: they are not sorted, so that a task holds a few rows a group at most.
+    """
     means = df.groupBy(group).agg(*(f(F.col(c)).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))))
 
     def one(c: str) -> Column:
         away = F.col(c) - F.col(f"m_{c}")
         return F.coalesce(F.when(F.col(f"s_{c}") > 1e-12, away / F.col(f"s_{c}")), F.lit(0.0)) if scale else away
 
-    return df.join(means, group).withColumns({c: one(c) for c in columns}).select(*df.columns)
+    return df.join(means.hint("shuffle_hash"), group).withColumns({c: one(c) for c in columns}).select(*df.columns)
 
 
 def compared(old: DataFrame, new: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
