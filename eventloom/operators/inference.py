@@ -165,7 +165,7 @@ LEAST, LARGEST, BLOCKS, HELD = 4096, 1 << 15, 16, 1 << 20
 
 
 def block_rows(n: int) -> int:
-    """A row is shuffled twice for each block: blocks grow with the table, until a task's memory is what counts."""
+    """A row is shuffled once for each block, and once more for its own: blocks grow with the table, until a task's memory is what counts."""
     return min(LARGEST, max(LEAST, -(-n // BLOCKS)))
 
 
@@ -173,7 +173,8 @@ def silhouettes(df: DataFrame, group: str, v: str = "v", noise: int | None = Non
     """(id, group, s): each row's silhouette by Euclidean distance; 0 for a group's only row.
 
     Exact: pairs of blocks give each row the sum of its distances to every group, and
-    Spark adds the sums up. The work is rows times rows; no task holds more than two blocks.
+    Spark adds the sums up. A pair of blocks is met once, for the rows of both. The work
+    is half of rows times rows; no task holds more than two blocks.
     """
     import numpy as np
     import pandas as pd
@@ -184,15 +185,21 @@ def silhouettes(df: DataFrame, group: str, v: str = "v", noise: int | None = Non
     n = t.count()
     parts = max(1, -(-n // (block or block_rows(n))))
     side = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    later, earlier = F.explode(F.sequence(side, F.lit(parts - 1))), F.explode(F.sequence(F.lit(0), side))
+
+    def rows(a: pd.DataFrame, names: np.ndarray, far: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), len(names)), "g": np.repeat(a["g"].to_numpy(), len(names)), "other": np.tile(names, len(a)), "far": far.ravel()})
+
+    def members(a: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        names, at = np.unique(a["g"].to_numpy(), return_inverse=True)
+        return names, (at[:, None] == np.arange(len(names))[None, :]).astype(float)
 
     def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "g": [], "other": [], "far": []})
         x, y = np.stack(a["v"]).astype(float), np.stack(b["v"]).astype(float)
-        names, at = np.unique(b["g"].to_numpy(), return_inverse=True)
-        out = np.zeros((len(x), len(names)))
-        member = (at[:, None] == np.arange(len(names))[None, :]).astype(float)
+        (a_names, a_member), (b_names, b_member) = members(a), members(b)
+        out, back, same = np.zeros((len(x), len(b_names))), np.zeros((len(y), len(a_names))), a["i"].iloc[0] == a["j"].iloc[0]
         x2, y2 = (x * x).sum(axis=1), (y * y).sum(axis=1)
         step = max(1, HELD // len(y))
         for k in range(0, len(x), step):
@@ -202,11 +209,15 @@ def silhouettes(df: DataFrame, group: str, v: str = "v", noise: int | None = Non
             for c in range(0, len(row), 20_000):
                 r, q = row[c : c + 20_000], col[c : c + 20_000]
                 d[r, q] = ((some[r] - y[q]) ** 2).sum(axis=1)
-            out[k : k + step] = np.sqrt(np.maximum(d, 0)) @ member
-        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), len(names)), "g": np.repeat(a["g"].to_numpy(), len(names)), "other": np.tile(names, len(x)), "far": out.ravel()})
+            d = np.sqrt(np.maximum(d, 0))
+            out[k : k + step] = d @ b_member
+            if not same:
+                back += d.T @ a_member[k : k + step]
+        there = rows(a, b_names, out)
+        return there if same else pd.concat([there, rows(b, a_names, back)])
 
     kind = dict(t.dtypes)["g"]
-    left, right = t.select("*", side.alias("i"), every.alias("j")), t.select("*", side.alias("j"), every.alias("i"))
+    left, right = t.select("*", side.alias("i"), later.alias("j")), t.select("*", side.alias("j"), earlier.alias("i"))
     sums = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(one, f"id long, g {kind}, other {kind}, far double").groupBy("id", "g", "other").agg(F.sum("far").alias("far"))
     sizes = t.groupBy(F.col("g").alias("name")).agg(F.count("*").alias("n"))
     j = sums.join(F.broadcast(sizes), F.col("other") == F.col("name"))  # a row a group
